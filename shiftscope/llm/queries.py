@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from shiftscope.llm import packing, sharding
+from shiftscope.llm import language_id, packing, sharding, toxicity
 
 QUERIES = {
     "op2_stratified_interleave": sharding.query,
+    "op3_toxicity_cnn": toxicity.query,
+    "op5_byte_gru_language": language_id.query,
     "op6_best_fit_packing": packing.query,
 }
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shiftscope.llm import language_id, packing, sharding, toxicity
+from shiftscope.llm import language_id, packing, quality_crf, sharding, toxicity
 
 QUERIES = {
+    "op1_line_crf_quality": quality_crf.query,
     "op2_stratified_interleave": sharding.query,
     "op3_toxicity_cnn": toxicity.query,
     "op5_byte_gru_language": language_id.query,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from shiftscope.llm import language_id, packing, quality_crf, sharding, toxicity
+from shiftscope.llm import flac, language_id, packing, quality_crf, sentencepiece_scan, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_line_crf_quality": quality_crf.query,
     "op2_stratified_interleave": sharding.query,
     "op3_toxicity_cnn": toxicity.query,
+    "op4_token_attribution": token_counts.query,
     "op5_byte_gru_language": language_id.query,
     "op6_best_fit_packing": packing.query,
+    "op7_flac_columns": flac.query,
+    "op10_sentencepiece_scan": sentencepiece_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
@@ -71,3 +71,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) with the hashed bit of every value of ``column`` set."""
+    bit = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+    parts = keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(_bit % 32768)").alias("bits"))
+    out = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out
+
+
+def in_sieve(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sifted(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """(id, text) of the documents whose id is among ``keys.id``: a bitmap first, then an exact join.
+
+    The bitmap keeps most other texts out of the shuffle while it is sparse; over
+    a corpus too large for it, more texts pass and the join decides alone.
+    ``docs`` has the columns id and text, ``keys`` has id and may have others.
+    With ``once``, a task passes each id a single time (where the id is that of
+    the text, so that a much repeated text isn't shuffled again and again).
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(keys, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            held = in_sieve(bits.value, batch.column(2).to_numpy())
+            if once:
+                for k in np.flatnonzero(held).tolist():
+                    key = batch.column(0)[k].as_py()
+                    held[k] = key not in seen
+                    seen.add(key)
+            yield batch.filter(pa.array(held)).select([0, 1])
+
+    rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS)).alias("bit"))
+    return rows.mapInArrow(run, "id long, text string").join(keys, "id")

@@ -9,20 +9,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import common, packing
+from shiftscope.llm import common, jaccard_join, language_id, packing, substring_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not predict toxic."""
+    docs = docs.select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: null, empty and letterless texts go."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 4-word shingles at a similarity of 0.85."""
+    return jaccard_join.one_of_each(docs).select(*COLUMNS)
+
+
+def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the runs of 35 words that start anywhere else too."""
+    return substring_dedup.deduplicated(docs).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences of at most 2048 tokens."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
-    ("best_fit_packing", best_fit_packing),
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("jaccard_join", one_of_near_copies),
+    ("substring_dedup", cut_shared_passages),
+    ("best_fit_packing", pack),
 ]
 
-#: The classifiers and the tokenizer are beyond SQL; tests compare with brute force.
+#: The classifiers and the tokenizer are beyond SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
-"""Queries over the driver's tables, by name, with equivalent SQL where there is one."""
+"""All queries over the driver's tables by name, with equivalent SQL where there is one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from shiftscope.plans import table_queries
+
+QUERIES: dict[str, Callable] = dict(table_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(table_queries.ORACLE_SQL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from shiftscope.plans import table_queries
+from shiftscope.plans import model_queries, table_queries
 
-QUERIES: dict[str, Callable] = dict(table_queries.QUERIES)
+QUERIES: dict[str, Callable] = table_queries.QUERIES | model_queries.QUERIES
 ORACLE_SQL: dict[str, str] = dict(table_queries.ORACLE_SQL)

@@ -3,6 +3,9 @@ import sys
 
 import pytest
 
+# set before numpy is loaded: the tests run beside Spark's own threads
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 

@@ -393,7 +393,7 @@ def _subframes(reader: _Reader, at: np.ndarray, size: np.ndarray, bits: np.ndarr
         own = np.flatnonzero(order > t)
         out[t, own] = reader.signed(at[own], bits[own])
         at[own] += bits[own]
-    coefs, shift = np.zeros((max(1, int(order.max())), lanes), dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    coefs, shift = np.zeros((max(4, int(order.max())), lanes), dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     for o, c in enumerate(((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))):
         fixed = kind == 8 + o
         for j, v in enumerate(c):

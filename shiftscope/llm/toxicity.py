@@ -97,6 +97,8 @@ class Model:
                 at += FILTERS
                 v[: n - j] += z[j:, at : at + FILTERS]
             at += FILTERS
+            for j in range(1, width):  # what begins in the padding would reach into the next text
+                v[bounds[1:] - j] = 0
             values.append(v)
         value = np.concatenate(values, axis=1)
         return x, value, np.maximum.reduceat(value, bounds[:-1], axis=0) + self.bias
@@ -162,15 +164,17 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str | None], s
             grads["bias"] = back.sum(0)
             at = np.stack([value[a:b].argmax(0) + a for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             grads["kernel"] = 1e-4 * model.kernel
+            ends = bounds[1:, None]
             touched, pushes, column = [], [], 0
             for w, size in enumerate(WIDTHS):
                 own = slice(w * FILTERS, (w + 1) * FILTERS)
+                inside = back[:, own] * (at[:, own] + size <= ends)
                 for j in range(size):
                     place = np.minimum(at[:, own] + j, len(x) - 1)
                     cols = slice(column, column + FILTERS)
-                    grads["kernel"][:, cols] += np.einsum("dfe,df->ef", x[place], back[:, own])
+                    grads["kernel"][:, cols] += np.einsum("dfe,df->ef", x[place], inside)
                     touched.append(place.ravel())
-                    pushes.append((back[:, own, None] * model.kernel[:, cols].T).reshape(-1, DIM))
+                    pushes.append((inside[:, :, None] * model.kernel[:, cols].T).reshape(-1, DIM))
                     column += FILTERS
             place, push = np.concatenate(touched), np.concatenate(pushes)
             for k, table in enumerate(model.tables):

@@ -7,7 +7,7 @@ again for the next one, so no stage's lineage reaches beyond its own input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftscope.llm import common, jaccard_join, language_id, packing, substring_dedup, toxicity
 
@@ -23,8 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: null, empty and letterless texts go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where("lang_pred <> 'und'").select(*COLUMNS)
+    net = language_id.fit(docs)
+    if net is None:  # no language to tell: texts with a letter stay
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return language_id.identify(docs, net).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

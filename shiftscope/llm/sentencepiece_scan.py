@@ -11,9 +11,11 @@ the right end, and every chunk is then backtraced on its own between its two
 states.  The chunks of a document are rows of their own all the way.
 
 No piece has a space after another character, so no piece crosses the place
-before a space that follows another character.  Matrices and paths are therefore
-computed word by word, with a bounded memo; only a chunk without any such place
-runs the full lattice for all its boundary states.
+before a space that follows another character; more generally none crosses
+between two bytes that stand side by side in no piece.  Texts are cut at such
+places into parts, whose hashes are looked up in a bounded memo; the parts that
+are new are solved side by side, one lattice step of all of them at a time.  Only
+a chunk without any such place runs the full lattice for all its boundary states.
 
 The vocabulary file that is available is a byte-fallback BPE model.  Its pieces
 and scores define the lattice here, so the ids are the best-scoring ones and not
@@ -39,14 +41,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import documents, durable
+from shiftscope.llm.common import documents, durable, text_groups
+from shiftscope.llm.textops import HashIndex, U, _INVERSE, _BASE, _TABLE, mix, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 15
 UNKNOWN = -100_000.0
-MEMO = 500_000
+MEMO = 400_000
+#: parts of more bytes are solved one by one
+LONG = 64
 LOW = -1e300
-WORD = re.compile(r" *[^ ]+| +")
 
 
 class Lattice:
@@ -78,10 +82,23 @@ class Lattice:
         self.reach: dict[str, int] = {}  # the longest piece by its first two characters
         for p in self.pieces:
             self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
-        #: pairs of characters inside pieces; between any other two no piece crosses
-        self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        # pairs of bytes at the borders of characters inside pieces, and inside characters; between others no piece crosses
+        self.joined = np.zeros(1 << 16, dtype=bool)
+        for first in range(256):
+            self.joined[first * 256 + 128 : first * 256 + 192] = True
+        for p in self.pieces:
+            raw = np.frombuffer(p.encode(), dtype=np.uint8).astype(np.int64)
+            self.joined[raw[:-1] * 256 + raw[1:]] = True
+        names = [p.encode() for p in self.pieces]
+        data = np.frombuffer(b"".join(names), dtype=np.uint8)
+        ends = np.cumsum([len(n) for n in names])
+        self.index = HashIndex(len(names))
+        self.index.add(span_hashes(data, np.concatenate([[0], ends[:-1]]), ends))
+        self.scores = np.array([s for s, _ in self.pieces.values()])
+        self.ids = np.array([i for _, i in self.pieces.values()], dtype=np.uint32)
+        self.byte_ids = np.array(self.bytes, dtype=np.uint32)
         self.limit = memo
-        self.memo: dict[str, tuple[float, bytes]] = {}
+        self.clear()
 
     def edges(self, text: str, at: int, end: int) -> list[tuple[int, float]]:
         """Lengths and scores of what can begin at a place, up to ``end``."""
@@ -124,32 +141,145 @@ class Lattice:
                 ids += [self.bytes[v] for v in text[a:b].encode()]
         return score[n], ids
 
-    def word(self, word: str) -> tuple[float, bytes]:
-        """Best score and ids of a word, by its parts between which no piece crosses."""
-        found = self.memo.get(word)
-        if found is not None:
-            return found
-        joined, begin, parts = self.joined, 0, []
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joined:
-                parts.append(word[begin:i])
-                begin = i
-        if parts:
-            parts.append(word[begin:])
-            both = [self.word(p) for p in parts]
-            return sum(s for s, _ in both), b"".join([i for _, i in both])
-        score, ids = self.best(word, 0, len(word))
-        found = (score, np.array(ids, dtype="<u4").tobytes())
-        if len(word) <= 64:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+    def clear(self) -> None:
+        self.memo = HashIndex(2 * self.limit)
+        self.ends = np.zeros(1025, dtype=np.int64)
+        self.flat = np.zeros(4096, dtype=np.uint32)
+        self.totals = np.zeros(1024)
+
+    def _store(self, hashes: np.ndarray, totals: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        known, n = self.memo.known, self.memo.known + len(hashes)
+        while n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while n > len(self.totals):
+            self.totals = np.concatenate([self.totals, np.zeros_like(self.totals)])
+        self.ends[known + 1 : n + 1] = self.ends[known] + np.cumsum(lengths)
+        while self.ends[n] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.ends[known] : self.ends[n]] = ids
+        self.totals[known:n] = totals
+        self.memo.add(hashes)
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best scores, numbers of ids and ids of many short parts side by side."""
+        sizes = ends - starts
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        n, longest = len(starts), int(sizes.max())
+        at = np.minimum(starts + np.arange(longest)[:, None], len(data) - 1)
+        inside = np.arange(longest)[:, None] < sizes
+        raw = np.where(inside, data[at], 0)  # (place, part)
+        lead = (raw & 0xC0) != 0x80
+        steps = np.ones(longest, dtype=U)
+        steps[1:] = U(_BASE)
+        back_steps = np.ones(longest, dtype=U)
+        back_steps[1:] = U(_INVERSE)
+        up, down = np.multiply.accumulate(steps), np.multiply.accumulate(back_steps)
+        sums = np.zeros((longest + 1, n), dtype=U)
+        np.cumsum(_TABLE[raw] * up[:, None], axis=0, out=sums[1:])
+        active = np.searchsorted(-sizes, -np.arange(longest) - 1, side="right")
+        best = np.full((longest + 1, n), LOW)
+        best[0] = 0.0
+        back, via = np.zeros((longest + 1, n), dtype=np.int16), np.full((longest + 1, n), -1, dtype=np.int32)
+        most = max(len(p.encode()) for p in self.pieces)
+        for t in range(longest):
+            lanes = np.flatnonzero(lead[t, : active[t]])
+            if not lanes.size:
+                continue
+            width, left = 0, lanes
+            chars = np.zeros(len(lanes), dtype=np.int64)
+            while left.size and width < most:
+                width += 1
+                left = left[t + width <= sizes[left]]
+                # a piece ends where a character does
+                stop = (t + width == sizes[left]) | lead[np.minimum(t + width, longest - 1), left]
+                here = left[stop]
+                if not here.size:
+                    continue
+                hashes = mix((sums[t + width, here] - sums[t, here]) * down[t] + U(width))
+                piece = self.index.get(hashes)
+                first = chars[np.searchsorted(lanes, here)] == 0
+                chars[np.searchsorted(lanes, here)] += 1
+                value = best[t, here] + np.where(piece >= 0, self.scores[np.maximum(piece, 0)], np.where(first, UNKNOWN, LOW))
+                old = best[t + width, here]
+                better = (value > old) | (value == old) & (width > back[t + width, here])
+                better &= (piece >= 0) | first
+                won = here[better]
+                best[t + width, won], back[t + width, won], via[t + width, won] = value[better], width, piece[better]
+        totals = best[sizes, np.arange(n)]
+        # backtrace: tokens from the right end, then each part's tokens in order
+        place, part = sizes.copy(), np.arange(n)
+        owners, orders, found = [], [], []
+        step = 0
+        while part.size:
+            width, piece = back[place, part].astype(np.int64), via[place, part]
+            whole = piece >= 0
+            owners.append(part[whole])
+            orders.append(np.full(int(whole.sum()), step * 8))
+            found.append(self.ids[piece[whole]])
+            for k in range(4):  # a character without a piece: its bytes, the last one first
+                some = ~whole & (width > k)
+                owners.append(part[some])
+                orders.append(np.full(int(some.sum()), step * 8 + k))
+                found.append(self.byte_ids[raw[place[some] - 1 - k, part[some]]])
+            place = place - width
+            part, place = part[place > 0], place[place > 0]
+            step += 1
+        owners, orders, found = np.concatenate(owners), np.concatenate(orders), np.concatenate(found)
+        original = order[owners]
+        sort = np.lexsort((-orders, original))
+        lengths = np.bincount(original, minlength=n)
+        scores = np.empty(n)
+        scores[order] = totals
+        return scores, lengths, found[sort]
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Memo numbers of the parts; new ones are solved first."""
+        hashes = span_hashes(data, starts, ends)
+        at = self.memo.get(hashes)
+        if (missing := np.flatnonzero(at < 0)).size:
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.memo.known + len(new) > self.limit:
+                self.clear()
+                new, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            where = missing[first]
+            short = ends[where] - starts[where] <= LONG
+            for i in range(0, int(short.sum()), 1 << 14):
+                own = where[short][i : i + (1 << 14)]
+                self._store(new[short][i : i + (1 << 14)], *self._solve(data, starts[own], ends[own]))
+            for h, k in zip(new[~short], where[~short], strict=True):
+                text = data[starts[k] : ends[k]].tobytes().decode()
+                score, ids = self.best(text, 0, len(text))
+                self._store(np.array([h]), np.array([score]), np.array([len(ids)]), np.array(ids, dtype=np.uint32))
+            at = self.memo.get(hashes)
+        return at
+
+    def spans(self, texts: list[str]) -> list[tuple[float, bytes]]:
+        """Best score and ids of texts that begin and end at places no piece crosses."""
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if not len(data):
+            return [(0.0, b"") for _ in texts]
+        bounds = np.cumsum([0, *(len(r) for r in raw)])
+        edge = np.zeros(len(data), dtype=bool)
+        edge[1:] = ~self.joined[data[:-1].astype(np.int32) * 256 + data[1:]]
+        edge[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(data))
+        at = self._look_up(data, starts, ends)
+        begins = self.ends[at]
+        lengths = self.ends[at + 1] - begins
+        sums = np.zeros(len(at) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=sums[1:])
+        ids = self.flat[np.arange(sums[-1]) + np.repeat(begins - sums[:-1], lengths)].astype("<u4")
+        totals = np.zeros(len(at) + 1)
+        np.cumsum(self.totals[at], out=totals[1:])
+        first = np.searchsorted(starts, bounds)
+        return [(float(totals[b] - totals[a]), ids[sums[a] : sums[b]].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def span(self, text: str) -> tuple[float, bytes]:
-        """Best score and ids of a text that begins and ends at places no piece crosses."""
-        found = [self.word(w) for w in WORD.findall(text)]
-        return sum(s for s, _ in found), b"".join(i for _, i in found)
+        return self.spans([text])[0]
 
     def barriers(self, text: str, end: int) -> tuple[int, int] | None:
         """First and last place up to ``end`` that no piece crosses and that every boundary state reaches."""
@@ -296,15 +426,17 @@ def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         lattice = Lattice()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key += 1
-                whole = " " + text if text else ""
-                if len(whole) <= chunk:
-                    rows.append((key, doc_id, 0, 0, None, *lattice.span(whole)))
-                else:
-                    rows += [(key, doc_id, k, own, part, None, None) for k, (part, own) in enumerate(cut_chunks(whole, chunk, lattice.longest))]
-            yield _table(rows, _ROW_TYPES, _ROW_NAMES)
+            ids, texts = batch.column(0).to_pylist(), [" " + t if t else "" for t in batch.column(1).to_pylist()]
+            for i, j in text_groups(texts, 1 << 20):
+                rows: list[tuple] = []
+                short = [t if len(t) <= chunk else "" for t in texts[i:j]]
+                for doc_id, whole, found in zip(ids[i:j], texts[i:j], lattice.spans(short), strict=True):
+                    key += 1
+                    if len(whole) <= chunk:
+                        rows.append((key, doc_id, 0, 0, None, *found))
+                    else:
+                        rows += [(key, doc_id, k, own, part, None, None) for k, (part, own) in enumerate(cut_chunks(whole, chunk, lattice.longest))]
+                yield _table(rows, _ROW_TYPES, _ROW_NAMES)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -153,3 +153,94 @@ def sortability(edges: set[tuple[int, int]], n: int, scores: np.ndarray, tol: fl
         total += len(s)
         step = (step @ a > 0).astype(float)
     return hits / total if total else 0.5
+
+
+TAIL, ARROW, CIRCLE = -1, 1, 2
+
+
+def fci(n: int, test: Test, alpha: float = 0.05) -> dict[tuple[int, int], int]:
+    """Partial ancestral graph as marks: ``marks[a, b]`` is the mark at b of the edge between a and b.
+
+    Skeleton, then another look with the nodes that colliders or triangles lead
+    to as candidates, colliders, and the first four orientation rules.
+    """
+    edges, apart = skeleton(n, test, alpha)
+    marks = _collide(n, edges, apart)
+    for x, y in sorted(edges):
+        for a, b in ((x, y), (y, x)):
+            pool = _possible(n, marks, a) - {a, b}
+            hit = next((z for k in range(min(len(pool), n) + 1) for z in combinations(sorted(pool), k) if test(x, y, z) > alpha), None)
+            if hit is not None:
+                edges = edges - {(x, y)}
+                apart[x, y] = set(hit)
+                break
+    marks = _collide(n, edges, apart)
+    while _orient_marks(n, marks, apart):
+        pass
+    return marks
+
+
+def _collide(n: int, edges: set[tuple[int, int]], apart: dict) -> dict[tuple[int, int], int]:
+    marks = {e: CIRCLE for a, b in edges for e in ((a, b), (b, a))}
+    for v in range(n):
+        for a, b in combinations([w for w in range(n) if (v, w) in marks], 2):
+            if (a, b) not in marks and v not in apart.get((a, b), set()):
+                marks[a, v] = marks[b, v] = ARROW
+    return marks
+
+
+def _possible(n: int, marks: dict, start: int) -> set[int]:
+    """Nodes at the end of a path on which every inner node is a collider or lies in a triangle."""
+    seen, stack, out = set(), [(start, w) for w in range(n) if (start, w) in marks], set()
+    while stack:
+        u, v = stack.pop()
+        if (u, v) in seen:
+            continue
+        seen.add((u, v))
+        out.add(v)
+        for w in range(n):
+            if w not in (u, v) and (v, w) in marks and ((u, w) in marks or marks[u, v] == marks[w, v] == ARROW):
+                stack.append((v, w))
+    return out
+
+
+def _orient_marks(n: int, marks: dict, apart: dict) -> bool:
+    before = dict(marks)
+    for a, b in permutations(range(n), 2):
+        if (a, b) not in marks:
+            continue
+        for c in range(n):
+            if c in (a, b) or (b, c) not in marks:
+                continue
+            if marks[a, b] == ARROW and marks[c, b] == CIRCLE and (a, c) not in marks:  # away from a collider
+                marks[c, b], marks[b, c] = TAIL, ARROW
+            if (a, c) in marks and marks[a, c] == CIRCLE and marks[a, b] == ARROW and marks[b, c] == ARROW and TAIL in (marks[b, a], marks[c, b]):  # no cycle
+                marks[a, c] = ARROW
+            if marks[a, b] == marks[c, b] == ARROW and (a, c) not in marks:  # double triangle
+                for d in range(n):
+                    if (a, d) in marks and (c, d) in marks and (d, b) in marks and marks[a, d] == marks[c, d] == marks[d, b] == CIRCLE:
+                        marks[d, b] = ARROW
+            if (a, c) in marks and marks[c, b] == CIRCLE and marks[a, b] == ARROW and marks[a, c] == ARROW and marks[c, a] == TAIL:
+                path = _discriminating(n, marks, a, b, c)
+                if path is not None:
+                    if b in apart.get((min(path, c), max(path, c)), set()):
+                        marks[c, b], marks[b, c] = TAIL, ARROW
+                    else:
+                        marks[c, b] = marks[b, c] = ARROW
+    return marks != before
+
+
+def _discriminating(n: int, marks: dict, a: int, b: int, c: int) -> int | None:
+    """The far end of a path to (a, b, c) whose inner nodes are colliders and parents of c."""
+    stack, seen = [(a, {a, b, c})], {a}
+    while stack:
+        v, used = stack.pop()
+        for w in range(n):
+            if w in used or (w, v) not in marks or marks[w, v] != ARROW:
+                continue
+            if (w, c) not in marks:
+                return w
+            if w not in seen and marks[v, w] == ARROW and marks[w, c] == ARROW and marks[c, w] == TAIL:
+                seen.add(w)
+                stack.append((w, used | {w}))
+    return None

@@ -21,7 +21,7 @@ from shiftscope.operators import regimes, scoring
 
 
 @dataclass
-class SpaceTime:
+class LaggedRegimes:
     """``series``: the context column, ``t`` the time step (from 0 in every context)."""
 
     nodes: list[str]
@@ -36,7 +36,7 @@ class SpaceTime:
     parents: dict[int, set[int]] = field(default_factory=dict)  # lagged column numbers
     windows: list[tuple[int, int, int]] = field(default_factory=list)  # begin, duration, regime
 
-    def fit(self, df: DataFrame) -> SpaceTime:
+    def fit(self, df: DataFrame) -> LaggedRegimes:
         spark = df.sparkSession
         lagged = regimes.lag_features(df.select(self.series, self.t, *self.nodes), [self.series], self.t, {n: list(range(1, self.max_lag + 1)) for n in self.nodes})
         self.columns = [*self.nodes, *(f"{n}_lag{k}" for k in range(1, self.max_lag + 1) for n in self.nodes)]

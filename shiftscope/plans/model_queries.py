@@ -10,7 +10,7 @@ from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
 from shiftscope.operators import scoring
 from shiftscope.plans import confounding, constraint, mixtures, ordering
-from shiftscope.plans.spacetime import SpaceTime
+from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
 from shiftscope.sources import generators as gen
 
@@ -89,9 +89,9 @@ def topological_changes(spark, sf_dir):
     return Topological(["x0", "x1", "x2"], "context", "lin").fit(df).changes(spark)
 
 
-def spacetime_edges(spark, sf_dir):
+def lagged_regime_edges(spark, sf_dir):
     df, _ = gen.time_series(spark, {(0, 0, 1), (1, 1, 1), (1, 0, 1), (2, 2, 1), (2, 1, 0)}, 3, 2, 300, 2, 3, 60, 4)
-    return SpaceTime(["x0", "x1", "x2"], max_lag=1, min_duration=40).fit(df).edges(spark)
+    return LaggedRegimes(["x0", "x1", "x2"], max_lag=1, min_duration=40).fit(df).edges(spark)
 
 
 def confounder_pairs(spark, sf_dir):
@@ -132,7 +132,7 @@ def sort_regress_edges(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, spacetime_edges, confounder_pairs, mixture_labels, pc_graph,
+        gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, confounder_pairs, mixture_labels, pc_graph,
         joint_context_graph, cam_edges, sort_regress_edges,
     )
 }

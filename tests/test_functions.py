@@ -155,3 +155,55 @@ def test_confounding_scores():
     p = np.ones((3, 3))
     p[0, 1] = p[1, 0] = p[0, 2] = p[2, 0] = 0.01
     assert confounding.ordered_partition(p) in ([0, 1, 1], [1, 0, 0])
+
+
+def test_information_measures():
+    from shiftscope.functions import information as I
+
+    rng = np.random.default_rng(8)
+    x, noise = rng.normal(size=400), rng.normal(size=400)
+    assert I.knn_entropy(x) == pytest.approx(0.5 * math.log(2 * math.pi * math.e), abs=0.2)
+    assert I.knn_mutual_information(x, x + 0.3 * noise) > 0.8 > 0.15 > I.knn_mutual_information(x, noise)
+    assert I.mixed_mutual_information(x, (x > 0).astype(int)) > 0.4
+    assert I.sliced_mutual_information(np.stack([x, noise], 1), np.stack([x, x], 1), 8) > 0.1
+    assert abs(I.kl_divergence(x, noise)) < 0.3 < I.kl_divergence(x + 3, noise)
+    p = I.noisy_labels(rng.integers(0, 2, 400), 2, 0.95)
+    q = I.noisy_labels(rng.integers(0, 2, 400), 2, 0.95)
+    assert I.soft_mutual_information(p, p) > 0.4 > 0.05 > I.soft_mutual_information(p, q)
+    assert I.adjusted_soft_mutual_information(p, p) > 0.5 and abs(I.adjusted_soft_mutual_information(p, q)) < 0.1
+    assert I.confidence(p) == pytest.approx(0.975) and I.soft_mutual_information(p[:, :1], q[:, :1]) == 1.0
+    a, b = rng.integers(0, 3, 300), rng.integers(0, 3, 300)
+    assert I.total_correlation(a, a) == pytest.approx(N.entropy_of(np.bincount(a))) and I.total_correlation(a, b) < 0.05
+    assert I.von_neumann_divergence(np.eye(3), np.eye(3)) == pytest.approx(0)
+    group = np.repeat([0, 1], 200)
+    assert I.conditional_divergence(x, np.where(group, -x, x), group) > 5 * abs(I.conditional_divergence(x, x + 0.1 * noise, group))
+    assert I.kernel_alignment(x, x) == pytest.approx(1) and I.kernel_alignment(x, noise) < 0.1
+
+
+def test_equivalence_search():
+    from shiftscope.plans import equivalence as E
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 5))
+    x[:, 2] += x[:, 0] + x[:, 1]
+    x[:, 3] += 0.9 * x[:, 2]
+    x[:, 4] += 0.8 * x[:, 3] + 0.7 * x[:, 0]
+    truth = MixedGraph(5, {(0, 2), (1, 2), (2, 3), (3, 4), (0, 4)})
+    found = E.greedy_equivalence(5, E.gaussian_bic(np.corrcoef(x.T), 3000))
+    want = truth.cpdag()
+    assert (found.directed, found.undirected) == (want.directed, want.undirected)
+    moved = x.copy()
+    moved[:, 3] = -2 * moved[:, 2] + rng.normal(size=3000)
+    assert 3 in E.changed_targets(np.cov(x.T), 3000, np.cov(moved.T), 3000, truth)
+    assert E.changed_targets(np.cov(x.T), 3000, np.cov(x.T), 3000, truth) == set()
+
+
+def test_fci_marks_a_latent_confounder():
+    graph = MixedGraph(4, {(0, 1), (3, 2)}, {(1, 2)})  # 0 -> 1 <-> 2 <- 3
+    marks = constraint.fci(4, constraint.oracle_test(graph))
+    assert marks[1, 2] == marks[2, 1] == constraint.ARROW and (0, 2) not in marks
+    assert marks[0, 1] == marks[3, 2] == constraint.ARROW
+    chain = constraint.fci(3, constraint.oracle_test(MixedGraph(3, {(0, 1), (1, 2)})))
+    assert set(chain.values()) == {constraint.CIRCLE}
+    collider = constraint.fci(4, constraint.oracle_test(MixedGraph(4, {(0, 2), (1, 2), (2, 3)})))
+    assert (collider[2, 3], collider[3, 2]) == (constraint.ARROW, constraint.TAIL)

@@ -4,7 +4,7 @@ import pandas as pd
 from shiftscope.functions.numerics import information_scores
 from shiftscope.operators import graphs, labels, regimes, scoring
 from shiftscope.plans import confounding, constraint, mixtures, ordering
-from shiftscope.plans.spacetime import SpaceTime
+from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
 from shiftscope.sources import generators as gen, readers, sinks
 from shiftscope.streaming import monitor
@@ -30,10 +30,10 @@ def test_topological_finds_order_and_changes(spark):
     assert {(r.node, r.context) for r in model.targets(spark).collect()} == {("x1", "2"), ("x1", "3")}
 
 
-def test_spacetime_finds_links_and_a_partition(spark):
+def test_lagged_finds_links_and_a_partition(spark):
     links = {(0, 0, 1), (1, 1, 1), (1, 0, 1)}
     df, truth = gen.time_series(spark, links, 2, 2, 240, 2, 2, 80, 3)
-    model = SpaceTime(["x0", "x1"], max_lag=1, min_duration=40, iterations=3).fit(df)
+    model = LaggedRegimes(["x0", "x1"], max_lag=1, min_duration=40, iterations=3).fit(df)
     assert {("x0", "x0", 1), ("x1", "x1", 1)} <= {tuple(r) for r in model.edges(spark).collect()}
     rows = model.partition(spark).collect()
     assert sum(r.duration for r in rows) == 240 and rows[0].begin == 0

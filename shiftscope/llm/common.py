@@ -26,7 +26,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: rows of an Arrow batch: texts are long, and a worker holds a batch several times over
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -81,7 +93,7 @@ def sieve(keys: DataFrame, column: str) -> np.ndarray:
     bit = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
     parts = keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(_bit % 32768)").alias("bits"))
     out = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 2048 rows of 4 KB
         out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return out
 
@@ -115,3 +127,23 @@ def sifted(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
 
     rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS)).alias("bit"))
     return rows.mapInArrow(run, "id long, text string").join(keys, "id")
+
+
+def most_frequent(counted: DataFrame, value: str, limit: int) -> np.ndarray:
+    """The most frequent values and their counts (column n), by value: at most ``limit`` of them.
+
+    The least count that keeps within the limit comes from a histogram of the
+    counts, so no sort or top-k runs over the values.
+    """
+    counted = durable(counted)
+    kept, least = 0, None
+    for row in sorted(counted.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        kept += row["count"]
+        if kept > limit:
+            break
+        least = row["n"]
+    if least is None:
+        return np.zeros((2, 0), dtype=np.uint64)
+    top = counted.where(F.col("n") >= least).toPandas()
+    order = np.argsort(top[value].to_numpy(dtype=np.int64).view(np.uint64))
+    return np.stack([top[c].to_numpy(dtype=np.int64).view(np.uint64)[order] for c in (value, "n")])

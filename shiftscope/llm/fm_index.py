@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: patterns that are searched side by side
+LANES = 1 << 15
 
 
 class WaveletMatrix:
@@ -87,6 +89,13 @@ class FMIndex:
 
     def matching(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray, least_weight: int) -> np.ndarray:
         """Matching statistics: for each end (exclusive) in ``text`` the length, up to ``most``, of the longest run of symbols before it that occurs with at least ``least_weight``."""
+        length = np.zeros(len(ends), dtype=np.int64)
+        for i in range(0, len(ends), LANES):
+            part = slice(i, i + LANES)
+            length[part] = self._matching(text, ends[part], most[part], least_weight)
+        return length
+
+    def _matching(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray, least_weight: int) -> np.ndarray:
         low = np.zeros(len(ends), dtype=np.int64)
         high = np.full(len(ends), self.size, dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)

@@ -17,7 +17,9 @@ match of 35 words has a weight of two or more are reported.
 Texts are known by a 64-bit hash, so copies of a text share all work; words,
 anchors and segments are compared by 64-bit hashes.  Anchors of a very common
 passage (from a list of fixed length, counted over all documents) are dealt over
-many groups, since they are known to repeat.
+many groups, since they are known to repeat; their windows are also told apart
+by the eight-word run with the second least hash, so that the passage's borders,
+which differ from document to document, spread over many shards.
 
 Nulls: a null text has no words; a null doc_id is kept.  Repeated rows are
 documents of their own, so all windows of a repeated text repeat.  Texts under
@@ -34,24 +36,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import SIEVE_BITS, byte_rows, documents, durable, group_count, in_sieve, sieve, sifted, text_groups, to_blob
+from shiftscope.llm.common import SIEVE_BITS, byte_rows, documents, durable, group_count, in_sieve, most_frequent, sieve, sifted, small_batches, text_groups, to_blob
 from shiftscope.llm.fm_index import FMIndex
 from shiftscope.llm.textops import U, _Powers, hash_words, mix, ngram_hashes, radix_split, split_words
 
 WINDOW, ANCHOR = 35, 8
 #: the list of common anchors: its length, and the count within one slab from which an anchor is reported
 COMMON, LOCAL = 1 << 18, 8
-SLAB = 1 << 19
+SLAB = 1 << 17
 PART_ROWS = 4096
-SEGMENTS_EACH = 6000
+SEGMENTS_EACH = 4000
 
 
-def segments(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Segments of all texts, columns: text, first window, windows, anchor hash, hash of the words."""
+NONE = np.zeros((2, 0), dtype=U)
+
+
+def segments(words: np.ndarray, first: np.ndarray, common: np.ndarray = NONE) -> np.ndarray:
+    """Segments of all texts, columns: text, first window, windows, anchor hash, hash of the words, shard key.
+
+    The key is the anchor's hash; for a common anchor it also holds the second
+    one's, and a segment ends where either changes.
+    """
     spans = WINDOW - ANCHOR + 1
     grams = ngram_hashes(words, ANCHOR)
     if len(grams) < spans:
-        return np.zeros((0, 5), dtype=U)
+        return np.zeros((0, 6), dtype=U)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(owner[WINDOW - 1 :] == owner[: len(words) - WINDOW + 1])
     views = np.lib.stride_tricks.sliding_window_view(grams, spans)
@@ -59,8 +68,17 @@ def segments(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     for i in range(0, len(start), 1 << 15):
         place[i : i + (1 << 15)] = views[start[i : i + (1 << 15)]].argmin(axis=1)
     place += start
+    key = grams[place]
+    second = place.copy()
+    again = np.flatnonzero(_known(key, common)[0])
+    for i in range(0, len(again), 1 << 15):
+        part = again[i : i + (1 << 15)]
+        rest = views[start[part]].copy()
+        rest[np.arange(len(part)), place[part] - start[part]] = np.iinfo(U).max
+        second[part] = start[part] + rest.argmin(axis=1)
+    key[again] = mix(key[again] + mix(grams[second[again]]))
     new = np.ones(len(start), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (owner[start[1:]] != owner[start[:-1]])
+    new[1:] = (place[1:] != place[:-1]) | (second[1:] != second[:-1]) | (owner[start[1:]] != owner[start[:-1]])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
     begin = start[head]
@@ -70,7 +88,7 @@ def segments(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     np.cumsum(mix(words) * up[: len(words)], out=sums[1:])
     content = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
     text = owner[begin]
-    return np.stack([text.astype(U), (begin - first[text]).astype(U), count.astype(U), grams[place[head]], content], axis=1)
+    return np.stack([text.astype(U), (begin - first[text]).astype(U), count.astype(U), grams[place[head]], content, key[head]], axis=1)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -78,7 +96,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("id"), "text").where("text is not null")
 
 
-def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _slabs(batches: Iterator[pa.RecordBatch], common: np.ndarray = NONE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Segments of distinct texts in slabs: text ids, their counts in the slab, and segments."""
     numbers: dict[int, int] = {}
     counts: list[int] = []
@@ -96,7 +114,7 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 else:
                     counts[at] += 1
             if fresh:
-                found = segments(*hash_words([texts[k] for k in fresh]))
+                found = segments(*hash_words([texts[k] for k in fresh]), common)
                 found[:, 0] += U(len(counts) - len(fresh))
                 held.append(found)
                 rows += len(found)
@@ -116,11 +134,8 @@ def _common(texts: DataFrame) -> np.ndarray:
             often = counts >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["anchor", "n"])
 
-    top = texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "anchor").limit(COMMON).toPandas()
-    values = top["anchor"].to_numpy(dtype=np.int64).view(U)
-    order = np.argsort(values)
-    return np.stack([values[order], top["n"].to_numpy(dtype=np.int64).view(U)[order]])
+    counted = texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return most_frequent(counted, "anchor", COMMON)
 
 
 def _known(anchors: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +147,21 @@ def _known(anchors: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndar
     return known, np.where(known, common[1][at] // U(PART_ROWS) + U(1), U(1))
 
 
-OCCURRENCES = "content long, anchor long, id long, begin int, windows int, copies long"
+OCCURRENCES = "content long, key long, id long, begin int, windows int, copies long"
+KNOWN = U(1 << 16)
 
 
 def _occurrences(texts: DataFrame, common, groups: int) -> DataFrame:
-    """Segments whose anchor occurs twice or more, by text; ``copies``: equal texts seen by the task."""
+    """Segments whose key occurs twice or more or is common, by text; ``copies``: equal texts seen by the task."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, counts, found in _slabs(batches):
+        for ids, counts, found in _slabs(batches, common.value):
             text = found[:, 0].astype(np.int64)
             own = ids[text].view(U)
-            parts = mix(own) % _known(found[:, 3], common.value)[1]
-            order, cuts = radix_split(mix(found[:, 3] + parts), groups)
-            packed = np.stack([found[:, 3], found[:, 4], own, found[:, 1] << U(32) | found[:, 2], counts[text].astype(U)])[:, order]
+            known, dealt = _known(found[:, 3], common.value)
+            order, cuts = radix_split(mix(found[:, 5] + mix(own) % dealt), groups)
+            place = found[:, 1] << U(32) | known.astype(U) * KNOWN | found[:, 2]
+            packed = np.stack([found[:, 5], found[:, 4], own, place, counts[text].astype(U)])[:, order]
             used = np.flatnonzero(np.diff(cuts))
             blobs = [to_blob(packed[:, cuts[g] : cuts[g + 1]]) for g in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
@@ -154,15 +171,15 @@ def _occurrences(texts: DataFrame, common, groups: int) -> DataFrame:
         rows = rows[:, np.argsort(rows[0], kind="stable")]
         begin = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
         total = np.add.reduceat(rows[4], begin)
-        again = np.repeat(total >= 2, np.diff(np.append(begin, rows.shape[1]))) | _known(rows[0], common.value)[0]
-        anchor, content, own, place, copies = (x[again] for x in rows)
+        again = np.repeat(total >= 2, np.diff(np.append(begin, rows.shape[1]))) | (rows[3] & KNOWN > 0)
+        key, content, own, place, copies = (x[again] for x in rows)
         return pa.table(
             {
                 "content": pa.array(content.view(np.int64)),
-                "anchor": pa.array(anchor.view(np.int64)),
+                "key": pa.array(key.view(np.int64)),
                 "id": pa.array(own.view(np.int64)),
                 "begin": pa.array((place >> U(32)).astype(np.int32)),
-                "windows": pa.array((place & U(0xFFFFFFFF)).astype(np.int32)),
+                "windows": pa.array((place & U(0xFFFF)).astype(np.int32)),
                 "copies": pa.array(copies.astype(np.int64)),
             }
         )
@@ -196,28 +213,28 @@ def report(contents: np.ndarray, weights: np.ndarray, lengths: np.ndarray, words
 def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(content, mask) of every distinct segment with a window that repeats."""
     distinct = occurrences.groupBy("content").agg(
-        F.sum("copies").alias("weight"), F.min(F.struct("id", "begin", "windows", "anchor")).alias("rep")
+        F.sum("copies").alias("weight"), F.min(F.struct("id", "begin", "windows", "key")).alias("rep")
     )
     wanted = durable(distinct.groupBy(F.col("rep.id").alias("id")).agg(
         F.collect_list("content").alias("content"),
         F.collect_list("weight").alias("weight"),
         F.collect_list("rep.begin").alias("begin"),
         F.collect_list("rep.windows").alias("windows"),
-        F.collect_list("rep.anchor").alias("anchor"),
+        F.collect_list("rep.key").alias("key"),
     ))
     shards = max(16, -(-(wanted.agg(F.sum(F.size("content")).alias("n")).collect()[0]["n"] or 0) // SEGMENTS_EACH))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_rows(batch.column("text"))
-            lists = {c: batch.column(c).to_pylist() for c in ("content", "weight", "begin", "windows", "anchor")}
+            lists = {c: batch.column(c).to_pylist() for c in ("content", "weight", "begin", "windows", "key")}
             for i, j in text_groups(texts):
                 words, first = hash_words(texts[i:j])
                 sizes = [len(lists["content"][k]) for k in range(i, j)]
                 flat = {c: np.array([v for k in range(i, j) for v in x[k]], dtype=np.int64) for c, x in lists.items()}
                 begin = np.repeat(first[:-1], sizes) + flat["begin"]
                 length = flat["windows"] + WINDOW - 1
-                order, cuts = radix_split(mix(flat["anchor"].view(U)), shards)
+                order, cuts = radix_split(mix(flat["key"].view(U)), shards)
                 meta = np.stack([flat["content"], flat["weight"], length], axis=1)
                 used = np.flatnonzero(np.diff(cuts))
                 bodies = []
@@ -239,7 +256,7 @@ def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
         some = mask > 0
         return pa.table({"content": pa.array(meta[kept, 0][some]), "mask": pa.array(mask[some])})
 
-    held = sifted(texts, wanted, once=True).select("text", "content", "weight", "begin", "windows", "anchor")
+    held = sifted(texts, wanted, once=True).select("text", "content", "weight", "begin", "windows", "key")
     shipped = held.mapInArrow(ship, "shard int, meta binary, words binary")
     return shipped.groupBy("shard").applyInArrow(search, "content long, mask long")
 
@@ -247,11 +264,13 @@ def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, begin, mask): for each text with a repeated window, its segments' first windows and masks, as lists."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     texts = _texts(docs)
     common = context.broadcast(_common(texts))  # at most COMMON pairs of numbers, 4 MB
     occurrences = durable(_occurrences(texts, common, group_count(docs, 4000)))
     found = occurrences.select("content", "id", "begin").join(_masks(texts, occurrences), "content")
-    return durable(found.distinct().groupBy("id").agg(F.collect_list("begin").alias("begin"), F.collect_list("mask").alias("mask")))
+    per = found.groupBy("id").agg(F.collect_set(F.struct("begin", "mask")).alias("found"))
+    return durable(per.select("id", F.col("found.begin").alias("begin"), F.col("found.mask").alias("mask")))
 
 
 def covered_words(count: int, begin: list[int] | None, mask: list[int] | None) -> np.ndarray:
@@ -296,47 +315,48 @@ def _digests(doc_ids: pa.Array, texts: list[bytes | None], begins: list, masks:
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` split by a bitmap of the found texts: rows that surely have no window, and the others with begin and mask."""
+def _parted(docs: DataFrame, found: DataFrame, schema: str, finish) -> tuple[DataFrame, DataFrame]:
+    """``docs`` split by a bitmap of the found texts: what ``finish`` makes of batches that surely have no window, and the other rows with begin and mask."""
     bits = docs.sparkSession.sparkContext.broadcast(sieve(found, "id"))
     width = len(docs.columns)
 
-    def pick(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held = in_sieve(bits.value, batch.column(width + 1).to_numpy())
-                yield batch.filter(pa.array(held == wanted)).select(list(range(width + wanted)))
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = in_sieve(bits.value, batch.column(width + 1).to_numpy())
+            yield finish(batch.filter(pa.array(~held)).select(list(range(width))))
 
-        return run
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = in_sieve(bits.value, batch.column(width + 1).to_numpy())
+            yield batch.filter(pa.array(held)).select(list(range(width + 1)))
 
     rows = docs.withColumn("_id", F.xxhash64("text"))
     rows = rows.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(SIEVE_BITS)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    free = rows.mapInArrow(pick(False), schema)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     lists = found.select(F.col("id").alias("_id"), F.col("begin").alias("_begin"), F.col("mask").alias("_mask"))
-    return free, rows.mapInArrow(pick(True), f"{schema}, _id long").join(lists, "_id", "left").drop("_id")
+    return rows.mapInArrow(free, schema), rows.mapInArrow(touched, f"{own}, _id long").join(lists, "_id", "left").drop("_id")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    free, touched = _parted(rows, repeated_windows(docs))
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            none = [None] * batch.num_rows
-            yield _digests(batch.column(0), byte_rows(batch.column(1)), none, none)
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = [None] * batch.num_rows
+        return _digests(batch.column(0), byte_rows(batch.column(1)), none, none)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _digests(batch.column(0), byte_rows(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
 
-    return free.mapInArrow(plain, RESULT).unionByName(touched.select("doc_id", "text", "_begin", "_mask").mapInArrow(cut, RESULT))
+    free, touched = _parted(rows, repeated_windows(docs), RESULT, plain)
+    return free.unionByName(touched.select("doc_id", "text", "_begin", "_mask").mapInArrow(cut, RESULT))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the covered words taken out of ``text`` and ``n_chars`` counted anew; all columns kept."""
-    free, touched = _parted(docs, repeated_windows(docs))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    free, touched = _parted(docs, repeated_windows(docs), own, lambda batch: batch)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     width = len(docs.columns)
@@ -352,7 +372,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 columns[counted] = pa.array([n if not b or t is None else len(t) for n, b, t in zip(old, begins, texts, strict=True)], batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return free.unionByName(touched.mapInArrow(run, docs.schema))
+    return free.unionByName(touched.mapInArrow(run, own))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

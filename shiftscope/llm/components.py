@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import durable
+from shiftscope.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,25 +14,27 @@ def components(edges: DataFrame) -> DataFrame:
     contracts the edges along these pointers, which at least halves the nodes
     that still have an edge to a lower one; the rounds' pointers are then
     followed one after another.  Every table stays distributed; a hub's edges
-    are reduced by partial minima before they are shuffled.
+    are reduced by partial minima before they are shuffled.  The rounds' tables
+    are written and read again, so that each round plans with their true sizes:
+    estimates carried through checkpoints would multiply from join to join.
     """
-    left = durable(edges.select("a", "b").where("a <> b").distinct())
+    left = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     rounds: list[DataFrame] = []
-    while not left.isEmpty():
+    while left.count():
         both = left.union(left.select("b", "a"))
-        pointer = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        pointer = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "pointers")
         # pointers among neighbours may form chains; two jumps shorten them
+        hop = pointer.select(F.col("a").alias("to"), F.col("to").alias("next"))
         for _ in range(2):
-            hop = pointer.select(F.col("a").alias("to"), F.col("to").alias("next"))
             pointer = pointer.join(hop, "to").select("a", F.col("next").alias("to"))
-        pointer = durable(pointer)
+        pointer = stored(pointer, "pointers")
         rounds.append(pointer)
         ends = left.join(pointer.withColumnRenamed("to", "x"), "a")
         ends = ends.join(pointer.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        left = durable(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     found = nodes.select("node", F.col("node").alias("component"))
     for pointer in rounds:
         step = pointer.select(F.col("a").alias("component"), "to")
         found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return durable(found)
+    return stored(found, "components")

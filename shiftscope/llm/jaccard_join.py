@@ -10,15 +10,15 @@ frequent shingles (a list of fixed length, counted over all documents) last, so
 that a passage that many documents share does not bring them together.  Classes
 that share such a shingle are a tile.
 
-First each class is compared with one likely partner, the tile leader that it
-shares most shingles with; components of these links hold most near copies.
-Then the tiles whose classes lie in different components are joined: classes in
-order of set size, so that only a band of sizes meets; bitmap signatures, whose
-differing bits bound the overlap from above; and for the pairs that remain, the
-exact intersection of the sorted shingle arrays.  A link inside a component
-changes nothing, so no link that matters is lost, and a group of n near copies
-costs about n comparisons and not n squared.  Tiles of many rows are cut into
-blocks that meet in pairs, each in a task of its own.
+Bitmap signatures bound the overlap of two sets from above: a bit that one
+signature alone has is a shingle that the other set lacks.  Pairs in a tile that
+pass the band of sizes and this bound are brought into one cluster; inside a
+tile, classes of one cluster are not compared, so a tile yields fewer edges than
+it has rows.  Every linked pair is then within a cluster.  Each class' text goes
+to its cluster once, where the classes in order of size, the band, the bitmaps
+and the exact intersection of the sorted shingle arrays find links; pairs that
+are already connected are skipped.  A cluster of many classes is cut into blocks
+that meet in pairs, each in a task of its own.
 
 Nulls: a null or wordless text has an empty set, size 0 and itself as component;
 a null doc_id is never a component's id unless all its members' are null.
@@ -34,18 +34,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import byte_rows, documents, durable, group_count, sifted, text_groups, to_blob
+from shiftscope.llm.common import byte_rows, documents, durable, group_count, most_frequent, sifted, small_batches, text_groups, to_blob
 from shiftscope.llm.components import components
 from shiftscope.llm.textops import U, fold, hash_words, mix, ngram_hashes, radix_split
 
 WORDS, PERCENT = 4, 85
 #: the list of frequent shingles: its length, and the count within one slab from which a shingle is reported
-FREQUENT, LOCAL = 1 << 18, 8
-SLAB_SHINGLES = 1 << 21
+FREQUENT, LOCAL = 1 << 18, 4
+SLAB_SHINGLES = 1 << 20
 #: postings of a frequent shingle are dealt over so many parts that each has about this many
 PART_ROWS = 4096
-#: tiles over this many rows are cut into blocks of half as many
+#: tiles and clusters over this many rows are cut into blocks of half as many
 TILE_ROWS = 4096
+#: bits of a signature
+BITS = 2048
 NO_ID = -(1 << 63)
 
 
@@ -84,26 +86,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bit signature of a set, as words of 64 bits: a power of two of bits, about as many as shingles (64 to 8192)."""
-    bits = 64
-    while bits < len(shingles) and bits < 8192:
-        bits *= 2
-    out = np.zeros(bits, dtype=np.uint8)
-    out[((shingles >> U(20)) % U(bits)).astype(np.int64)] = 1
+    """Bit signature of a set, as words of 64 bits."""
+    out = np.zeros(BITS, dtype=np.uint8)
+    out[((shingles >> U(20)) % U(BITS)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(U)
 
 
-def fold_bitmap(words: np.ndarray, size: int) -> np.ndarray:
-    """A signature at a smaller width."""
-    while len(words) > size:
-        words = words[: len(words) // 2] | words[len(words) // 2 :]
-    return words
+def possible(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether pairs of sets may link, by their sizes and the bits that one signature alone has."""
+    alone = np.bitwise_count(bits_a & ~bits_b).sum(axis=-1, dtype=np.int64)
+    beyond = np.bitwise_count(bits_b & ~bits_a).sum(axis=-1, dtype=np.int64)
+    most = np.minimum(n_a - alone, n_b - beyond)
+    return 100 * most >= percent * (n_a + n_b - most)
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """The most frequent shingles and their counts, by shingle: at most ``FREQUENT`` rows."""
+def _scan(texts: DataFrame) -> DataFrame:
+    """One pass over the texts: rows (kind, doc_id, id, node, n, bits), kind 0 for a document's class, 1 for a shingle's count in a slab."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "doc_id", "id", "node", "n", "bits"]
         waiting: list[np.ndarray] = []
         held = 0
         seen: set[int] = set()
@@ -111,13 +112,19 @@ def _frequent(texts: DataFrame) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(waiting), return_counts=True)
             often = counts >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+            values, counts = values[often].view(np.int64), counts[often]
+            none = pa.nulls(len(values), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), dtype=np.int32)), none, none, pa.array(values), pa.array(counts), pa.nulls(len(values), pa.binary())], names=names)
 
         for batch in batches:
-            rows = byte_rows(batch.column(0))
+            rows = byte_rows(batch.column(2))
             for i, j in text_groups(rows):
-                for s in shingle_sets(rows[i:j]):
-                    if len(s) and (key := class_of(s)) not in seen:
+                sets = shingle_sets(rows[i:j])
+                keys = [class_of(s) for s in sets]
+                columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([to_blob(bitmap(s)) if len(s) else None for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, dtype=np.int32)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *columns], names=names)
+                for key, s in zip(keys, sets, strict=True):
+                    if len(s) and key not in seen:
                         seen.add(key)
                         waiting.append(s)
                         held += len(s)
@@ -127,11 +134,13 @@ def _frequent(texts: DataFrame) -> np.ndarray:
         if waiting:
             yield flush()
 
-    found = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    values = top["shingle"].to_numpy(dtype=np.int64).view(U)
-    order = np.argsort(values)
-    return np.stack([values[order], top["n"].to_numpy(dtype=np.int64).view(U)[order]])
+    return texts.select("doc_id", "id", "text").mapInArrow(run, "kind int, doc_id long, id long, node long, n long, bits binary")
+
+
+def _frequent(scanned: DataFrame) -> np.ndarray:
+    """The most frequent shingles and their counts, by shingle: at most ``FREQUENT`` of them."""
+    found = scanned.where("kind = 1").groupBy(F.col("node").alias("shingle")).agg(F.sum("n").alias("n"))
+    return most_frequent(found, "shingle", FREQUENT)
 
 
 def _prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -157,20 +166,6 @@ def _parts(tokens: np.ndarray, nodes: np.ndarray, frequent: np.ndarray) -> np.nd
     return mix(nodes) % dealt
 
 
-def _classes(texts: DataFrame) -> DataFrame:
-    """(doc_id, id, node, n, bits) of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = byte_rows(batch.column(2))
-            for i, j in text_groups(rows):
-                sets = shingle_sets(rows[i:j])
-                columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([to_blob(bitmap(s)) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *columns], names=["doc_id", "id", "node", "n", "bits"])
-
-    return texts.select("doc_id", "id", "text").mapInArrow(run, "doc_id long, id long, node long, n long, bits binary")
-
-
 def _postings(texts: DataFrame, frequent, groups: int) -> DataFrame:
     """(grp, blob): postings (shingle, class, set size) of all prefixes, packed by group of shingles."""
 
@@ -253,100 +248,208 @@ def _tiles(postings: DataFrame, frequent) -> DataFrame:
     return postings.groupBy("grp").applyInArrow(run, "kind int, a long, b long, n long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link, by exact intersection of their arrays."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = durable(used.join(classes.select("node", "id"), "node"))
-    held = durable(sifted(texts.select("id", "text"), wanted).select("node", "text"))
-    both = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+class Clusters:
+    """Union-find over cluster numbers."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        while (j := self.parent.get(i, i)) != i:
+            self.parent[i] = self.parent.get(j, j)
+            i = j
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether two clusters were apart before."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: int, least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys (the first ``keys`` columns) from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = [table.column(k)[-1] for k in range(keys)]
+        low, high = 0, table.num_rows - 1  # the first row with the last key
+        while low < high:
+            mid = (low + high) // 2
+            if all(table.column(k)[mid] == last[k] for k in range(keys)):
+                high = mid
+            else:
+                low = mid + 1
+        if low:
+            yield table.slice(0, low)
+        rest = table.slice(low)
+        held, rows = rest.to_batches(), rest.num_rows
+        least = max(20_000, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _likely(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each class with the leader that it shares most shingles with, if the bitmaps allow a link."""
+    partners = tiles.where("kind = 1").groupBy("b", "a").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    own = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    other = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    both = partners.join(own, "b").join(other, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, bytes, np.ndarray] | None = None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = byte_rows(batch.column(2)), byte_rows(batch.column(3))
-            keep = []
-            for i, j in text_groups(right):
-                for k, y in zip(range(i, j), shingle_sets(right[i:j]), strict=True):
-                    if last is None or last[0] != a[k] or last[1] != left[k]:
-                        last = (a[k], left[k], shingle_sets([left[k]])[0])
-                    # an id that names several texts brings texts of other classes along
-                    if class_of(last[2]) == a[k] and class_of(y) == b[k] and linked(last[2], y):
-                        keep.append(k)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return durable(both.mapInArrow(run, "a long, b long").distinct())
-
-
-def _tile_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a tile and pass the size band and the bitmap bound."""
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=U).reshape(batch.num_rows, -1) for c in (4, 5)]
+            good = possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *bits)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return durable(both.mapInArrow(run, "a long, b long"))
+
+
+def _blocks(rows: DataFrame, size: str, salt: int) -> DataFrame:
+    """Add low and high: rows of a key with many rows are dealt to blocks, each row meeting every block once."""
+    blocks = F.when(F.col(size) > TILE_ROWS, F.ceil(F.col(size) / (TILE_ROWS // 2))).otherwise(1).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+
+def _tile_edges(tiles: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges between clusters whose classes share a tile and may link; within a tile, no more than it has clusters."""
     rows = tiles.select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # tiles with the same classes are one tile; tiles within one component are done
+    # tiles with the same classes are one tile; tiles within one cluster are done
     size = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
     size = size.where("low <> high").groupBy("mark", "rows").agg(F.min("token").alias("token"))
     rows = rows.join(size.select("token", "rows"), "token").join(classes.select("node", "bits"), "node")
-    blocks = F.when(F.col("rows") > TILE_ROWS, F.ceil(F.col("rows") / (TILE_ROWS // 2))).otherwise(1).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        crossing = key[1].as_py() != key[2].as_py()
-        n = table.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        n, node, component, own = n[order], *(table.column(c).to_numpy()[order] for c in ("node", "component", "own"))
-        raw = table.column("bits").to_pylist()
-        bits = [np.frombuffer(raw[k], dtype=U) for k in order]
+    rows = _blocks(rows, "rows", 9).select("token", "low", "high", "n", "own", "node", "component", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _sorted_runs(batches, 3):
+            token, low, high, n, own, node, component = (table.column(c).to_numpy() for c in range(7))
+            bits = np.frombuffer(b"".join(table.column(7).to_pylist()), dtype=U).reshape(len(n), -1)
+            tile = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            crossing = low != high
+            clusters, cluster = Clusters(), component.copy()
+            a, b = [], []
+            alive, step = np.arange(len(n)), 0
+            while alive.size:  # rows are compared with the next one, the one after that, ... of their tile
+                step += 1
+                alive = alive[alive + step < len(n)]
+                other = alive + step
+                inside = (tile[other] == tile[alive]) & (PERCENT * n[other] <= 100 * n[alive])
+                alive, other = alive[inside], other[inside]
+                some = (cluster[alive] != cluster[other]) & (~crossing[alive] | (own[alive] != own[other]))
+                x, y = alive[some], other[some]
+                for i in range(0, len(x), 1 << 14):
+                    part = slice(i, i + (1 << 14))
+                    good = possible(n[x[part]], n[y[part]], bits[x[part]], bits[y[part]])
+                    for p, q in zip(x[part][good].tolist(), y[part][good].tolist(), strict=True):
+                        if clusters.join(int(component[p]), int(component[q])):
+                            a.append(int(node[p]))
+                            b.append(int(node[q]))
+                if step & (step - 1) == 0 and clusters.parent:  # now and then, let joined clusters drop out
+                    names, inverse = np.unique(component, return_inverse=True)
+                    cluster = np.array([clusters.root(int(c)) for c in names])[inverse]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node")
+    return durable(dealt.mapInArrow(run, "a long, b long"))
+
+
+def _links(clusters: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is connected in each cluster, by exact intersections."""
+    size = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = durable(clusters.join(size, "component").join(classes.select("node", "id", "n"), "node"))
+    rows = sifted(texts.select("id", "text"), wanted)  # an id may name several texts
+    rows = _blocks(rows, "rows", 10).select("component", "low", "high", "n", "own", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # key, then per class: sets, signatures, sizes, ids, blocks, component numbers
         a, b = [], []
-        # sets of one width lie side by side; a wider one is folded to a narrower one's width
-        width = np.array([len(x) for x in bits])
-        for w in np.unique(width):
-            left = np.flatnonzero(width == w)
-            band = np.searchsorted(n, n[left] * 100 // PERCENT, side="right")
-            stop = int(band.max())
-            begin = int(left[0])
-            matrix = np.stack([fold_bitmap(x, w) for x in bits[begin:stop]])
-            for i, end in zip(left.tolist(), band.tolist(), strict=True):
-                if end <= i + 1:
-                    continue
-                part = slice(i + 1 - begin, end - begin)
-                mine, theirs = matrix[i - begin], matrix[part]
-                # each bit that one signature alone has is a shingle that the other set lacks
-                alone = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
-                beyond = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
-                most = np.minimum(n[i] - alone, n[i + 1 : end] - beyond)
-                good = 100 * most >= PERCENT * (n[i] + n[i + 1 : end] - most)
-                good &= component[i + 1 : end] != component[i]
-                if crossing:
-                    good &= own[i + 1 : end] != own[i]
-                hits = np.flatnonzero(good) + i + 1
-                a.append(np.full(len(hits), node[i]))
-                b.append(node[hits])
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
-
-    pairs = rows.select("token", "low", "high", "own", "node", "n", "component", "bits").groupBy("token", "low", "high").applyInArrow(run, "a long, b long")
-    return durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            owns, nodes, raw = batch.column(4).to_pylist(), batch.column(5).to_pylist(), byte_rows(batch.column(6))
+            for i, j in text_groups(raw):
+                for k, x in zip(range(i, j), shingle_sets(raw[i:j]), strict=True):
+                    if class_of(x) != nodes[k]:
+                        continue  # an id that names several texts brings texts of other classes along
+                    if state is None or state.key != keys[k]:
+                        state = _Cluster(keys[k])
+                    for other in state.add(x, nodes[k], owns[k]):
+                        a.append(other)
+                        b.append(nodes[k])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "n", "node")
+    return durable(dealt.mapInArrow(run, "a long, b long"))
+
+
+class _Cluster:
+    """The classes of a cluster (or of two of its blocks) so far, in order of size."""
+
+    def __init__(self, key: tuple):
+        self.key = key
+        self.sets: list[np.ndarray] = []
+        self.sizes = np.zeros(16, dtype=np.int64)
+        self.bits = np.zeros((16, BITS // 64), dtype=U)
+        self.owns = np.zeros(16, dtype=np.int64)
+        self.nodes: list[int] = []
+        self.labels = np.arange(16)
+        self.first = 0
+
+    def add(self, x: np.ndarray, node: int, own: int) -> list[int]:
+        """One linked class of each component that the new class connects; then it belongs to all of them."""
+        k = len(self.sets)
+        if self.nodes and self.nodes[-1] == node:
+            return []
+        if k == len(self.sizes):
+            self.sizes, self.owns = (np.concatenate([v, np.zeros_like(v)]) for v in (self.sizes, self.owns))
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+            self.labels = np.concatenate([self.labels, np.arange(k, 2 * k)])
+        self.sets.append(x)
+        self.nodes.append(node)
+        self.sizes[k], self.owns[k], self.bits[k] = len(x), own, bitmap(x)
+        while 100 * self.sizes[self.first] < PERCENT * len(x):  # sizes beyond the band are behind for good
+            self.sets[self.first] = None
+            self.first += 1
+        old = slice(self.first, k)
+        good = possible(self.sizes[old], np.int64(len(x)), self.bits[old], self.bits[k])
+        if self.key[1] != self.key[2]:
+            good &= self.owns[old] != own
+        out, done = [], set()
+        for i in (np.flatnonzero(good) + self.first).tolist():
+            label = int(self.labels[i])
+            if label not in done and linked(self.sets[i], x):
+                done.add(label)
+                out.append(self.nodes[i])
+        if done:
+            low = min(done)
+            self.labels[: k + 1][np.isin(self.labels[: k + 1], list(done))] = low
+            self.labels[k] = low
+        return out
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Memberships (doc_id, node, n) of all documents, and (node, component_id) of all classes but the empty one."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), "text")
     groups = group_count(docs, 4000)
-    frequent = context.broadcast(_frequent(texts))  # at most FREQUENT pairs of numbers, 4 MB
-    members = durable(_classes(texts).select("doc_id", "node", "n", "id", "bits"))
-    classes = durable(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.first("bits").alias("bits")))
+    scanned = durable(_scan(texts))
+    frequent = context.broadcast(_frequent(scanned))  # at most FREQUENT pairs of numbers, 4 MB
+    members = scanned.where("kind = 0")
+    classes = durable(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     tiles = durable(_tiles(_postings(texts, frequent, groups), frequent))
-    partners = tiles.where("kind = 1").groupBy("b", "a").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    likely = _verified(durable(partners), classes, texts)
-    found = components(likely)
-    more = _verified(_tile_pairs(tiles.where("kind = 0"), classes, found), classes, texts)
-    if not more.isEmpty():
-        found = components(likely.union(more))
+    likely = _likely(tiles, classes)
+    more = _tile_edges(tiles.where("kind = 0"), classes, components(likely))
+    found = components(_links(components(likely.union(more)), classes, texts))
     named = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.select("doc_id", "node", "n"), named.join(least, "component").select("node", "component_id")

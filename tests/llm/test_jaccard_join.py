@@ -91,6 +91,13 @@ def test_null_ids(table):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("6", "6"), ("None", "6"), ("None", "None")]
 
 
+def test_an_id_may_name_several_texts(table):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, "p q r s t")]
+    got = J.linked_documents(table(rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (9, 9)}
+
+
 def test_bitmap_bound_never_cuts_a_link():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -16,6 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not predict toxic."""
+    common.small_batches(spark)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.fit(docs, labels))

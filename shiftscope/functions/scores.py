@@ -18,8 +18,11 @@ MOST = 400
 
 def null_bits(y: np.ndarray) -> float:
     """Bits under a Gaussian with fitted mean and variance."""
-    n = len(y)
-    return n / 2 * math.log2(2 * math.pi * math.e * max(1e-12, float(np.var(y)))) + math.log2(max(2, n))
+    return null_bits_of(len(y), float(np.var(y)))
+
+
+def null_bits_of(n: int, var: float) -> float:
+    return n / 2 * math.log2(2 * math.pi * math.e * max(1e-12, var)) + math.log2(max(2, n))
 
 
 def gp_bits(x: np.ndarray, y: np.ndarray, restarts: int = 10, seed: int = 0, most: int = MOST) -> float:
@@ -35,8 +38,21 @@ def gp_bits(x: np.ndarray, y: np.ndarray, restarts: int = 10, seed: int = 0, mos
     if n > most:
         keep = np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
         return gp_bits(x[keep], y[keep], restarts, seed, most) * n / most
-    x = (x - x.mean(0)) / (x.std(0) + 1e-12)
-    y = (y - y.mean()) / (y.std() + 1e-12)
+    return gp_bits_repeated(x, np.ones(n), y, np.zeros(n), restarts, seed)
+
+
+def gp_bits_repeated(x: np.ndarray, count: np.ndarray, mean: np.ndarray, within: np.ndarray, restarts: int = 10, seed: int = 0) -> float:
+    """``gp_bits`` of all rows from their count, mean target and squared deviations within each distinct input.
+
+    Exact, since rows of equal input share the process' value: the cost is the cube of the distinct inputs.
+    """
+    n, m = float(count.sum()), len(count)
+    x = np.asarray(x, dtype=float).reshape(m, -1)
+    middle = count @ x / n
+    x = (x - middle) / (np.sqrt(count @ (x - middle) ** 2 / n) + 1e-12)
+    middle = count @ mean / n
+    spread = math.sqrt((count @ (mean - middle) ** 2 + within.sum()) / n) + 1e-12
+    y, inner = (mean - middle) / spread, float(within.sum()) / spread**2
     d2 = np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T)
 
     def nll(theta: np.ndarray) -> float:
@@ -45,12 +61,13 @@ def gp_bits(x: np.ndarray, y: np.ndarray, restarts: int = 10, seed: int = 0, mos
         jitter = 1e-6
         for _ in range(6):
             try:
-                low = np.linalg.cholesky(k + (noise + jitter) * np.eye(n))
+                low = np.linalg.cholesky(k + np.diag((noise + jitter) / count))
             except np.linalg.LinAlgError:
                 jitter *= 10
                 continue
             a = np.linalg.solve(low, y)
-            return float(0.5 * a @ a + np.log(np.diag(low)).sum() + 0.5 * n * math.log(2 * math.pi))
+            same = 0.5 * inner / (noise + jitter) + 0.5 * (n - m) * math.log(2 * math.pi * (noise + jitter)) + 0.5 * np.log(count).sum()
+            return float(0.5 * a @ a + np.log(np.diag(low)).sum() + 0.5 * m * math.log(2 * math.pi) + same)
         return math.inf
 
     rng = np.random.default_rng(seed)
@@ -59,7 +76,7 @@ def gp_bits(x: np.ndarray, y: np.ndarray, restarts: int = 10, seed: int = 0, mos
     grid = [best + 0.75 * np.array([a, b, c]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     value = min(map(nll, grid))
     if not math.isfinite(value):
-        return null_bits(y)
+        return null_bits_of(int(n), spread**2)
     return (value + 1.5 * math.log(n)) / LN2
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
-from shiftscope.operators import scoring
+from shiftscope.operators import row_tests, scoring
 from shiftscope.plans import confounding, constraint, mixtures, ordering
 from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
@@ -21,20 +20,20 @@ def _lineitem(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_shipdate", *COLS)
 
 
-def _per_flag(spark, sf_dir: str, run, schema: str, most: int = 400) -> DataFrame:
-    rows = scoring.sampled(_lineitem(spark, sf_dir).drop("l_shipdate"), ["l_returnflag"], most)
-    return rows.groupBy("l_returnflag").applyInPandas(run, schema)
-
-
 def gp_bits(spark, sf_dir):
-    """Exact kernel score of price given quantity per return flag, on a bounded sample."""
+    """Exact kernel score of price given quantity per return flag, over all rows: they meet in few quantities."""
+    rows = _lineitem(spark, sf_dir).dropna(subset=["l_quantity", "l_extendedprice"]).groupBy("l_returnflag", "l_quantity")
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.var_pop("l_extendedprice").alias("var"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(COLS)
-        x, y = part[["l_quantity"]].to_numpy(), part["l_extendedprice"].to_numpy()
-        return pd.DataFrame({"l_returnflag": [key[0]], "n": [len(y)], "bits": [scores.gp_bits(x, y)], "null_bits": [scores.null_bits(y)]})
+        part = part.sort_values("l_quantity")
+        x, n, mean, var = (part[c].to_numpy(dtype=float) for c in ("l_quantity", "n", "mean", "var"))
+        centre = n @ mean / n.sum()
+        bits = scores.gp_bits_repeated(x[:, None], n, mean, n * var)
+        null = scores.null_bits_of(int(n.sum()), float(n @ (var + (mean - centre) ** 2) / n.sum()))
+        return pd.DataFrame({"l_returnflag": [key[0]], "n": [int(n.sum())], "bits": [bits], "null_bits": [null]})
 
-    return _per_flag(spark, sf_dir, run, "l_returnflag string, n long, bits double, null_bits double", 150)
+    return rows.groupBy("l_returnflag").applyInPandas(run, "l_returnflag string, n long, bits double, null_bits double")
 
 
 def spline_bits(spark, sf_dir):
@@ -48,21 +47,31 @@ def spline_bits(spark, sf_dir):
 
 
 def independence_tests(spark, sf_dir):
-    """p values of several tests of discount and tax given quantity per return flag, on a bounded sample."""
+    """p values of several tests of discount and tax given quantity per return flag.
+
+    Tests of linear cost see all rows; ``kci``, ``cmi``, ``mmd`` and ``kcd`` cost the
+    square of their rows and see a sample.  Two-sample tests compare every other row in
+    the order of the measures.
+    """
+    flag, x, y, z = "l_returnflag", "l_discount", "l_tax", "l_quantity"
+    rows = row_tests.ranked(_lineitem(spark, sf_dir).drop("l_shipdate").dropna(subset=COLS), flag, COLS).withColumn("half", F.col("rank") % 2).persist()
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(COLS)
-        x, y, z = (part[[c]].to_numpy() for c in ("l_discount", "l_tax", "l_quantity"))
-        half = (np.arange(len(part)) % 2).astype(float)
-        found = {
-            "fisherz": ci.fisher_z(np.corrcoef(np.hstack([x, y, z]).T), len(x), 0, 1, (2,)),
-            "kci": ci.kci(x, y, z), "cmi": ci.cmi_permutation(x, y, z, shuffles=30), "classifier": ci.classifier_two_sample(x, y, z),
-            "mmd": ci.mmd(y[half > 0.5], y[half < 0.5]), "kcd": ci.kcd(z, y[:, 0], half, permutations=50),
-            "residuals": ci.invariant_residuals(z, y[:, 0], half), "linear": ci.linear_params(z, y[:, 0], half),
-        }
-        return pd.DataFrame([(key[0], t, float(s), float(p)) for t, (s, p) in found.items()], columns=["l_returnflag", "test", "stat", "p"])
-
-    return _per_flag(spark, sf_dir, run, "l_returnflag string, test string, stat double, p double", 200)
+        part = part.sort_values("rank")
+        a, b, c = (part[[n]].to_numpy() for n in (x, y, z))
+        half = part["half"].to_numpy(dtype=float)
+        found = {"kci": ci.kci(a, b, c), "cmi": ci.cmi_permutation(a, b, c), "mmd": ci.mmd(b[half > 0.5], b[half < 0.5]), "kcd": ci.kcd(c, b[:, 0], half)}
+        return pd.DataFrame([(key[0], t, float(s), float(p)) for t, (s, p) in found.items()], columns=[flag, "test", "stat", "p"])
+
+    schema = "l_returnflag string, test string, stat double, p double"
+    out = [tuple(r) for r in scoring.sampled(rows, [flag], ci.MOST).groupBy(flag).applyInPandas(run, schema).collect()]
+    found = {g: dict(tests) for g, tests in row_tests.regression_tests(rows, flag, x, y, z, "half").items()}
+    for name, tests in (("residuals", row_tests.residual_test(rows, flag, z, y, "half")), ("classifier", row_tests.classifier(rows, flag, x, y, z))):
+        for g, result in tests.items():
+            found[g][name] = result
+    rows.unpersist()
+    out += [(g, t, float(s), float(p)) for g, tests in found.items() for t, (s, p) in tests.items()]
+    return spark.createDataFrame(sorted(out), schema)
 
 
 def pelt_changepoints(spark, sf_dir):

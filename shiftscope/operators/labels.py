@@ -89,6 +89,23 @@ def g2(df: DataFrame, x: str, y: str, z: list[str] = ()) -> DataFrame:
     return counts.agg(F.sum(2 * n * F.log(n * nz / (nx * ny))).alias("g2"), dof.alias("dof"))
 
 
+def g2_of_counts(counts: DataFrame, x: str, y: str, z: list[str] = ()) -> tuple[float, int, int]:
+    """G squared of x and y given z, the strata that occur and the rows, from a table of row values and their count ``_n``.
+
+    The statistic is a difference of sums of n log n over the cells and their margins, so no window sees all cells.
+    """
+
+    def part(name: str, keys: list[str]) -> DataFrame:
+        cells = (counts.groupBy(*keys) if keys else counts).agg(F.sum("_n").cast("double").alias("n"))
+        return cells.agg(F.lit(name).alias("name"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("n").alias("cells"), F.sum("n").alias("n"))
+
+    z = list(z)
+    tables = [part("xyz", [x, y, *z]), part("xz", [x, *z]), part("yz", [y, *z]), part("z", z)]
+    found = {r["name"]: r for r in tables[0].unionAll(tables[1]).unionAll(tables[2]).unionAll(tables[3]).collect()}  # four rows
+    s = {name: r["s"] or 0.0 for name, r in found.items()}
+    return max(0.0, 2 * (s["xyz"] + s["z"] - s["xz"] - s["yz"])), found["z"]["cells"], int(found["z"]["n"] or 0)
+
+
 def power_divergence(df: DataFrame, x: str, y: str, z: list[str] = (), power: float = 1.0) -> DataFrame:
     """Cressie-Read statistic summed over strata (power 1 is Pearson's chi squared); empty cells count."""
     z = list(z)

@@ -76,8 +76,17 @@ def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candid
 
 
 def sampled(df: DataFrame, by: list[str], most: int, seed: int = 0) -> DataFrame:
-    """At most about ``most`` rows per group, by a hash of the whole row; smaller groups stay whole."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    """About ``most`` rows per group; smaller groups stay whole.
+
+    Equal rows are counted first, and a row value of count c stays c * share times, rounded
+    up or down by a hash of the value: repeated values keep their share, whatever the partitions.
+    """
+    cols = df.columns
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.groupBy(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by))).agg(F.count(F.lit(1)).alias("_n"))
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    counts = counts.join(F.broadcast(sizes), same) if by else counts.crossJoin(F.broadcast(sizes))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 20)) / float(1 << 20)
-    return df.join(F.broadcast(sizes) if by else sizes, by).where(draw < share).drop("_n")
+    draw = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / float(1 << 40)
+    kept = F.floor(F.col("_c") * share + draw).cast("int")
+    return counts.where(kept > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), kept))).select(*cols)

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 
 from shiftscope.functions import independence as ci, scores
-from shiftscope.operators import row_tests
-from shiftscope.plans import model_queries
+from shiftscope.operators import row_tests, scoring
+from shiftscope.plans import constraint, model_queries
 
 
 def test_repeated_inputs_score_like_the_full_kernel():
@@ -50,3 +50,23 @@ def test_classifier_finds_what_a_sample_would_lose(spark):
     order = rows.withColumn("rank", (rows["rank"] * 7919) % (n // 2))  # a split that does not follow y
     got = row_tests.classifier(order, "g", "x", "y", "z")
     assert got["a"][1] < 1e-4 and got["b"][1] > 0.01
+
+
+def test_equal_rows_are_drawn_by_their_number(spark):
+    rows = spark.createDataFrame(pd.DataFrame({"g": [0] * 6000 + [1] * 40, "v": [*np.repeat([1, 2, 3], [3000, 2000, 1000]), *range(40)]}))
+    got = scoring.sampled(rows, ["g"], 600).groupBy("g", "v").count().toPandas()
+    assert np.abs(got[got["g"] == 0].sort_values("v")["count"].to_numpy() - [300, 200, 100]).max() <= 1
+    assert got[got["g"] == 1]["count"].tolist() == [1] * 40
+    few = scoring.sampled(spark.createDataFrame([(None, 1.0)] * 50, "g string, v double"), ["g"], 10)
+    assert 10 <= few.count() <= 11
+
+
+def test_g_square_counts_all_rows(spark):
+    rng = np.random.default_rng(2)
+    z = rng.integers(0, 3, 20000)
+    x, y = (z + rng.integers(0, 3, 20000)) % 5, (z + rng.integers(0, 4, 20000)) % 4
+    rows = pd.DataFrame({"x": x, "y": y, "z": z})
+    test = constraint.ci_test(spark.createDataFrame(rows), ["x", "y", "z"], "gsq")
+    assert test(0, 1, ()) == pytest.approx(ci.g_square(x, y)[1], rel=1e-6)
+    assert test(0, 1, (2,)) == pytest.approx(ci.g_square(x, y, z[:, None])[1], rel=1e-6)
+    assert test(0, 2, ()) == pytest.approx(ci.g_square(x, z)[1], abs=1e-12)

@@ -436,7 +436,7 @@ class _Cluster:
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Memberships (doc_id, node, n) of all documents, and (node, component_id) of all classes but the empty one."""
+    """Memberships (doc_id, node, n) of all documents, and (node, component, component_id) of all classes but the empty one."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
@@ -452,7 +452,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(_links(components(likely.union(more)), classes, texts))
     named = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return members.select("doc_id", "node", "n"), named.join(least, "component").select("node", "component_id")
+    return members.select("doc_id", "node", "n"), named.join(least, "component").select("node", "component", "component_id")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
@@ -462,15 +462,38 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with the class of each text as ``_node``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = byte_rows(batch.column(at))
+            keys = [class_of(s) for i, j in text_groups(rows) for s in shingle_sets(rows[i:j])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, _node long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component kept: the one whose id names it (all columns).
+    """The documents with one of each component kept: one whose id names it (all columns).
 
-    Documents without words and those without an id in a component without ids stay.
+    An id that names several texts stands for each of them apart.  Documents without
+    words and those without an id stay.
     """
-    found = linked_documents(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    members, classes = join(docs)
+    members = members.where("doc_id is not null")
+    own = members.where("n > 0").join(classes, "node").where("doc_id = component_id")
+    kept = own.groupBy("component").agg(F.first("doc_id").alias("_id"), F.min("node").alias("_kept")).select("_id", "_kept")
+    kept = kept.unionByName(members.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")).distinct())
+    several = members.groupBy(F.col("doc_id").alias("_id")).agg((F.min("node") < F.max("node")).alias("_several")).where("_several").select("_id")
+    one = kept.join(several, "_id", "left_anti")
+    named = docs.join(one, docs["doc_id"] == one["_id"], "left_semi").dropDuplicates(["doc_id"])
+    # only where an id names texts of several classes are the classes of its rows needed
+    rows = _with_node(docs.join(several, docs["doc_id"] == several["_id"], "left_semi"))
+    apart = rows.join(kept, (rows["doc_id"] == kept["_id"]) & (rows["_node"] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return named.unionByName(apart).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -92,10 +92,8 @@ def topological_contexts(spark, sf_dir):
 
 
 def topological_changes(spark, sf_dir):
-    """Which contexts of generated rows share each node's mechanism."""
-    edges = {(0, 1), (1, 2)}
-    df = gen.context_rows(spark, edges, 3, 4, 400, 3, {0: [0] * 4, 1: [0, 0, 1, 1], 2: [0] * 4})
-    return Topological(["x0", "x1", "x2"], "context", "lin").fit(df).changes(spark)
+    """Which return flags share each lineitem measure's mechanism."""
+    return Topological(COLS, "l_returnflag", "lin").fit(_lineitem(spark, sf_dir)).changes(spark)
 
 
 def lagged_regime_edges(spark, sf_dir):

@@ -70,3 +70,8 @@ def test_g_square_counts_all_rows(spark):
     assert test(0, 1, ()) == pytest.approx(ci.g_square(x, y)[1], rel=1e-6)
     assert test(0, 1, (2,)) == pytest.approx(ci.g_square(x, y, z[:, None])[1], rel=1e-6)
     assert test(0, 2, ()) == pytest.approx(ci.g_square(x, z)[1], abs=1e-12)
+
+
+def test_changes_are_those_of_the_table(spark, sf_dir):
+    got = {(r.node, r.context) for r in model_queries.topological_changes(spark, sf_dir).collect()}
+    assert got == {(c, f) for c in model_queries.COLS for f in "ANR"}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shiftscope.llm.common import documents, durable
-from shiftscope.llm.textops import HashIndex, span_hashes
+from shiftscope.llm.textops import SECOND, HashIndex, distinct_pairs, span_hashes
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -138,7 +138,7 @@ class Encoder:
     The vocabulary's normalizer and splitter never join text across ASCII white
     space, so a text's ids are those of its chunks one after another.  Plain
     texts are split here as the vocabulary's rule says: the pretokens' spans
-    and 64-bit hashes are computed for a whole group of texts at once and
+    and 128-bit hashes are computed for a whole group of texts at once and
     looked up.  Any other chunk goes through the whole tokenizer.
     """
 
@@ -162,7 +162,7 @@ class Encoder:
             key = "".join(self.alphabet[b] for b in key.encode())
         return [t.id for t in self.model.tokenize(key)]
 
-    def _learn(self, hashes: np.ndarray, keys: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, keys: list[str]) -> None:
         found = [self._pretoken(k) for k in keys]
         known = self.index.known
         n = known + len(keys)
@@ -172,7 +172,7 @@ class Encoder:
         while self.ends[n] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.ends[known] : self.ends[n]] = [i for x in found for i in x]
-        self.index.add(hashes)
+        self.index.add(hashes, checks)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of plain texts."""
@@ -188,18 +188,17 @@ class Encoder:
         inside = kinds[starts] != 0
         starts, ends = starts[inside], ends[inside]
         bounds = np.cumsum([0, *(len(t) + 1 for t in raw)])
-        hashes = span_hashes(data, starts, ends)
-        at = self.index.get(hashes)
+        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, SECOND)
+        at = self.index.get(hashes, checks)
         if (missing := np.flatnonzero(at < 0)).size:
-            new, first = np.unique(hashes[missing], return_index=True)
-            if self.index.known + len(new) > self.limit and self.index.known:
+            where = missing[distinct_pairs(hashes[missing], checks[missing])]
+            if self.index.known + len(where) > self.limit and self.index.known:
                 self.clear()
                 return self._plain(texts)
-            if self.index.known + len(new) > 2 * self.limit:  # one group that no memo holds
+            if self.index.known + len(where) > 2 * self.limit:  # one group that no memo holds
                 return [x for t in texts for x in self._plain([t])] if len(texts) > 1 else [self._chunks(texts[0])]
-            where = missing[first]
-            self._learn(new, [data[s:e].tobytes().decode() for s, e in zip(starts[where], ends[where], strict=True)])
-            at[missing] = self.index.get(hashes[missing])
+            self._learn(hashes[where], checks[where], [data[s:e].tobytes().decode() for s, e in zip(starts[where], ends[where], strict=True)])
+            at[missing] = self.index.get(hashes[missing], checks[missing])
         begins = self.ends[at]
         lengths = self.ends[at + 1] - begins
         sums = np.zeros(len(at) + 1, dtype=np.int64)

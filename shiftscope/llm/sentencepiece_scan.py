@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.llm.common import documents, durable, text_groups
-from shiftscope.llm.textops import HashIndex, U, _INVERSE, _BASE, _TABLE, mix, span_hashes
+from shiftscope.llm.textops import SECOND, HashIndex, U, distinct_pairs, mix, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 15
@@ -51,6 +51,19 @@ MEMO = 400_000
 #: parts of more bytes are solved one by one
 LONG = 64
 LOW = -1e300
+#: chunks of giant documents that a task takes at a time
+CHUNKS_EACH = 64
+#: pieces are looked up by a polynomial over a table of bytes modulo 2**64, with their first 8 bytes as a check
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_TABLE = mix((np.arange(256, dtype=U) + U(1)) * U(_BASE))
+
+
+def _piece_hash(piece: bytes) -> int:
+    total, power = 0, 1
+    for b in piece:
+        total, power = total + int(_TABLE[b]) * power & 0xFFFFFFFFFFFFFFFF, power * _BASE & 0xFFFFFFFFFFFFFFFF
+    return int(mix(np.array([total + len(piece) & 0xFFFFFFFFFFFFFFFF], dtype=U))[0])
 
 
 class Lattice:
@@ -90,10 +103,9 @@ class Lattice:
             raw = np.frombuffer(p.encode(), dtype=np.uint8).astype(np.int64)
             self.joined[raw[:-1] * 256 + raw[1:]] = True
         names = [p.encode() for p in self.pieces]
-        data = np.frombuffer(b"".join(names), dtype=np.uint8)
-        ends = np.cumsum([len(n) for n in names])
+        self.widest = max(map(len, names))
         self.index = HashIndex(len(names))
-        self.index.add(span_hashes(data, np.concatenate([[0], ends[:-1]]), ends))
+        self.index.add(np.array([_piece_hash(n) for n in names], dtype=U), np.array([int.from_bytes(n[:8], "little") for n in names], dtype=U))
         self.scores = np.array([s for s, _ in self.pieces.values()])
         self.ids = np.array([i for _, i in self.pieces.values()], dtype=np.uint32)
         self.byte_ids = np.array(self.bytes, dtype=np.uint32)
@@ -147,7 +159,7 @@ class Lattice:
         self.flat = np.zeros(4096, dtype=np.uint32)
         self.totals = np.zeros(1024)
 
-    def _store(self, hashes: np.ndarray, totals: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+    def _store(self, hashes: np.ndarray, checks: np.ndarray, totals: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         known, n = self.memo.known, self.memo.known + len(hashes)
         while n >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
@@ -158,7 +170,7 @@ class Lattice:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.ends[known] : self.ends[n]] = ids
         self.totals[known:n] = totals
-        self.memo.add(hashes)
+        self.memo.add(hashes, checks)
 
     def _solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best scores, numbers of ids and ids of many short parts side by side."""
@@ -181,14 +193,16 @@ class Lattice:
         best = np.full((longest + 1, n), LOW)
         best[0] = 0.0
         back, via = np.zeros((longest + 1, n), dtype=np.int16), np.full((longest + 1, n), -1, dtype=np.int32)
-        most = max(len(p.encode()) for p in self.pieces)
+        lanes8 = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))
         for t in range(longest):
             lanes = np.flatnonzero(lead[t, : active[t]])
             if not lanes.size:
                 continue
             width, left = 0, lanes
-            chars = np.zeros(len(lanes), dtype=np.int64)
-            while left.size and width < most:
+            chars = np.zeros(n, dtype=np.int64)
+            head = np.zeros(n, dtype=U)
+            head[lanes] = lanes8[starts[lanes] + t]
+            while left.size and width < self.widest:
                 width += 1
                 left = left[t + width <= sizes[left]]
                 # a piece ends where a character does
@@ -197,9 +211,9 @@ class Lattice:
                 if not here.size:
                     continue
                 hashes = mix((sums[t + width, here] - sums[t, here]) * down[t] + U(width))
-                piece = self.index.get(hashes)
-                first = chars[np.searchsorted(lanes, here)] == 0
-                chars[np.searchsorted(lanes, here)] += 1
+                piece = self.index.get(hashes, head[here] & U((1 << 8 * min(width, 8)) - 1))
+                first = chars[here] == 0
+                chars[here] += 1
                 value = best[t, here] + np.where(piece >= 0, self.scores[np.maximum(piece, 0)], np.where(first, UNKNOWN, LOW))
                 old = best[t + width, here]
                 better = (value > old) | (value == old) & (width > back[t + width, here])
@@ -235,24 +249,22 @@ class Lattice:
 
     def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Memo numbers of the parts; new ones are solved first."""
-        hashes = span_hashes(data, starts, ends)
-        at = self.memo.get(hashes)
+        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, SECOND)
+        at = self.memo.get(hashes, checks)
         if (missing := np.flatnonzero(at < 0)).size:
-            new, first = np.unique(hashes[missing], return_index=True)
-            if self.memo.known + len(new) > self.limit:
+            where = missing[distinct_pairs(hashes[missing], checks[missing])]
+            if self.memo.known + len(where) > self.limit:
                 self.clear()
-                new, first = np.unique(hashes, return_index=True)
-                missing = np.arange(len(hashes))
-            where = missing[first]
+                where = distinct_pairs(hashes, checks)
             short = ends[where] - starts[where] <= LONG
             for i in range(0, int(short.sum()), 1 << 14):
                 own = where[short][i : i + (1 << 14)]
-                self._store(new[short][i : i + (1 << 14)], *self._solve(data, starts[own], ends[own]))
-            for h, k in zip(new[~short], where[~short], strict=True):
+                self._store(hashes[own], checks[own], *self._solve(data, starts[own], ends[own]))
+            for k in where[~short].tolist():
                 text = data[starts[k] : ends[k]].tobytes().decode()
                 score, ids = self.best(text, 0, len(text))
-                self._store(np.array([h]), np.array([score]), np.array([len(ids)]), np.array(ids, dtype=np.uint32))
-            at = self.memo.get(hashes)
+                self._store(hashes[k : k + 1], checks[k : k + 1], np.array([score]), np.array([len(ids)]), np.array(ids, dtype=np.uint32))
+            at = self.memo.get(hashes, checks)
         return at
 
     def spans(self, texts: list[str]) -> list[tuple[float, bytes]]:

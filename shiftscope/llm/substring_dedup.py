@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.llm.common import SIEVE_BITS, byte_rows, documents, durable, group_count, in_sieve, most_frequent, sieve, sifted, small_batches, text_groups, to_blob
 from shiftscope.llm.fm_index import FMIndex
-from shiftscope.llm.textops import U, _Powers, hash_words, mix, ngram_hashes, radix_split, split_words
+from shiftscope.llm.textops import U, hash_words, mix, ngram_hashes, radix_split, run_hashes, split_words
 
 WINDOW, ANCHOR = 35, 8
 #: the list of common anchors: its length, and the count within one slab from which an anchor is reported
@@ -83,10 +83,7 @@ def segments(words: np.ndarray, first: np.ndarray, common: np.ndarray = NONE) ->
     count = np.diff(np.append(head, len(start)))
     begin = start[head]
     end = begin + count + WINDOW - 1
-    up, down = _Powers.get(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=U)
-    np.cumsum(mix(words) * up[: len(words)], out=sums[1:])
-    content = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
+    content = run_hashes(words, begin, end)
     text = owner[begin]
     return np.stack([text.astype(U), (begin - first[text]).astype(U), count.astype(U), grams[place[head]], content, key[head]], axis=1)
 

@@ -1,8 +1,11 @@
-"""Vectorised word spans and 64-bit word hashes over UTF-8 bytes.
+"""Vectorised word spans and word hashes over UTF-8 bytes.
 
 A word is a longest run of bytes outside 0x20 and 0x09-0x0D.  The hash of a
-word is a polynomial over a random byte table modulo 2**64, taken from prefix
-sums, then mixed; it depends on the word's bytes alone.
+span is a chain over its 8-byte lanes: each step takes in one lane and mixes all
+64 bits by a bijection, so different spans of up to 8 bytes and one length never
+agree and any other two do with a chance of 2**-64.  Spans over ``LONG`` bytes
+are hashed by xxh3.  A second seed gives an independent hash where 64 bits
+aren't enough.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ import xxhash
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-SLAB = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: spans of more bytes are hashed one by one
+LONG = 64
+SEED, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_STEP = U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,26 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix((np.arange(256, dtype=U) + U(1)) * U(_BASE))
-
-
-class _Powers:
-    """Powers of the base and its inverse, grown on demand."""
-
-    up = np.ones(1, dtype=U)
-    down = np.ones(1, dtype=U)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, SLAB + 1)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, dtype=U)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up, cls.down
-
-
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of bytes."""
     if not len(data):
@@ -59,26 +43,28 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span; spans are sorted and don't overlap."""
-    out = np.empty(len(starts), dtype=U)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + SLAB, side="right")))
-        high = ends[j - 1]
-        if high - low > 4 * SLAB:  # one giant span: the length decides, so equal spans still agree
-            out[i] = xxhash.xxh3_64_intdigest(data[low:high].tobytes())
-            i = j
-            continue
-        up, down = _Powers.get(int(high - low))
-        sums = np.empty(high - low + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum(_TABLE[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
-        i = j
-    return mix(out)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Hash of each span of bytes."""
+    starts, size = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64) - starts
+    out = mix(size.astype(U) + U(seed))
+    if not len(out):
+        return out
+    padded = np.empty(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    padded[len(data) :] = 0
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every place on
+    live, k = np.flatnonzero(size <= LONG), 0
+    while live.size:
+        left = np.minimum(size[live] - k, 8)
+        lane = lanes[starts[live] + k] & (U(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.maximum(left, 1)).astype(U))
+        lane[left <= 0] = 0
+        out[live] = mix((out[live] ^ lane) * _STEP)
+        k += 8
+        live = live[size[live] > k]
+    view = memoryview(padded)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : starts[i] + size[i]], seed)
+    return out
 
 
 def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +99,16 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def fold(values: np.ndarray) -> int:
+def fold(values: np.ndarray, seed: int = 0) -> int:
     """One 64-bit hash of an array of hashes, in order."""
-    if not len(values):
-        return 0
-    up, _ = _Powers.get(len(values))
-    return int(mix(np.array([(mix(values) * up[: len(values)]).sum(dtype=U) + U(len(values))], dtype=U))[0])
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(values).view(np.uint8), seed) if len(values) else 0
+
+
+def run_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``fold`` of each run of an array of hashes."""
+    view = memoryview(np.ascontiguousarray(values).view(np.uint8)) if len(values) else b""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[a:b]) for a, b in zip((8 * begins).tolist(), (8 * ends).tolist(), strict=True)), dtype=U, count=len(begins))
 
 
 def radix_split(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,41 +119,57 @@ def radix_split(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class HashIndex:
-    """Open-addressing index from 64-bit hashes to the numbers 0, 1, ... in order of arrival."""
+    """Open-addressing index from pairs of 64-bit hashes to the numbers 0, 1, ... in order of arrival.
+
+    The first hash finds the place; a second, independent one must agree too.
+    """
 
     def __init__(self, most: int):
         size = 1 << (2 * most - 1).bit_length()
         self.mask = U(size - 1)
         self.keys = np.zeros(size, dtype=U)
+        self.checks = np.zeros(size, dtype=U)
         self.numbers = np.full(size, -1, dtype=np.int64)
         self.known = 0
 
-    def get(self, hashes: np.ndarray) -> np.ndarray:
+    def get(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Numbers of the hashes, -1 for unknown ones."""
         hashes = np.maximum(hashes, U(1))
         slots = (hashes & self.mask).astype(np.int64)
         found = self.keys[slots]
-        out = np.where(found == hashes, self.numbers[slots], -1)
-        left = np.flatnonzero((found != hashes) & (found != 0))
+        same = (found == hashes) & (self.checks[slots] == checks)
+        out = np.where(same, self.numbers[slots], -1)
+        left = np.flatnonzero(~same & (found != 0))
         while left.size:
             slots[left] = (slots[left] + 1) & int(self.mask)
             found = self.keys[slots[left]]
-            same = found == hashes[left]
+            same = (found == hashes[left]) & (self.checks[slots[left]] == checks[left])
             out[left[same]] = self.numbers[slots[left[same]]]
             left = left[~same & (found != 0)]
         return out
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Number distinct unknown hashes on."""
+    def add(self, hashes: np.ndarray, checks: np.ndarray) -> None:
+        """Number distinct unknown pairs on."""
         hashes = np.maximum(hashes, U(1))
         slots = (hashes & self.mask).astype(np.int64)
         numbers = np.arange(self.known, self.known + len(hashes))
         left = np.arange(len(hashes))
         while left.size:
             free = self.keys[slots[left]] == 0
-            self.keys[slots[left[free]]] = hashes[left[free]]
-            done = free & (self.keys[slots[left]] == hashes[left])
-            self.numbers[slots[left[done]]] = numbers[left[done]]
+            # of several pairs at one free place the last one written holds it
+            self.numbers[slots[left[free]]] = numbers[left[free]]
+            done = free & (self.numbers[slots[left]] == numbers[left])
+            self.keys[slots[left[done]]] = hashes[left[done]]
+            self.checks[slots[left[done]]] = checks[left[done]]
             left = left[~done]
             slots[left] = (slots[left] + 1) & int(self.mask)
         self.known += len(hashes)
+
+
+def distinct_pairs(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Place of the first of each distinct pair."""
+    order = np.lexsort((checks, hashes))
+    h, c = hashes[order], checks[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return order[new]

@@ -25,6 +25,11 @@ pieces, at the score ``UNKNOWN``; that also holds for a literal U+2581, so
 decoding gives back every text exactly.  Ties: the longer last piece inside a
 chunk, the lower boundary state between chunks.
 
+Documents of one chunk are encoded in one pass and go no further; only the chunks
+of giant ones are dealt out over tasks, by a hash of the text, so a lost executor's
+part is made again the same.  Checksums of a giant's ids and text are combined from
+those of its chunks.
+
 Nulls: a null text encodes to no ids, as does an empty one; a null doc_id is
 kept, repeated rows are encoded each for itself, and an empty table gives an
 empty result.  Extra columns are not read.
@@ -32,16 +37,16 @@ empty result.  Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import documents, durable, text_groups
+from shiftscope.llm.common import documents, durable, small_batches, text_groups
 from shiftscope.llm.textops import SECOND, HashIndex, U, distinct_pairs, mix, span_hashes
 
 MODEL = "piece_bpe_32k.model"
@@ -326,27 +331,38 @@ class Lattice:
         out[:, : len(tail)] = tail.T
         return out
 
+    def transfers(self, chunks: list[tuple[str, int]]) -> list[np.ndarray]:
+        """Transfer matrices of chunks: ``size`` characters, followed in the text by up to K-1 of the next chunk."""
+        cuts = [self.barriers(t, n) if n > 2 * self.longest else None for t, n in chunks]
+        middles = self.spans([t[c[0] : c[1]] if c else "" for (t, _), c in zip(chunks, cuts, strict=True)])
+        out = []
+        for (text, size), cut, (middle, _) in zip(chunks, cuts, middles, strict=True):
+            if cut is None:
+                out.append(self._from_states(text, size))
+                continue
+            first, last = cut
+            into = self._from_states(text[:first], first)[:, 0]
+            out_of = self._from_states(text[last:], size - last)[0]
+            out.append(np.maximum(LOW, into[:, None] + middle + out_of))
+        return out
+
     def transfer(self, text: str, size: int) -> np.ndarray:
-        """The transfer matrix of a chunk: its ``size`` characters, followed in ``text`` by up to K-1 of the next chunk."""
-        cut = self.barriers(text, size) if size > 2 * self.longest else None
-        if cut is None:
-            return self._from_states(text, size)
-        first, last = cut
-        into = self._from_states(text[:first], first)[:, 0]
-        middle = self.span(text[first:last])[0]
-        out_of = self._from_states(text[last:], size - last)[0]
-        return np.maximum(LOW, into[:, None] + middle + out_of)
+        return self.transfers([(text, size)])[0]
+
+    def paths(self, chunks: list[tuple[str, int, int, int]]) -> list[bytes]:
+        """Ids of chunks (text, size, enter, leave) between their two boundary states."""
+        cuts = [self.barriers(t, n) if n > 2 * self.longest else None for t, n, _, _ in chunks]
+        middles = self.spans([x[0][c[0] : c[1]] if c else "" for x, c in zip(chunks, cuts, strict=True)])
+        out = []
+        for (text, size, enter, leave), cut, (_, middle) in zip(chunks, cuts, middles, strict=True):
+            first, last = cut or (enter, enter)
+            head = self.best(text, enter, first)[1] if first > enter else []
+            tail = self._crossing(text, last, size, size + leave)
+            out.append(np.array(head, dtype="<u4").tobytes() + middle + np.array(tail, dtype="<u4").tobytes())
+        return out
 
     def path(self, text: str, size: int, enter: int, leave: int) -> bytes:
-        """Ids of a chunk between its two boundary states."""
-        end = size + leave
-        cut = self.barriers(text, size) if size > 2 * self.longest else None
-        if cut is None:
-            return np.array(self._crossing(text, enter, size, end), dtype="<u4").tobytes()
-        first, last = cut
-        middle = self.span(text[first:last])[1]
-        head, tail = self.best(text, enter, first)[1], self._crossing(text, last, size, end)
-        return np.array(head, dtype="<u4").tobytes() + middle + np.array(tail, dtype="<u4").tobytes()
+        return self.paths([(text, size, enter, leave)])[0]
 
     def _crossing(self, text: str, begin: int, size: int, end: int) -> list[int]:
         """Ids from ``begin`` to ``end`` where only the last piece may go beyond ``size``."""
@@ -371,10 +387,16 @@ class Lattice:
                 scores[i + width] = max(scores[i + width], scores[i] + s)
         return scores
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, without the space that encoding puts before it."""
+    def decode(self, ids: bytes, first: bool = True) -> str:
+        """The text of ids; the first chunk's without the space that encoding puts before a text."""
         table = self.texts
-        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])[1:].decode("utf-8", "replace")
+        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])[first:].decode("utf-8", "replace")
+
+
+@functools.lru_cache(maxsize=1)
+def _lattice() -> Lattice:
+    """The model, held by a worker from task to task; its memo is bounded and changes no result."""
+    return Lattice()
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -417,43 +439,71 @@ def cut_chunks(text: str, size: int, longest: int) -> list[tuple[str, int]]:
     return out
 
 
-ROWS = "key long, doc_id long, chunk int, own int, text string, score double, ids binary"
-_ROW_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.binary()]
-_ROW_NAMES = [x.split()[0] for x in ROWS.split(", ")]
-
-
 def _table(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
 
-def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows (key, doc_id, chunk, score, ids, split): the ids of every document, chunk by chunk.
+def _fields(schema: str) -> tuple[list, list[str]]:
+    """Arrow types and names of a schema text."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
+    parts = [x.split() for x in schema.split(", ")]
+    return [kinds[t] for _, t in parts], [n for n, _ in parts]
 
-    ``key`` numbers the documents' rows; ids are little-endian unsigned 32-bit;
-    the score stands on the first chunk's row; ``split`` says whether the
-    document has several chunks.
-    """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice()
-        key = TaskContext.get().partitionId() << 40
+def _short(docs: DataFrame, chunk: int) -> DataFrame:
+    """(doc_id, score, ids) of the documents of one chunk, in one pass over them."""
+    schema = "doc_id long, score double, ids binary"
+    types, names = _fields(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [" " + t if t else "" for t in batch.column(1).to_pylist()]
+            texts = [" " + t if t else "" for t in batch.column(1).to_pylist()]
             for i, j in text_groups(texts, 1 << 20):
-                rows: list[tuple] = []
-                short = [t if len(t) <= chunk else "" for t in texts[i:j]]
-                for doc_id, whole, found in zip(ids[i:j], texts[i:j], lattice.spans(short), strict=True):
-                    key += 1
-                    if len(whole) <= chunk:
-                        rows.append((key, doc_id, 0, 0, None, *found))
-                    else:
-                        rows += [(key, doc_id, k, own, part, None, None) for k, (part, own) in enumerate(cut_chunks(whole, chunk, lattice.longest))]
-                yield _table(rows, _ROW_TYPES, _ROW_NAMES)
+                found = lattice.spans(texts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x for x, _ in found], types[1]), pa.array([x for _, x in found], types[2])], names=names)
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice()
+    return docs.where(F.col("text").isNull() | (F.length("text") < chunk)).select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _giants(docs: DataFrame, chunk: int) -> DataFrame:
+    """(key, doc_id, text) of the documents of several chunks; the key is a hash of the text, the same in every attempt."""
+    return docs.where(F.length("text") >= chunk).select(F.md5("text").alias("key"), "doc_id", "text")
+
+
+def _giant_ids(giants: DataFrame, chunk: int) -> DataFrame:
+    """(key, chunk, score, ids) of every distinct giant text; the score stands on the first chunk.
+
+    The chunks are dealt out over tasks by (key, chunk), so that a giant text is
+    the work of many; copies of a text meet there and are worked on once.
+    """
+    spark = giants.sparkSession
+    count = giants.agg(F.sum(F.ceil((F.length("text") + 1) / chunk)).alias("n")).collect()[0]["n"] or 0
+    tasks = max(16, -(-count // CHUNKS_EACH), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, names = _fields("key string, chunk int, own int, text string")
+        longest, seen = _lattice().longest, set()
         for batch in batches:
-            found = [lattice.transfer(t, n).tobytes() for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            for key, text in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    yield _table([(key, k, own, part) for k, (part, own) in enumerate(cut_chunks(" " + text, chunk, longest))], types, names)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted batches without the rows whose first two columns repeat."""
+        last = None
+        for batch in batches:
+            held = []
+            for at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(at != last)
+                last = at
+            yield batch.filter(pa.array(held, pa.bool_()))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in once(batches):
+            texts, own = batch.column(3).to_pylist(), batch.column(2).to_pylist()
+            found = [m.tobytes() for i, j in text_groups(texts, 1 << 20) for m in _lattice().transfers(list(zip(texts[i:j], own[i:j], strict=True)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "chunk", "matrix"])
 
     def states(table: pa.Table) -> pa.Table:
@@ -473,61 +523,146 @@ def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         )
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice()
-        for batch in batches:
-            key, doc_id, number, own, text, enter, leave, score = (c.to_pylist() for c in batch.columns)
-            found = [lattice.path(t, n, a, b) for t, n, a, b in zip(text, own, enter, leave, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), batch.column(7), pa.array(found, pa.binary())], names=["key", "doc_id", "chunk", "score", "ids"]
-            )
-
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(split, ROWS))
-    giant = rows.where("text is not null")
-    transfer = giant.select("key", "chunk", "own", "text").mapInArrow(matrices, "key long, chunk int, matrix binary")
-    found = transfer.groupBy("key").applyInArrow(states, "key long, chunk int, enter int, leave int, score double")
-    joined = giant.drop("score", "ids").join(found, ["key", "chunk"]).select("key", "doc_id", "chunk", "own", "text", "enter", "leave", "score")
-    done = joined.mapInArrow(paths, "key long, doc_id long, chunk int, score double, ids binary")
-    whole = rows.where("text is null").select("key", "doc_id", "chunk", "score", "ids", F.lit(False).alias("split"))
-    return whole.unionByName(done.withColumn("split", F.lit(True)))
+        for batch in once(batches):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in (3, 2, 4, 5)), strict=True))
+            texts = batch.column(3).to_pylist()
+            found = [x for i, j in text_groups(texts, 1 << 20) for x in _lattice().paths(rows[i:j])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(6), pa.array(found, pa.binary())], names=["key", "chunk", "score", "ids"])
+
+    chunks = giants.select("key", "text").mapInArrow(cut, "key string, chunk int, own int, text string").repartition(tasks, "key", "chunk")
+    transfer = chunks.sortWithinPartitions("key", "chunk").mapInArrow(matrices, "key string, chunk int, matrix binary")
+    # a few hundred bytes a chunk cross the first cut; the chunks themselves are dealt out anew from the texts
+    found = durable(transfer.groupBy("key").applyInArrow(states, "key string, chunk int, enter int, leave int, score double"))
+    joined = chunks.join(found.repartition(tasks, "key", "chunk"), ["key", "chunk"]).sortWithinPartitions("key", "chunk")
+    return joined.select("key", "chunk", "own", "text", "enter", "leave", "score").mapInArrow(paths, "key string, chunk int, score double, ids binary")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+
+
+def encode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (key, doc_id, chunk, score, ids, split): the ids of every document, chunk by chunk.
+
+    ``split`` says whether the document has several chunks; ``key``, a hash of
+    the text, and doc_id then name it, and repeated rows repeat its chunks.  Ids
+    are little-endian unsigned 32-bit; the score stands on the first chunk.
+    """
+    rows = _rows(docs)
+    whole = _short(rows, chunk).select(F.lit(None).cast("string").alias("key"), "doc_id", F.lit(0).alias("chunk"), "score", "ids", F.lit(False).alias("split"))
+    giants = _giants(rows, chunk)
+    ids = giants.select("key", "doc_id").join(_giant_ids(giants, chunk), "key")
+    return whole.unionByName(ids.select("key", "doc_id", "chunk", "score", "ids", F.lit(True).alias("split")))
 
 
 def decode(encoded: DataFrame) -> DataFrame:
     """Rows (key, doc_id, text) from the rows of ``encode``; the chunks of one document meet in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice()
+        lattice = _lattice()
         for batch in batches:
-            texts = [lattice.decode(b"".join(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "doc_id", "text"])
+            for k in range(batch.num_rows):
+                text = lattice.decode(b"".join(batch.column(2)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([text], pa.string())], names=["key", "doc_id", "text"])
+
+    single = encoded.where("not split").select("key", "doc_id", F.array("ids").alias("ids"))
+    many = encoded.where("split").groupBy("key", "doc_id").agg(F.expr("array_sort(collect_list(struct(chunk, ids)))").alias("x"), F.expr("count_if(chunk = 0)").alias("copies"))
+    # copies of a row have brought each chunk as often
+    ordered = F.expr("transform(filter(x, (v, i) -> i % copies = 0), v -> v.ids)")
+    many = many.select("key", "doc_id", ordered.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    return single.unionByName(many).mapInArrow(run, "key string, doc_id long, text string")
+
+
+#: CRC-32: the reflected polynomial
+POLYNOMIAL = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo the checksum's (the highest bit is the constant term)."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
 
-    ordered = F.expr("transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids)")
-    return encoded.groupBy("key", "doc_id").agg(ordered.alias("ids")).mapInArrow(run, "key long, doc_id long, text string")
+def joined_crc32(a: int, b: int, b_bytes: int) -> int:
+    """CRC-32 of two runs of bytes, one after the other, from the checksums of both and the second one's length."""
+    power, square, n = 1 << 31, 1 << 23, b_bytes  # 1 and x**8
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square, n = _times(square, square), n >> 1
+    return _times(power, a) ^ b
 
 
+PART = "n_tokens long, ids_crc32 long, n_chars long, text_bytes long, text_crc32 long"
 DIGEST = "doc_id long, n_chunks int, n_tokens long, ids_crc32 long, score double, n_chars long, text_crc32 long"
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """Per document: chunks, tokens, checksum of the ids, score, and length and checksum of the decoded text."""
+def _measured(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of rows of ids, with counts and checksums of the ids and of the text they decode to."""
+    schema = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    types, names = _fields(PART)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice()
+        for batch in batches:
+            out = []
+            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = lattice.decode(ids, first=not k)
+                raw = text.encode()
+                out.append((len(ids) // 4, zlib.crc32(ids), len(text), len(raw), zlib.crc32(raw)))
+            measured = _table(out, types, names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *measured.columns], names=[*kept, *names])
+
+    return rows.select("chunk", "ids", *kept).mapInArrow(run, ", ".join([*(f"{c} {schema[c]}" for c in kept), PART]))
+
+
+def _combined(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key from the measures of its chunks: sums, and checksums of the whole; no text is gathered."""
+    types, names = _fields("n_chunks int, n_tokens long, ids_crc32 long, score double, n_chars long, text_crc32 long")
+    schema = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice()
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows = []
-            for doc_id, ids, score in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                whole = b"".join(ids)
-                text = lattice.decode(whole)
-                rows.append((doc_id, len(ids), len(whole) // 4, zlib.crc32(whole), score, len(text), zlib.crc32(text.encode())))
-            yield _table(rows, types, names)
+            out = []
+            for parts in batch.column(len(keys)).to_pylist():
+                parts = list({p["chunk"]: p for p in parts}.values())  # copies of a row bring each chunk again
+                ids = text = 0
+                for p in parts:
+                    ids = joined_crc32(ids, p["ids_crc32"], 4 * p["n_tokens"])
+                    text = joined_crc32(text, p["text_crc32"], p["text_bytes"])
+                out.append((len(parts), sum(p["n_tokens"] for p in parts), ids, parts[0]["score"], sum(p["n_chars"] for p in parts), text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *_table(out, types, names).columns], names=[*keys, *names])
+
+    measures = [c.split()[0] for c in PART.split(", ")]
+    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "score", *measures))).alias("parts"))
+    return grouped.mapInArrow(run, ", ".join([*(f"{c} {schema[c]}" for c in keys), *(f"{n} {t}" for n, t in zip(names, ("int", "long", "long", "double", "long", "long"), strict=True))]))
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """Per document: chunks, tokens, checksum of the ids, score, and length and checksum of the decoded text.
+
+    Documents of several chunks are named by key and doc_id; repeated rows among them are one here.
+    """
+    columns = [x.split()[0] for x in DIGEST.split(", ")]
+    single = _measured(encoded.where("not split"), ["doc_id", "score"]).withColumn("n_chunks", F.lit(1))
+    many = _combined(_measured(encoded.where("split"), ["key", "doc_id", "chunk", "score"]), ["key", "doc_id"])
+    return single.select(*columns).unionByName(many.select(*columns))
+
 
-    # documents of one chunk need no shuffle
-    single = encoded.where("not split").select("doc_id", F.array("ids").alias("ids"), "score")
-    ordered = F.expr("transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids)")
-    many = encoded.where("split").groupBy("key", "doc_id").agg(ordered.alias("ids"), F.max("score").alias("score"))
-    return single.unionByName(many.select("doc_id", "ids", "score")).mapInArrow(run, DIGEST)
+def digests(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``digest`` of all documents: those of one chunk end in the pass that encodes them, giant texts are measured once per text."""
+    columns = [x.split()[0] for x in DIGEST.split(", ")]
+    rows = _rows(docs)
+    single = _measured(_short(rows, chunk).withColumn("chunk", F.lit(0)), ["doc_id", "score"]).withColumn("n_chunks", F.lit(1))
+    giants = _giants(rows, chunk)
+    texts = _combined(_measured(_giant_ids(giants, chunk), ["key", "chunk", "score"]), ["key"])
+    return single.select(*columns).unionByName(giants.select("key", "doc_id").join(texts, "key").select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(encode(documents(spark, sf_dir)))
+    return digests(documents(spark, sf_dir))

@@ -19,7 +19,11 @@ bytes.  Scoring reads every text whole.
 
 Nulls: a null text scores as an empty one, a null doc_id is never learned from
 and counts as held out = false.  Without a usable label of each class the score
-is 0 for every text.  Repeated rows score alike.  Extra columns are not read.
+is 0 for every text.  Repeated rows score alike; of several rows with one doc_id the
+one with the least text is learned from; labels at odds count as toxic.  Ties in a
+filter's maximum take the first place, ties between thresholds the widest gap.  Very
+long texts are scored whole, in groups of bounded size.  An empty table gives an
+empty result.  Extra columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -228,10 +232,15 @@ def _threshold(logit: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> flo
     return float((value[k] + below[k]) / 2)
 
 
-def sample_labels(labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> DataFrame:
-    """Labelled rows to learn from: those with crc32(doc_id as text) mod 3 other than 1, bounded per class."""
+def learnable(labels: DataFrame) -> DataFrame:
+    """The only labels that a fit may use: those with crc32(doc_id as text) mod 3 other than 1."""
     usable = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1")
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    return usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+
+
+def sample_labels(labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> DataFrame:
+    """Labelled rows to learn from, bounded per class."""
+    usable = learnable(labels)
     order = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")]
     parts = [usable.where(F.col("toxic") == y).orderBy(*order).limit(n) for y, n in ((1, positive), (0, negative))]
     return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -246,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     y = rows["toxic"].to_numpy(dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    counted = {int(r["toxic"]): int(r["count"]) for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    counted = {int(r["toxic"]): int(r["count"]) for r in learnable(labels).groupBy("toxic").count().collect()}
     ratio = max(1.0, counted[0] / counted[1] * (y == 1).sum() / (y == 0).sum())
     languages = [None if not isinstance(x, str) else x for x in rows["lang"]]
     return train([t.encode() for t in rows["text"]], y, languages, ratio=ratio)

@@ -8,15 +8,16 @@ network is trained in numpy by backpropagation through time on the positions'
 cross entropy.  All windows of a group of texts run side by side, so a step
 handles thousands of bytes.
 
-Bounds of the fit: about ``FIT_DOCS`` documents of each of the ``LANGUAGES``
-most frequent languages, chosen by a hash of doc_id, and ``FIT_WINDOWS`` windows
-of each, chosen by a seeded generator over the whole text.  Prediction reads
-every text whole.
+Bounds of the fit: at most ``FIT_DOCS`` distinct documents of every language, those
+with the least hash of doc_id and text, and ``FIT_WINDOWS`` windows of each, chosen by
+a seeded generator over the whole text.  Prediction reads every text whole.
 
 Nulls: a null text, and one without letters, is ``und`` with score 0; rows with
 null lang or null doc_id are never learned from.  Without any learned language
-every text is ``und``.  Repeated rows are predicted alike.  Extra columns are
-not read.
+every text is ``und``.  Repeated rows are predicted alike and learned from once.  Ties
+go to the language whose name comes first.  Very long texts are read whole, in windows.
+An empty table gives an empty result.  ``identify`` keeps all columns; a column that is
+named like one of its own is replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shiftscope.llm.common import byte_rows, documents, text_groups
 
 WINDOW, HIDDEN = 96, 8
-FIT_DOCS, FIT_WINDOWS, LANGUAGES = 400, 4, 64
+FIT_DOCS, FIT_WINDOWS = 400, 4
 PAD = 256
+#: training steps for up to 16 languages, as many again for each further 16
 STEPS, BATCH = 260, 384
+#: bytes of text that are read at a time, whole windows
+SLICE = 10_000 * WINDOW
 
 
 @dataclass
@@ -100,14 +104,20 @@ class Network:
         return self.probabilities(windows).argmax(axis=1).T.ravel()[: len(text)]
 
     def pooled(self, texts: list[bytes], lanes: int = 2048) -> np.ndarray:
-        """Mean probabilities of every text over its bytes (zeros for an empty one)."""
-        windows, owner = cut_windows(texts)
+        """Mean probabilities of every text over its bytes (zeros for an empty one).
+
+        A very long text is read in slices of whole windows, so memory does not grow with it.
+        """
         total = np.zeros((len(texts), len(self.names)))
-        for i in range(0, windows.shape[1], lanes):
-            part = windows[:, i : i + lanes]
-            p = self.probabilities(part)
-            p *= (part != PAD)[:, None, :]
-            np.add.at(total, owner[i : i + lanes], p.sum(axis=0).T)
+        slices = [(i, t[at : at + SLICE]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), SLICE)]
+        for a, b in text_groups([s for _, s in slices], SLICE):
+            windows, owner = cut_windows([s for _, s in slices[a:b]])
+            owner = np.array([i for i, _ in slices[a:b]])[owner]
+            for i in range(0, windows.shape[1], lanes):
+                part = windows[:, i : i + lanes]
+                p = self.probabilities(part)
+                p *= (part != PAD)[:, None, :]
+                np.add.at(total, owner[i : i + lanes], p.sum(axis=0).T)
         return total / np.maximum(1, [[len(t)] for t in texts])
 
 
@@ -202,13 +212,14 @@ def sample_windows(docs: DataFrame, per_language: int = FIT_DOCS, windows: int =
     """Windows to learn from, their labels and the languages."""
     usable = docs.where("doc_id is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2 and octet_length(text) > 0")
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counted = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in counted)
-    if not names:
-        return np.zeros((WINDOW, 0), dtype=np.int16), np.zeros(0, dtype=np.int64), []
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counted}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 20)))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < limit[F.col("lang")])
+    usable = usable.withColumn("_mark", F.xxhash64(F.lit(5), F.col("doc_id").cast("long"), "text"))
+    # twice the rows that are wanted pass by their hash (of distinct ones, so that a much repeated row takes no other's place) ...
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("_mark").alias("_n"))
+    limit = F.broadcast(counted.select("lang", (F.least(F.lit(1.0), 2.0 * per_language / F.col("_n")) * float(1 << 62)).cast("long").alias("_limit")))
+    near = usable.join(limit, "lang").where(F.pmod("_mark", F.lit(1 << 62)) < F.col("_limit")).dropDuplicates(["lang", "_mark"])
+    # ... and of those the least hashes are taken
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("_mark", F.lit(1 << 62)), "_mark")))
+    chosen = ranked.where(F.col("_rank") <= per_language).select("doc_id", "text", "lang")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,13 +233,16 @@ def sample_windows(docs: DataFrame, per_language: int = FIT_DOCS, windows: int =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["doc_id", "lang", "part"])
 
     rows = chosen.mapInArrow(pick, "doc_id long, lang string, part binary").toPandas().sort_values(["doc_id", "lang", "part"], kind="stable")
+    names = sorted(set(rows["lang"]))
+    if not names:
+        return np.zeros((WINDOW, 0), dtype=np.int16), np.zeros(0, dtype=np.int64), []
     found, _ = cut_windows([bytes(p) for p in rows["part"]])
     return found, np.array([names.index(x) for x in rows["lang"]], dtype=np.int64), names
 
 
 def fit(docs: DataFrame) -> Network | None:
     found, labels, names = sample_windows(docs)
-    return train(found, labels, names) if names else None
+    return train(found, labels, names, steps=STEPS * -(-len(names) // 16)) if names else None
 
 
 def has_letter(text: str) -> bool:
@@ -251,6 +265,7 @@ def predict(texts: list[str | None], net: Network | None) -> tuple[list[str], np
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and lang_score, all columns kept; null and letterless texts are ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size: the weights
+    docs = docs.drop("lang_pred", "lang_score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

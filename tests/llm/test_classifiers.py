@@ -19,6 +19,42 @@ def test_toxicity_on_held_out_labels(spark, sf_dir):
     assert auc > 0.9
 
 
+def test_held_out_labels_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality", "toxic")
+    held = "crc32(cast(doc_id as string)) % 3 = 1"
+    none = labels.where(f"not ({held})")
+    turned = none.unionByName(labels.where(held).selectExpr("doc_id", "quality", "1 - toxic as toxic"))
+    many = none.unionByName(docs.where(held).selectExpr("doc_id", "cast(0 as int) as quality", "cast(0 as int) as toxic"))
+    scores = [sorted((r.doc_id, r.score) for r in T.judged(docs, x).collect()) for x in (none, turned, many)]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_toxicity_scores_by_hand():
+    """Every filter at every place, one by one, against the vectorised pass."""
+    toxic, fine = ["what an idiot you are", "idiot talk here so bad"] * 12, ["fine words are here", "a calm day by the sea"] * 12
+    model = T.train([t.encode() for t in toxic + fine], np.repeat([1, 0], 24), ["en"] * 48)
+    texts = [b"", b"idiot", b"a calm idiot", b"some longer text with an idiot in it and calm words", b"12 34"]
+    rows, bounds, language = T.word_ids(texts)
+    got = model.logits(rows, bounds)
+    for i in range(len(texts)):
+        places = list(range(bounds[i], bounds[i + 1]))
+        vectors = {p: sum(model.tables[k][rows[k, p]] for k in range(3)) for p in places}
+        pooled, column = [], 0
+        for width in T.WIDTHS:
+            for f in range(T.FILTERS):
+                values = []
+                for p in places:
+                    if width > 1 and p > places[-1] - (width - 1):
+                        values.append(0.0)  # what would reach beyond the text's padding
+                        continue
+                    values.append(sum(float(vectors[p + j] @ model.kernel[:, column + j * T.FILTERS + f]) for j in range(width)))
+                pooled.append(max(values))
+            column += width * T.FILTERS
+        hidden = np.maximum(np.array(pooled) + model.bias, 0)
+        assert got[i] == pytest.approx(float(hidden @ model.out + model.intercept), rel=1e-4, abs=1e-4)
+
+
 def test_toxicity_edge_cases(spark, table):
     docs = table([(1, None), (2, ""), (3, "idiot " * 30_000), (4, "é"), (4, "é"), (None, "x")], wide=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -42,6 +78,46 @@ def test_language_on_held_out_documents(spark, sf_dir, texts):
     assert np.mean([a == b for a, b in held]) > 0.85
 
 
+def test_network_by_hand():
+    """The recurrences byte by byte against the vectorised pass; slices of a long text change nothing."""
+    net = L.Network.fresh(["a", "b", "c"], np.random.default_rng(4))
+    h = L.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    text = ("ein Text, " * 25).encode()
+    total = np.zeros(3)
+    for at in range(0, len(text), L.WINDOW):
+        window = [*text[at : at + L.WINDOW], *[L.PAD] * max(0, at + L.WINDOW - len(text))]
+        states = np.zeros((len(window), 2 * h))
+        for d, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                x, a = net.inputs[d][:, window[t]], net.recurrent[d] @ state
+                r, z = sigmoid(x[:h] + a[:h]), sigmoid(x[h : 2 * h] + a[h : 2 * h])
+                state = (1 - z) * np.tanh(x[2 * h :] + r * a[2 * h :]) + z * state
+                states[t, d * h : (d + 1) * h] = state
+        for t, b in enumerate(window):
+            if b != L.PAD:
+                e = np.exp(net.out @ states[t] + net.bias[:, 0])
+                total += e / e.sum()
+    assert np.allclose(net.pooled([text])[0], total / len(text), atol=1e-4)
+
+
+def test_slices_change_nothing(monkeypatch):
+    net = L.Network.fresh(["a", "b"], np.random.default_rng(5))
+    texts = [b"some text " * 100, b"", b"x" * 97, b"other " * 300]
+    whole = net.pooled(texts)
+    monkeypatch.setattr(L, "SLICE", 2 * L.WINDOW)
+    assert np.allclose(net.pooled(texts), whole, atol=1e-6)
+
+
+def test_every_language_is_learned(table):
+    rows = [(i, f"text {i} of many", "aa") for i in range(900)] + [(1000 + i, f"rare {i}", f"l{i:02d}") for i in range(70)] + [(2000, "again", "aa")] * 800
+    _, labels, names = L.sample_windows(table(rows), per_language=20)
+    assert len(names) > 45 and names[0] == "aa" and 0 < (labels == 0).sum() <= 20 * L.FIT_WINDOWS
+    wide = L.identify(table(rows[:3], wide=True).withColumnRenamed("node", "lang_pred"), None)
+    assert wide.columns.count("lang_pred") == 1 and wide.count() == 3
+
+
 def test_gradients_by_differences():
     net = L.Network.fresh(["a", "b", "c"], np.random.default_rng(1))
     windows, _ = L.cut_windows([b"some text to look at", b"ein anderer Text"])

@@ -30,6 +30,51 @@ def test_matches_brute_force_and_mixture(table):
         assert abs(sum(r.source == "hot" for r in own) - len(own) * hot / total) <= 2
 
 
+def brute(rows, shards):
+    """(doc_id, shard, slot) by ranking all rows on the driver, from the law as the docstring states it."""
+    spark_hash = {}
+
+    def rank(group):
+        return sorted(group, key=lambda r: (spark_hash[r], r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode())))
+
+    def run(hashes):
+        spark_hash.update(hashes)
+        sequence = []
+        for source in {r[3] for r in rows}:
+            own = rank([r for r in rows if r[3] == source])
+            sequence += [((2 * i + 1) / (2 * len(own)), "0" if source is None else "1" + source, spark_hash[r], r[0] is not None, r[0] or 0, r) for i, r in enumerate(own)]
+        sequence.sort(key=lambda x: x[:5])
+        out, used = [], Counter()
+        for place, (*_, r) in enumerate(sequence):
+            shard = place * shards // len(rows)
+            out.append((r[0], shard, used[shard]))
+            used[shard] += 1
+        return out
+
+    return run
+
+
+def test_equals_ranking_on_the_driver(spark, table):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 90 if i % 7 else None, f"text {i % 60}" if i % 11 else None, "en", None if i % 13 == 0 else "hot" if i % 3 else f"s{i % 4}", 0) for i in range(300)]
+    rows += [(5, "again", "en", "hot", 0)] * 150  # a row that a third of the table repeats
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(sharding.SEED), "doc_id", crc), 1)
+    hashes = {tuple(r)[:5]: r._key for r in table(rows).withColumn("_key", key).collect()}
+    want = brute(rows, 8)(hashes)
+    for buckets in (None, 3, 500):
+        got = [(r.doc_id, r.shard, r.slot) for r in sharding.interleave(table(rows), 8, buckets=buckets).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_copies_are_dealt_out_in_steps(table, monkeypatch):
+    rows = [(1, "a", "en", "x")] * 23 + [(2, "b", "en", "y")] * 10
+    want = sorted(map(tuple, sharding.interleave(table(rows), 4).collect()))
+    monkeypatch.setattr(sharding, "COPIES", 3)
+    assert sorted(map(tuple, sharding.interleave(table(rows), 4).collect())) == want
+
+
 def test_edge_cases(table):
     rows = [(1, None), (1, None), (None, "x", None, None), (2, "", "en", "a"), (2, "y" * 100_000, "en", "a")]
     got = sharding.interleave(table(rows, wide=True)).collect()

@@ -266,22 +266,19 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lambda it: _cut(it, capacity), PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Best-fit decreasing over rows with a ``length`` of 1..capacity.
 
     Adds sequence_id (gapless from 0) and offset.  ``pieces`` is read several
-    times, so pass a durable table.  Rows of one length are ranked by bucket
-    (a hash of the row) and row_number, so a length that a third of all rows
-    share is still spread out.  ``buckets``: per length, by default one per
-    65536 rows (32 to 4096).
+    times, so it must be a durable table, whose partitions stay as they are.  Rows
+    of one length are ranked partition by partition, so neither a length nor a
+    row that a third of all rows share meets in one task.
     """
     spark = pieces.sparkSession
     keys = [c for c in pieces.columns if c != "length"]
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     moves = sorted(plan_bins(histogram, capacity))
-    if buckets is None:
-        buckets = min(4096, max(32, sum(histogram.values()) >> 16))
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    rows = pieces.withColumn("_bucket", F.spark_partition_id())
     ahead = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select("length", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))

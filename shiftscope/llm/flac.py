@@ -6,7 +6,9 @@ parameter width, escapes and any partition order, wasted bits and the four
 stereo layouts, with every frame's CRC-8 and CRC-16 and the stream's MD5
 checked.  Frames of all streams of a group are decoded side by side: one step
 takes the next residual, or the next predicted sample, of thousands of frames.
-``pcm_blocks`` gives seekable blocks: stream, first sample, PCM bytes.
+``read_blocks`` gives seekable PCM blocks: number, first sample, PCM bytes; the
+query's digests are those of these blocks, and ``starts_crc32`` is the checksum of
+their offsets.  At most ``RUN`` frames are decoded at a time, also of a long stream.
 
 The encoder takes mono 8-bit samples.  Of each frame it chooses the cheapest of
 constant, verbatim, fixed predictors of order 0 to 2 and a quantized linear
@@ -14,7 +16,9 @@ predictor of order 4, and writes a seek point per frame, by which the decoder
 finds the frames; streams without seek points are searched frame by frame.
 
 Nulls: a null text is stored as an empty one (64 zero bytes).  Repeated rows and
-equal texts give equal values.  An empty table gives an empty result.
+equal texts give equal values.  Very long texts are encoded and read back by runs of
+frames.  Ties between predictors go to the first one tried.  An empty table gives an
+empty result.  Extra columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -513,55 +517,99 @@ def _frames_of(stream: bytes, info: Info) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(stream)], strict=True))
 
 
+#: frames that are decoded side by side: what a reader holds at a time does not grow with a stream
+RUN = 4096
+
+
+def _decode_frames(frames: list[tuple[bytes, int, int, int, int]]) -> list[np.ndarray]:
+    """Samples (time, channels) of frames (bytes, samples, layout code, bits, bytes of the header); CRC-16 is checked."""
+    data = np.frombuffer(b"".join(f[0] for f in frames), dtype=np.uint8)
+    sizes = np.array([len(f[0]) for f in frames], dtype=np.int64)
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    size, layout, bits, head = (np.array([f[k] for f in frames], dtype=np.int64) for k in range(1, 5))
+    if crc16_spans(data, begin, end).any():  # over a frame with its checksum the remainder is 0
+        raise BadStream("frame fails its checksum")
+    reader = _Reader(data)
+    channels = np.where(layout < 8, layout + 1, 2)
+    at = 8 * (begin + head)
+    samples = np.zeros((int(channels.max()), int(size.max()), len(size)), dtype=np.int64)
+    for c in range(int(channels.max())):
+        own = np.flatnonzero(channels > c)
+        side = ((layout[own] == 8) & (c == 1)) | ((layout[own] == 9) & (c == 0)) | ((layout[own] == 10) & (c == 1))
+        found, stop = _subframes(reader, at[own], size[own], bits[own] + side)
+        samples[c, : len(found), own] = found.T
+        at[own] = stop
+    if (at + 7 >> 3 != end - 2).any():
+        raise BadStream("frame has another length than its subframes")
+    if len(samples) > 1:
+        a, b = samples[0], samples[1]
+        left_side, right_side, mid_side = (np.flatnonzero(layout == v) for v in (8, 9, 10))
+        b[:, left_side] = a[:, left_side] - b[:, left_side]
+        a[:, right_side] += b[:, right_side]
+        twice = a[:, mid_side] << 1 | b[:, mid_side] & 1
+        a[:, mid_side], b[:, mid_side] = twice + b[:, mid_side] >> 1, twice - b[:, mid_side] >> 1
+    return [samples[: channels[k], : size[k], k].T for k in range(len(frames))]
+
+
+def decoded(streams: list[bytes]) -> Iterator[tuple[int, Info, list[tuple[int, np.ndarray]], bool]]:
+    """Stream by stream its blocks (first sample, samples), at most ``RUN`` frames at a time: stream number, stream information, blocks, whether they are its last.
+
+    Checks every frame's CRC-8 and CRC-16, and with a stream's last blocks its length and MD5.
+    """
+    waiting: list[tuple[bytes, int, int, int, int]] = []
+    owners: list[tuple[int, Info, bool]] = []
+    done, digest = 0, hashlib.md5()
+
+    def flush() -> Iterator[tuple[int, Info, list[tuple[int, np.ndarray]], bool]]:
+        nonlocal done, digest
+        found = _decode_frames(waiting) if waiting else []
+        i = 0
+        while i < len(owners):
+            j = i
+            stream, info, _ = owners[i]
+            blocks = []
+            while j < len(owners) and owners[j][0] == stream:
+                blocks.append((done, found[j]))
+                done += len(found[j])
+                j += 1
+            last = owners[j - 1][2]
+            if info.md5 != bytes(16):
+                for _, x in blocks:
+                    digest.update(pcm_bytes(x, info.bits))
+            if last:
+                if info.samples and done != info.samples:
+                    raise BadStream("stream has another length than it says")
+                if info.md5 != bytes(16) and digest.digest() != info.md5:
+                    raise BadStream("samples fail the stream's checksum")
+                done, digest = 0, hashlib.md5()
+            yield stream, info, blocks, last
+            i = j
+        waiting.clear()
+        owners.clear()
+
+    for i, stream in enumerate(streams):
+        info = read_info(stream)
+        spans = _frames_of(stream, info)
+        if not spans:
+            yield from flush()
+            if info.samples:
+                raise BadStream("stream has another length than it says")
+            yield i, info, [], True
+        for k, (a, b) in enumerate(spans):
+            n, layout, depth, _, after = read_head(stream, a, info)
+            waiting.append((stream[a:b], n, layout, depth, after - a))
+            owners.append((i, info, k == len(spans) - 1))
+            if len(waiting) == RUN:
+                yield from flush()
+    yield from flush()
+
+
 def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
-    """Of every stream its blocks: first sample and samples (time, channels).  Checks CRC-8, CRC-16 and MD5."""
-    infos = [read_info(s) for s in streams]
-    offsets = np.cumsum([0, *(len(s) for s in streams)])
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    owner, begin, end, size, layout, bits, body = [], [], [], [], [], [], []
-    for i, (s, info) in enumerate(zip(streams, infos, strict=True)):
-        for a, b in _frames_of(s, info):
-            n, how, depth, _, after = read_head(s, a, info)
-            owner.append(i)
-            begin.append(a + offsets[i])
-            end.append(b + offsets[i])
-            size.append(n)
-            layout.append(how)
-            bits.append(depth)
-            body.append(after + offsets[i])
+    """Of every stream its blocks: first sample and samples (time, channels)."""
     out: list[list[tuple[int, np.ndarray]]] = [[] for _ in streams]
-    if owner:
-        begin, end, size, layout, bits, body = (np.array(v, dtype=np.int64) for v in (begin, end, size, layout, bits, body))
-        if crc16_spans(data, begin, end).any():  # over a frame with its checksum the remainder is 0
-            raise BadStream("frame fails its checksum")
-        reader = _Reader(data)
-        channels = np.where(layout < 8, layout + 1, 2)
-        at = 8 * body
-        samples = np.zeros((int(channels.max()), int(size.max()), len(size)), dtype=np.int64)
-        for c in range(int(channels.max())):
-            own = np.flatnonzero(channels > c)
-            side = ((layout[own] == 8) & (c == 1)) | ((layout[own] == 9) & (c == 0)) | ((layout[own] == 10) & (c == 1))
-            found, stop = _subframes(reader, at[own], size[own], bits[own] + side)
-            samples[c, : len(found), own] = found.T
-            at[own] = stop
-        if (at + 7 >> 3 != end - 2).any():
-            raise BadStream("frame has another length than its subframes")
-        if len(samples) > 1:
-            a, b = samples[0], samples[1]
-            left_side, right_side, mid_side = (np.flatnonzero(layout == v) for v in (8, 9, 10))
-            b[:, left_side] = a[:, left_side] - b[:, left_side]
-            a[:, right_side] += b[:, right_side]
-            twice = a[:, mid_side] << 1 | b[:, mid_side] & 1
-            a[:, mid_side], b[:, mid_side] = twice + b[:, mid_side] >> 1, twice - b[:, mid_side] >> 1
-        done = [0] * len(streams)
-        for k, i in enumerate(owner):
-            out[i].append((done[i], samples[: channels[k], : size[k], k].T))
-            done[i] += int(size[k])
-    for info, blocks in zip(infos, out, strict=True):
-        if info.samples and sum(len(x) for _, x in blocks) != info.samples:
-            raise BadStream("stream has another length than it says")
-        if info.md5 != bytes(16) and hashlib.md5(b"".join(pcm_bytes(x, info.bits) for _, x in blocks)).digest() != info.md5:
-            raise BadStream("samples fail the stream's checksum")
+    for i, _, blocks, _ in decoded(streams):
+        out[i] += blocks
     return out
 
 
@@ -574,6 +622,15 @@ def pcm_bytes(samples: np.ndarray, bits: int) -> bytes:
 
 
 BLOCKS = "key long, block int, sample_start long, n_samples int, channels int, bits int, rate int, pcm binary"
+_BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def read_blocks(streams: list[bytes]) -> Iterator[tuple[int, list[tuple], bool]]:
+    """Stream by stream its PCM blocks (block, sample_start, n_samples, channels, bits, rate, pcm), a bounded number at a time, and whether they are its last."""
+    number = 0
+    for i, info, blocks, last in decoded(streams):
+        yield i, [(number + b, at, len(x), x.shape[1], info.bits, info.rate, pcm_bytes(x, info.bits)) for b, (at, x) in enumerate(blocks)], last
+        number = 0 if last else number + len(blocks)
 
 
 def pcm_blocks(media: DataFrame, key: str, column: str) -> DataFrame:
@@ -585,19 +642,20 @@ def pcm_blocks(media: DataFrame, key: str, column: str) -> DataFrame:
             keys, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in text_groups(streams, GROUP):
                 some = [k for k in range(i, j) if streams[k] is not None]
-                rows = []
-                for k, blocks in zip(some, decode_blocks([streams[k] for k in some]), strict=True):
-                    info = read_info(streams[k])
-                    rows += [(keys[k], b, at, len(x), x.shape[1], info.bits, info.rate, pcm_bytes(x, info.bits)) for b, (at, x) in enumerate(blocks)]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
+                rows: list[tuple] = []
+                for k, blocks, _ in read_blocks([streams[k] for k in some]):
+                    rows += [(keys[some[k]], *x) for x in blocks]
+                    if len(rows) >= RUN:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_BLOCK_TYPES)], names=names)
+                        rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_BLOCK_TYPES)], names=names)
 
     return media.select(F.col(key).cast("long").alias("key"), F.col(column)).mapInArrow(run, BLOCKS)
 
 
-def to_flac(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes and the FLAC stream of every text's padded payload."""
-    return _over_texts(docs, lambda raw, media: [media], "flac binary", [pa.binary()])
+def to_flac(docs: DataFrame) -> DataFrame:
+    """doc_id and the FLAC stream of every text's padded payload."""
+    return _over_texts(docs, lambda raw, media: [[m] for m in media], "flac binary", [pa.binary()])
 
 
 def _payload(text: bytes | None) -> bytes:
@@ -605,24 +663,44 @@ def _payload(text: bytes | None) -> bytes:
     return text + bytes(max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
-def feature_of(read: np.ndarray) -> str:
-    """Samples, peak, energy and sign changes of the decoded samples (less 128 again)."""
-    x = read.astype(np.int64)
-    changes = int((np.diff(np.signbit(np.diff(x))) != 0).sum())
-    return f"n={len(x)};min={x.min()};max={x.max()};energy={int((x * x).sum())};turns={changes}"
-
-
-def _digest(raw: bytes | None, media: bytes, blocks: list[tuple[int, np.ndarray]]) -> list:
-    read = np.concatenate([x[:, 0] for _, x in blocks])
-    back = (read + 128).astype(np.uint8).tobytes()
-    return [
-        len(raw or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
-        feature_of(read), len(blocks),
-    ]
-
-
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int"
-_DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+class Reading:
+    """What is computed from a stream's PCM blocks as they are read back, without holding them."""
+
+    def __init__(self):
+        self.sha, self.starts, self.tail = hashlib.sha256(), 0, b""
+        self.samples = self.blocks = self.energy = self.turns = 0
+        self.low, self.high = 255, -255
+        self.last = self.falling = None
+
+    def add(self, blocks: list[tuple]) -> None:
+        """The next blocks; each must begin where the one before ended."""
+        at = self.samples
+        for number, start, n, *_ in blocks:
+            if (number, start) != (self.blocks, at):
+                raise BadStream("blocks are not seekable by their offsets")
+            self.blocks, at = self.blocks + 1, at + n
+        self.starts = zlib.crc32(np.array([b[1] for b in blocks], dtype="<u8").tobytes(), self.starts)
+        pcm = np.frombuffer(b"".join(b[6] for b in blocks), dtype=np.int8)
+        back = (pcm.view(np.uint8) ^ 0x80).tobytes()
+        self.sha.update(back)
+        self.tail = (self.tail + back[-UNIT:])[-UNIT:]
+        x = pcm.astype(np.int64)
+        self.samples += len(x)
+        self.low, self.high = min(self.low, int(x.min())), max(self.high, int(x.max()))
+        self.energy += int((x * x).sum())
+        falling = (np.diff(x) if self.last is None else np.diff(x, prepend=self.last)) < 0
+        if len(falling):
+            self.turns += int((falling[1:] != falling[:-1]).sum()) + (self.falling is not None and bool(falling[0]) != self.falling)
+            self.falling = bool(falling[-1])
+        self.last = int(x[-1])
+
+    def feature(self) -> str:
+        """Samples, peaks, energy and sign changes of the slope."""
+        return f"n={self.samples};min={self.low};max={self.high};energy={self.energy};turns={self.turns}"
+
+
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int, starts_crc32 long"
+_DIGEST_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
 
 
 def _over_texts(docs: DataFrame, make, schema: str, types: list) -> DataFrame:
@@ -632,18 +710,25 @@ def _over_texts(docs: DataFrame, make, schema: str, types: list) -> DataFrame:
             texts = byte_rows(batch.column(1))
             for i, j in text_groups(texts, GROUP):
                 media = encode([_payload(t) for t in texts[i:j]])
-                rows = make(texts[i:j], media)
-                columns = [rows[0]] if len(types) == 1 else list(zip(*rows, strict=True))
+                columns = zip(*make(texts[i:j], media), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, f"doc_id long, {schema}")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, decode the stored bytes and return digests of both."""
+    """Store every text as FLAC, write the stored bytes back as PCM blocks with their sample offsets, and return digests of both."""
 
     def make(raw: list, media: list[bytes]) -> list:
-        return [_digest(*x) for x in zip(raw, media, decode_blocks(media), strict=True)]
+        rows, reading = [], Reading()
+        for i, blocks, last in read_blocks(media):
+            reading.add(blocks)
+            if last:
+                rows.append(
+                    (len(raw[i] or b""), reading.samples, reading.sha.hexdigest(), zlib.crc32(reading.tail), len(media[i]), hashlib.sha256(media[i]).hexdigest(), reading.feature(), reading.blocks, reading.starts)
+                )
+                reading = Reading()
+        return rows
 
     return _over_texts(docs, make, DIGEST, _DIGEST_TYPES)
 

@@ -36,6 +36,7 @@ def levels(edges: DataFrame) -> DataFrame:
     """Topological level of each node: its longest path from a root.  Cyclic graphs raise."""
     nodes = edges.select("graph", F.col("src").alias("node")).union(edges.select("graph", F.col("dst"))).distinct()
     level = settled(nodes.withColumn("level", F.lit(0)))
+    edges = settled(edges)
     most = nodes.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
     for _ in range(most + 1):
         pushed = edges.join(level.withColumnRenamed("node", "src"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("pushed"))

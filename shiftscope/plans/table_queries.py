@@ -2,7 +2,7 @@
 
 Contexts are category columns (return flag, market segment, order priority,
 event type); numeric nodes are the lineitem measures; series are the users'
-events in order of event_id; graphs are derived from keys modulo small numbers.
+events in order of event_id; an order is a graph over its line numbers.
 Floating-point results are rounded on both sides.
 """
 
@@ -368,18 +368,23 @@ def case_summary(spark, sf_dir):
     ), 4)
 
 
-EDGES = "g AS (SELECT DISTINCT (l_orderkey % 5)::INT AS graph, (l_partkey % 12)::INT AS src, (l_suppkey % 12)::INT AS dst FROM lineitem WHERE l_partkey % 12 < l_suppkey % 12 AND l_orderkey % 5 = l_partkey % 5 AND l_linenumber % 2 = 0 AND (l_partkey + l_suppkey) % 4 = 0)"
-OTHER = "h AS (SELECT DISTINCT (l_orderkey % 5)::INT AS graph, (l_partkey % 12)::INT AS src, (l_suppkey % 12)::INT AS dst FROM lineitem WHERE l_partkey % 12 <> l_suppkey % 12 AND l_orderkey % 5 = l_partkey % 5 AND l_linenumber % 2 = 0 AND (l_partkey + 2 * l_suppkey) % 5 = 0)"
+# every order is a graph over its line numbers; all line items take part
+PAIR = "SELECT DISTINCT a.l_orderkey AS graph, a.l_linenumber AS src, b.l_linenumber AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey"
+EDGES = f"g AS ({PAIR} AND a.l_linenumber < b.l_linenumber AND abs(a.l_quantity - b.l_quantity) <= 12)"
+OTHER = f"h AS ({PAIR} AND a.l_linenumber <> b.l_linenumber AND b.l_quantity > a.l_quantity AND b.l_quantity - a.l_quantity <= 15)"
+GRAPHS = "(SELECT DISTINCT l_orderkey AS graph FROM lineitem)"
+NODES = 7
 
 
 def _edges(spark, sf_dir, other: bool = False):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = l_partkey % 5 and l_linenumber % 2 = 0")
-    rows = rows.where("l_partkey % 12 <> l_suppkey % 12 and (l_partkey + 2 * l_suppkey) % 5 = 0" if other else "l_partkey % 12 < l_suppkey % 12 and (l_partkey + l_suppkey) % 4 = 0")
-    return rows.select((F.col("l_orderkey") % 5).cast("int").alias("graph"), (F.col("l_partkey") % 12).cast("int").alias("src"), (F.col("l_suppkey") % 12).cast("int").alias("dst")).distinct()
+    rows = read(spark, sf_dir, "lineitem")
+    a, b = (rows.select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias(n), F.col("l_quantity").alias(f"q_{n}")) for n in ("src", "dst"))
+    near = "src <> dst and q_dst > q_src and q_dst - q_src <= 15" if other else "src < dst and abs(q_src - q_dst) <= 12"
+    return a.join(b, "graph").where(near).select("graph", "src", "dst").distinct()
 
 
-def _nodes(spark):
-    return spark.range(5).select(F.col("id").cast("int").alias("graph"), F.lit(12).alias("n_nodes"))
+def _nodes(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.lit(NODES).alias("n_nodes")).distinct()
 
 
 @query(f"WITH RECURSIVE {EDGES}, r AS (SELECT graph, dst AS node, src AS ancestor FROM g UNION SELECT r.graph, r.node, g.src FROM r JOIN g ON g.graph = r.graph AND g.dst = r.ancestor) SELECT graph, node, ancestor FROM r")
@@ -408,21 +413,22 @@ def markov_blankets(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES}, {OTHER}, o AS (SELECT graph, src, dst, 0 AS side FROM (FROM g EXCEPT FROM h) UNION ALL SELECT graph, src, dst, 1 FROM (FROM h EXCEPT FROM g)), p AS (SELECT graph, least(src, dst) AS p, greatest(src, dst) AS q, count(*) AS n FROM o GROUP BY 1, 2, 3)
-SELECT graph, coalesce(sum(n), 0)::BIGINT AS shd, count(n) AS shd_single, round(coalesce(sum(n), 0) / 66.0, 6) AS shd_share FROM (SELECT unnest(range(5))::INT AS graph) LEFT JOIN p USING (graph) GROUP BY 1""")
+SELECT graph, coalesce(sum(n), 0)::BIGINT AS shd, count(n) AS shd_single, round(coalesce(sum(n), 0) / 21.0, 6) AS shd_share FROM {GRAPHS} LEFT JOIN p USING (graph) GROUP BY 1""")
 def shd(spark, sf_dir):
-    return rounded(graphs.shd(_edges(spark, sf_dir), _edges(spark, sf_dir, True), _nodes(spark)))
+    return rounded(graphs.shd(_edges(spark, sf_dir), _edges(spark, sf_dir, True), _nodes(spark, sf_dir)))
 
 
-@query(f"""WITH {EDGES}, {OTHER}, f AS (SELECT graph, coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM (SELECT *, 1 AS t FROM g) FULL JOIN (SELECT *, 1 AS f FROM h) USING (graph, src, dst)), c AS (SELECT graph, sum(t * f)::BIGINT AS tp, sum(f * (1 - t))::BIGINT AS fp, sum(t * (1 - f))::BIGINT AS fn FROM f GROUP BY 1)
-SELECT graph, tp, fp, fn, 132 - tp - fp - fn AS tn, round(tp / (tp + fn), 6) AS tpr, round(fp / (132 - tp - fn), 6) AS fpr, round(tp / (tp + fp), 6) AS "precision", round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
-round((tp * (132 - tp - fp - fn) - fp * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (132 - tp - fn) * (132 - tp - fp)), 6) AS mcc FROM c""")
+@query(f"""WITH {EDGES}, {OTHER}, f AS (SELECT graph, coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM (SELECT *, 1 AS t FROM g) FULL JOIN (SELECT *, 1 AS f FROM h) USING (graph, src, dst)),
+c AS (SELECT graph, coalesce(sum(t * f), 0)::BIGINT AS tp, coalesce(sum(f * (1 - t)), 0)::BIGINT AS fp, coalesce(sum(t * (1 - f)), 0)::BIGINT AS fn FROM {GRAPHS} LEFT JOIN f USING (graph) GROUP BY 1), d AS (SELECT *, 42 - tp - fp - fn AS tn FROM c)
+SELECT graph, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fn, 0), 1), 6) AS tpr, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS "precision", round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 1), 6) AS f1,
+round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 1), 6) AS mcc FROM d""")
 def edge_confusion(spark, sf_dir):
-    return rounded(graphs.edge_confusion(_edges(spark, sf_dir), _edges(spark, sf_dir, True), _nodes(spark)))
+    return rounded(graphs.edge_confusion(_edges(spark, sf_dir), _edges(spark, sf_dir, True), _nodes(spark, sf_dir)))
 
 
 @query(f"WITH {OTHER} SELECT graph, count(*) FILTER (WHERE src > dst) AS backward, round(avg(CASE WHEN src < dst THEN 1.0 ELSE 0.0 END), 6) AS forward_share FROM h GROUP BY 1")
 def order_divergence(spark, sf_dir):
-    order = _nodes(spark).select("graph", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("node")).withColumn("rank", F.col("node"))
+    order = _nodes(spark, sf_dir).select("graph", F.explode(F.sequence(F.lit(1), F.lit(NODES))).alias("node")).withColumn("rank", F.col("node"))
     return rounded(graphs.order_scores(_edges(spark, sf_dir, True), order))
 
 

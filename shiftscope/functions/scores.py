@@ -14,6 +14,9 @@ import numpy as np
 
 LN2 = math.log(2)
 MOST = 400
+#: fixed values of the search: starts (log length scale, log signal, log noise) and the least noise
+STARTS = ((0.0, 0.0, -2.0), (1.0, 0.0, -1.0), (-1.0, 0.0, 0.0), (0.0, -2.0, 0.0), (0.0, 2.0, 2.0))
+LEAST_NOISE = 1e-6
 
 
 def null_bits(y: np.ndarray) -> float:
@@ -30,6 +33,8 @@ def gp_bits(x: np.ndarray, y: np.ndarray, restarts: int = 10, seed: int = 0, mos
 
     Length scale, signal and noise are searched on the log scale: seeded starts
     in [-5, 5]^3, five fixed ones, then a 27-point refinement around the best.
+    The target is standardised for the search, and its scale is added again, so
+    that bits with and without parents compare.
     """
     x = np.asarray(x, dtype=float).reshape(len(y), -1)
     n = len(y)
@@ -56,7 +61,7 @@ def gp_bits_repeated(x: np.ndarray, count: np.ndarray, mean: np.ndarray, within:
     d2 = np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T)
 
     def nll(theta: np.ndarray) -> float:
-        scale, signal, noise = np.exp(theta)
+        scale, signal, noise = np.exp(np.maximum(theta, (-np.inf, -np.inf, math.log(LEAST_NOISE))))
         k = signal * np.exp(-0.5 * d2 / scale**2)
         jitter = 1e-6
         for _ in range(6):
@@ -71,13 +76,13 @@ def gp_bits_repeated(x: np.ndarray, count: np.ndarray, mean: np.ndarray, within:
         return math.inf
 
     rng = np.random.default_rng(seed)
-    starts = [*rng.uniform(-5, 5, (restarts, 3)), *(np.array(t, dtype=float) for t in ((0, 0, -2), (0, 0, 0), (1, 0, -1), (-1, 0, -1), (2, 0, -3)))]
+    starts = [*rng.uniform(-5, 5, (restarts, 3)), *(np.array(t) for t in STARTS)]
     best = min(starts, key=nll)
     grid = [best + 0.75 * np.array([a, b, c]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     value = min(map(nll, grid))
     if not math.isfinite(value):
         return null_bits_of(int(n), spread**2)
-    return (value + 1.5 * math.log(n)) / LN2
+    return (value + 1.5 * math.log(n)) / LN2 + n * math.log2(spread)
 
 
 # --- mergeable scores --------------------------------------------------------

@@ -127,8 +127,9 @@ def power_divergence(df: DataFrame, x: str, y: str, z: list[str] = (), power: fl
 
 
 def cantor(a: Column, b: Column) -> Column:
-    """Cantor's pairing of two non-negative integers."""
-    return ((a + b) * (a + b + 1) / 2).cast("long") + b
+    """Cantor's pairing of two non-negative integers, in whole numbers."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.shiftright((a + b) * (a + b + 1), 1) + b
 
 
 def relabel_sorted(df: DataFrame, label: str, out: str, by: list[str] = ()) -> DataFrame:

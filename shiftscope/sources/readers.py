@@ -6,6 +6,8 @@ Spark reads, and every file is a separate split.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from shiftscope.operators.regimes import block_gate
@@ -19,6 +21,29 @@ def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def by_header(spark: SparkSession, pattern: str, columns: list[str] | None, sep: str = ",", glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, columns as text) of delimited files that may each have their columns in another order.
+
+    Every file's heading is its first line; a column that a file lacks is null
+    there.  Without ``columns`` the result has file, names and cells.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    cells = F.transform(F.split(F.rtrim("value"), re.escape(sep)), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
+    # ids grow along a file's first block, whose first line they find
+    lines = reader.text(pattern).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), cells.alias("cells"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("cells", "id").alias("names"), F.min("id").alias("head"))
+    rows = lines.join(heads, "file").where((F.col("block") > 0) | (F.col("id") > F.col("head"))).where(F.size("cells") >= F.size("names"))
+    if columns is None:
+        return rows.select("file", "names", "cells")
+    return rows.select("file", *(F.get("cells", F.array_position("names", c).cast("int") - 1).alias(c) for c in columns))
+
+
+def _number(column: str) -> Column:
+    return F.col(column).try_cast("double")
+
+
 def numeric_table(spark: SparkSession, path: str, sep: str = ",", header: bool = True, names: list[str] | None = None) -> DataFrame:
     """A delimited file of doubles; a heading of numbers (column positions) becomes x0, x1, ..."""
     df = spark.read.csv(path, sep=sep, header=header)
@@ -34,10 +59,11 @@ def headless_text(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def context_tables(spark: SparkSession, pattern: str, number: str = r"_(\d+)\.\w+$", sep: str = "\t") -> DataFrame:
-    """One file per context, numbered in its name: (context, x0, ...)."""
-    df = spark.read.csv(pattern, sep=sep, header=True)
-    values = [F.expr(f"try_cast(`{c}` as double)").alias(f"x{c}" if c.isdigit() else c) for c in df.columns]
-    return df.select(F.regexp_extract(F.input_file_name(), number, 1).cast("int").alias("context"), *values)
+    """One file per context, numbered in its name: (context, x0, ...); a file's columns may be in any order."""
+    columns = spark.read.csv(pattern, sep=sep, header=True).columns
+    rows = by_header(spark, pattern, columns, sep)
+    values = [_number(c).alias(f"x{c}" if c.isdigit() else c) for c in columns]
+    return rows.select(F.regexp_extract("file", number, 1).cast("int").alias("context"), *values)
 
 
 def edge_list(spark: SparkSession, path: str, sep: str = "\t", first: int = 1) -> DataFrame:
@@ -56,7 +82,7 @@ def adjacency(spark: SparkSession, path: str, sep: str = "\t", header: bool = Tr
 
 
 def _year(column: str) -> Column:
-    return F.substring(F.col(column).cast("string"), 1, 4).cast("int")
+    return F.substring(F.col(column).cast("string"), 1, 4).try_cast("int")
 
 
 def flux_sites(spark: SparkSession, pattern: str, metadata: DataFrame, variables: list[str], target_year: int = 2006, time: str = "TIMESTAMP") -> DataFrame:
@@ -67,9 +93,9 @@ def flux_sites(spark: SparkSession, pattern: str, metadata: DataFrame, variables
     30-row block of the chosen year has over 8 sentinels in one variable; the
     sentinels that are left become 0.
     """
-    df = spark.read.csv(pattern, header=True, recursiveFileLookup=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    rows = df.select(name.alias("file"), F.split(name, "_")[1].alias("site"), _year(time).alias("year"), F.col(time).cast("string").alias("stamp"), *(F.col(v).cast("double").alias(v) for v in variables))
+    df = by_header(spark, pattern, [time, *variables], glob="*FULLSET*", recursive=True)
+    name = F.element_at(F.split("file", "/"), -1)
+    rows = df.select(name.alias("file"), F.split(name, "_")[1].alias("site"), _year(time).alias("year"), F.col(time).alias("stamp"), *(_number(v).alias(v) for v in variables))
     rows = rows.where(F.col("file").contains("DD") & F.col("file").contains("FULLSET")).drop("file")
     rows = rows.join(metadata, "site").where(F.col("year").between(F.col("start_year"), F.col("end_year")))
     chosen = rows.groupBy("site").agg(F.min_by("year", F.struct(F.abs(F.col("year") - target_year), "year")).alias("year"))
@@ -85,9 +111,9 @@ def flux_sites(spark: SparkSession, pattern: str, metadata: DataFrame, variables
 
 def river_basins(spark: SparkSession, pattern: str, variables: list[str], target_year: int = 2010, most: int | None = None) -> DataFrame:
     """Daily basin files: (location, year, t, variables) of the year closest to the target, where no variable has over 20 nulls."""
-    df = spark.read.csv(pattern, header=True)
-    location = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    rows = df.select(location.alias("location"), _year("time").alias("year"), F.col("time").alias("stamp"), *(F.col(v).cast("double").alias(v) for v in variables))
+    df = by_header(spark, pattern, ["time", *variables])
+    location = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
+    rows = df.select(location.alias("location"), _year("time").alias("year"), F.col("time").alias("stamp"), *(_number(v).alias(v) for v in variables))
     chosen = rows.groupBy("location").agg(F.min_by("year", F.struct(F.abs(F.col("year") - target_year), "year")).alias("year"))
     rows = rows.join(chosen, ["location", "year"])
     gaps = rows.groupBy("location").agg(F.greatest(*(F.count_if(F.col(v).isNull()) for v in variables), F.lit(0)).alias("gaps")).where(F.col("gaps") <= MOST_NULLS)
@@ -120,10 +146,10 @@ def strength_means(strengths: DataFrame, parent: int, child: int, year: int | No
 
 def cytometry(spark: SparkSession, path: str, proteins: list[str], observational: tuple[int, ...] = (1, 2), targets: dict[int, str] | None = None) -> DataFrame:
     """Pooled cells with their experiment, whether it is observational, and the intervened protein."""
-    df = spark.read.csv(path, sep="\t", header=True)
+    df = by_header(spark, path, ["experiment", *proteins], "\t")
     e = F.col("experiment").cast("int")
     target = F.create_map(*[F.lit(x) for kv in (targets or {0: ""}).items() for x in kv])[e]
-    return df.select(e.alias("experiment"), e.isin(*observational).alias("observational"), target.alias("target"), *(F.col(p).cast("double").alias(p) for p in proteins))
+    return df.select(e.alias("experiment"), e.isin(*observational).alias("observational"), target.alias("target"), *(_number(p).alias(p) for p in proteins))
 
 
 def perturbation_counts(counts: DataFrame, genes: list[str]) -> DataFrame:
@@ -135,3 +161,33 @@ def located(index: DataFrame, ids: DataFrame, metadata: DataFrame) -> DataFrame:
     """Location numbers to ids (by order of ids) to metadata; numbers without metadata stay."""
     numbered = ids.distinct().withColumn("number", F.row_number().over(W.orderBy("id")) - 1)  # one row per location
     return index.join(numbered, "number").join(metadata, "id", "left")
+
+
+def numpy_matrices(spark: SparkSession, pattern: str) -> DataFrame:
+    """Two-dimensional ``.npy`` files of numbers as (file, row, cells): each file is read by one task."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                table = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
+                for i in range(0, len(table), 4096):
+                    part = table[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["file", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "file string, row long, cells array<double>")
+
+
+def perturbation_matrices(spark: SparkSession, pattern: str, genes: list[str]) -> DataFrame:
+    """Expression matrices, one ``.npy`` file per perturbation (rows are cells): (perturbation, row, log(1 + count) per gene)."""
+    name = F.regexp_extract("file", r"([^/]+)\.npy$", 1)
+    return numpy_matrices(spark, pattern).select(name.alias("perturbation"), "row", *(F.log1p(F.col("cells")[i]).alias(g) for i, g in enumerate(genes)))
+
+
+def clustered_locations(index: DataFrame, clusters: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Clusters of location numbers (number, cluster) with the locations' ids and metadata."""
+    return located(clusters, index.select("id"), metadata)

@@ -110,6 +110,18 @@ def test_readers_and_sinks(spark, tmp_path):
     meta = spark.createDataFrame([("S1", 2006, 2010), ("S2", 2000, 2010)], "site string, start_year int, end_year int")
     rows = readers.flux_sites(spark, str(flux), meta, ["TA"]).collect()
     assert {(r.site, r.year) for r in rows} == {("S1", 2007)} and sum(r.TA == 0 for r in rows) == 3
+    # a file with its columns in another order keeps its values in their columns
+    for site, head in (("S3", "TIMESTAMP,TA,P"), ("S4", "P,TIMESTAMP,TA")):
+        cells = {"TIMESTAMP": "2006{:04d}", "TA": "1.5", "P": "7"}
+        (flux / f"FLX_{site}_FULLSET_DD_1.csv").write_text("\n".join([head, *(",".join(cells[c] for c in head.split(",")).format(d) for d in range(40))]))
+    meta = spark.createDataFrame([("S3", 2006, 2010), ("S4", 2000, 2010)], "site string, start_year int, end_year int")
+    rows = readers.flux_sites(spark, str(flux), meta, ["TA", "P"]).collect()
+    assert {(r.site, r.TA, r.P) for r in rows} == {("S3", 1.5, 7.0), ("S4", 1.5, 7.0)} and len(rows) == 80
+    (tmp_path / "rows_context_2.tsv").write_text("1\t0\n0\t1\n")
+    assert {(r.x0, r.x1) for r in readers.context_tables(spark, str(tmp_path / "rows_context_*.tsv")).where("context = 2").collect()} == {(1.0, 0.0)}
+    np.save(tmp_path / "g1.npy", np.array([[0.0, 1.0], [3.0, 0.0]]))
+    genes = readers.perturbation_matrices(spark, str(tmp_path / "g*.npy"), ["a", "b"]).orderBy("row").collect()
+    assert [(r.perturbation, round(r.a, 3), round(r.b, 3)) for r in genes] == [("g1", 0.0, 0.693), ("g1", 1.386, 0.0)]
     results = spark.createDataFrame([("N_5_K_2", "m", "f1", 0.5), ("N_5_K_2", "m", "f1", 1.0), ("N_6_K_2", "m", "f1", -1.0), ("N_5_K_3", "m", "f1", 0.1)], "case string, method string, metric string, value double")
     assert [(r.N, r.n, r["mean"]) for r in sinks.sweep(results, {"K": "2"}, "N").collect()] == [(5.0, 2, 0.75), (6.0, 0, None)]
     sinks.write_table(results, str(tmp_path / "out"), ["method"], "tsv")

@@ -4,7 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from shiftscope.plans import table_queries
+from shiftscope.plans import evaluation_queries, table_queries
+
+QUERIES = table_queries.QUERIES | evaluation_queries.QUERIES
+ORACLE_SQL = table_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -23,9 +26,9 @@ def rows(frame):
     return sorted((tuple(clean(v) for v in r) for r in frame.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, sf_dir, duck, name):
-    mine, theirs = rows(table_queries.QUERIES[name](spark, sf_dir).toPandas()), rows(duck.execute(table_queries.ORACLE_SQL[name]).df())
+    mine, theirs = rows(QUERIES[name](spark, sf_dir).toPandas()), rows(duck.execute(ORACLE_SQL[name]).df())
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs):
         assert a == pytest.approx(b, rel=1e-6, abs=1e-6) if all(isinstance(v, float) for v in a + b) else [x if not isinstance(x, float) else round(x, 4) for x in a] == [x if not isinstance(x, float) else round(x, 4) for x in b]

@@ -14,17 +14,22 @@ over the Burrows-Wheeler transform, block ranks), and the segments are streamed
 against it: backward search gives the matching statistics, and windows whose
 match of 35 words has a weight of two or more are reported.
 
-Texts are known by a 64-bit hash, so copies of a text share all work; words,
-anchors and segments are compared by 64-bit hashes.  Anchors of a very common
-passage (from a list of fixed length, counted over all documents) are dealt over
-many groups, since they are known to repeat; their windows are also told apart
-by the eight-word run with the second least hash, so that the passage's borders,
-which differ from document to document, spread over many shards.
+Texts are known by a 64-bit hash, so copies of a text share all work; segments
+are one where two hashes agree, that of their words and that of their anchor.
+
+An anchor that ``HOT`` or more segments share (on a list of fixed length, counted
+over all documents) would bring them all into one shard, such as a line that stands
+in many documents between ever different words.  Its windows are segments of their
+own with the hash of all 35 words as anchor: the border windows, which differ from
+document to document, then occur once and go no further, and what does repeat
+spreads over all shards.  A window that repeats within a task's slab is known to
+repeat; its rows are dealt out by text, and only a mark goes to the window's group.
 
 Nulls: a null text has no words; a null doc_id is kept.  Repeated rows are
 documents of their own, so all windows of a repeated text repeat.  Texts under
-35 words stay whole.  An empty table gives an empty result.  Extra columns are
-not read.
+35 words stay whole; very long ones are cut by windows like any other.  Ties: the
+leftmost of equal anchors in a window.  An empty table gives an empty result.  Extra
+columns are not read; ``deduplicated`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,25 +43,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.llm.common import SIEVE_BITS, byte_rows, documents, durable, group_count, in_sieve, most_frequent, sieve, sifted, small_batches, text_groups, to_blob
 from shiftscope.llm.fm_index import FMIndex
-from shiftscope.llm.textops import U, hash_words, mix, ngram_hashes, radix_split, run_hashes, split_words
+from shiftscope.llm.textops import U, distinct_pairs, hash_words, mix, ngram_hashes, radix_split, run_hashes, split_words
 
 WINDOW, ANCHOR = 35, 8
-#: the list of common anchors: its length, and the count within one slab from which an anchor is reported
-COMMON, LOCAL = 1 << 18, 8
+#: the list of common anchors: its length, the count within one slab from which an anchor is reported, and the share of all others that is
+COMMON, LOCAL, SAMPLED = 1 << 18, 8, 256
+#: anchors that so many segments share have each window for itself
+HOT = 1024
 SLAB = 1 << 17
-PART_ROWS = 4096
 SEGMENTS_EACH = 4000
 
-
 NONE = np.zeros((2, 0), dtype=U)
 
 
 def segments(words: np.ndarray, first: np.ndarray, common: np.ndarray = NONE) -> np.ndarray:
-    """Segments of all texts, columns: text, first window, windows, anchor hash, hash of the words, shard key.
-
-    The key is the anchor's hash; for a common anchor it also holds the second
-    one's, and a segment ends where either changes.
-    """
+    """Segments of all texts, columns: text, first window, windows, anchor hash, hash of the words, shard key."""
     spans = WINDOW - ANCHOR + 1
     grams = ngram_hashes(words, ANCHOR)
     if len(grams) < spans:
@@ -68,24 +69,27 @@ def segments(words: np.ndarray, first: np.ndarray, common: np.ndarray = NONE) ->
     for i in range(0, len(start), 1 << 15):
         place[i : i + (1 << 15)] = views[start[i : i + (1 << 15)]].argmin(axis=1)
     place += start
-    key = grams[place]
-    second = place.copy()
-    again = np.flatnonzero(_known(key, common)[0])
-    for i in range(0, len(again), 1 << 15):
-        part = again[i : i + (1 << 15)]
-        rest = views[start[part]].copy()
-        rest[np.arange(len(part)), place[part] - start[part]] = np.iinfo(U).max
-        second[part] = start[part] + rest.argmin(axis=1)
-    key[again] = mix(key[again] + mix(grams[second[again]]))
+    hot = _hot(grams[place], common)
     new = np.ones(len(start), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (second[1:] != second[:-1]) | (owner[start[1:]] != owner[start[:-1]])
+    new[1:] = (place[1:] != place[:-1]) | (owner[start[1:]] != owner[start[:-1]]) | hot[1:]
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
     begin = start[head]
     end = begin + count + WINDOW - 1
     content = run_hashes(words, begin, end)
+    anchor = grams[place[head]]
+    # the second hash of a window on its own is made of other runs of its words
+    key = np.where(hot[head], mix(content + mix(anchor)), anchor)
     text = owner[begin]
-    return np.stack([text.astype(U), (begin - first[text]).astype(U), count.astype(U), grams[place[head]], content, key[head]], axis=1)
+    return np.stack([text.astype(U), (begin - first[text]).astype(U), count.astype(U), anchor, content, key], axis=1)
+
+
+def _hot(anchors: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which anchors are on the list."""
+    if not common.shape[1]:
+        return np.zeros(len(anchors), dtype=bool)
+    at = np.minimum(np.searchsorted(common[0], anchors), common.shape[1] - 1)
+    return common[0][at] == anchors
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -123,42 +127,43 @@ def _slabs(batches: Iterator[pa.RecordBatch], common: np.ndarray = NONE) -> Iter
 
 
 def _common(texts: DataFrame) -> np.ndarray:
-    """The most common anchors and their counts, by anchor: at most ``COMMON`` of them."""
+    """The anchors that ``HOT`` or more segments share and their counts, by anchor: at most ``COMMON`` of them, the most common ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, found in _slabs(batches):
+        for ids, _, found in _slabs(batches):
             values, counts = np.unique(found[:, 3], return_counts=True)
             often = counts >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["anchor", "n"])
+            # an anchor that is spread thin over all slabs is met in a sample of places, each standing for SAMPLED
+            place = mix(ids[found[:, 0].astype(np.int64)].view(U) + mix(found[:, 1])) % U(SAMPLED) == 0
+            thin = found[place, 3]
+            thin = thin[~often[np.searchsorted(values, thin)]]
+            anchors = np.concatenate([values[often], thin])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(np.concatenate([counts[often], np.full(len(thin), SAMPLED)]))], names=["anchor", "n"])
 
     counted = texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return most_frequent(counted, "anchor", COMMON)
-
-
-def _known(anchors: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which anchors are on the list, and over how many groups each is dealt."""
-    if not common.shape[1]:
-        return np.zeros(len(anchors), dtype=bool), np.ones(len(anchors), dtype=U)
-    at = np.minimum(np.searchsorted(common[0], anchors), common.shape[1] - 1)
-    known = common[0][at] == anchors
-    return known, np.where(known, common[1][at] // U(PART_ROWS) + U(1), U(1))
+    return most_frequent(counted.where(F.col("n") >= HOT), "anchor", COMMON)
 
 
 OCCURRENCES = "content long, key long, id long, begin int, windows int, copies long"
-KNOWN = U(1 << 16)
+KNOWN, MARK = U(1 << 16), U(1 << 17)
 
 
 def _occurrences(texts: DataFrame, common, groups: int) -> DataFrame:
-    """Segments whose key occurs twice or more or is common, by text; ``copies``: equal texts seen by the task."""
+    """Segments whose key occurs twice or more, by text; ``copies``: equal texts seen by the task."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, counts, found in _slabs(batches, common.value):
             text = found[:, 0].astype(np.int64)
-            own = ids[text].view(U)
-            known, dealt = _known(found[:, 3], common.value)
-            order, cuts = radix_split(mix(found[:, 5] + mix(own) % dealt), groups)
+            own, copies, key = ids[text].view(U), counts[text].astype(U), found[:, 5]
+            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            twice = np.bincount(inverse, weights=copies, minlength=len(keys)) >= 2
+            known = twice[inverse]
             place = found[:, 1] << U(32) | known.astype(U) * KNOWN | found[:, 2]
-            packed = np.stack([found[:, 5], found[:, 4], own, place, counts[text].astype(U)])[:, order]
+            rows = np.stack([key, found[:, 4], own, place, copies])
+            marks = np.stack([keys, found[first, 4], own[first], np.full(len(keys), MARK, dtype=U), np.full(len(keys), 2, dtype=U)])[:, twice]
+            packed = np.concatenate([rows, marks], axis=1)
+            order, cuts = radix_split(mix(np.concatenate([np.where(known, mix(own + place), key), marks[0]])), groups)
+            packed = packed[:, order]
             used = np.flatnonzero(np.diff(cuts))
             blobs = [to_blob(packed[:, cuts[g] : cuts[g + 1]]) for g in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
@@ -169,7 +174,7 @@ def _occurrences(texts: DataFrame, common, groups: int) -> DataFrame:
         begin = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
         total = np.add.reduceat(rows[4], begin)
         again = np.repeat(total >= 2, np.diff(np.append(begin, rows.shape[1]))) | (rows[3] & KNOWN > 0)
-        key, content, own, place, copies = (x[again] for x in rows)
+        key, content, own, place, copies = (x[again & (rows[3] & MARK == 0)] for x in rows)
         return pa.table(
             {
                 "content": pa.array(content.view(np.int64)),
@@ -184,7 +189,7 @@ def _occurrences(texts: DataFrame, common, groups: int) -> DataFrame:
     return texts.mapInArrow(post, "grp int, blob binary").groupBy("grp").applyInArrow(repeated, OCCURRENCES)
 
 
-def report(contents: np.ndarray, weights: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+def report(weights: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     """For each segment of a shard a mask of its windows that occur with a weight of two or more."""
     begins = np.cumsum(lengths) - lengths
     names, numbers = np.unique(words, return_inverse=True)
@@ -208,16 +213,14 @@ def report(contents: np.ndarray, weights: np.ndarray, lengths: np.ndarray, words
 
 
 def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(content, mask) of every distinct segment with a window that repeats."""
-    distinct = occurrences.groupBy("content").agg(
-        F.sum("copies").alias("weight"), F.min(F.struct("id", "begin", "windows", "key")).alias("rep")
-    )
+    """(content, key, mask) of every distinct segment with a window that repeats."""
+    distinct = occurrences.groupBy("content", "key").agg(F.sum("copies").alias("weight"), F.min(F.struct("id", "begin", "windows")).alias("rep"))
     wanted = durable(distinct.groupBy(F.col("rep.id").alias("id")).agg(
         F.collect_list("content").alias("content"),
         F.collect_list("weight").alias("weight"),
         F.collect_list("rep.begin").alias("begin"),
         F.collect_list("rep.windows").alias("windows"),
-        F.collect_list("rep.key").alias("key"),
+        F.collect_list("key").alias("key"),
     ))
     shards = max(16, -(-(wanted.agg(F.sum(F.size("content")).alias("n")).collect()[0]["n"] or 0) // SEGMENTS_EACH))
 
@@ -232,7 +235,7 @@ def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
                 begin = np.repeat(first[:-1], sizes) + flat["begin"]
                 length = flat["windows"] + WINDOW - 1
                 order, cuts = radix_split(mix(flat["key"].view(U)), shards)
-                meta = np.stack([flat["content"], flat["weight"], length], axis=1)
+                meta = np.stack([flat["content"], flat["key"], flat["weight"], length], axis=1)
                 used = np.flatnonzero(np.diff(cuts))
                 bodies = []
                 for s in used:
@@ -242,20 +245,20 @@ def _masks(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([m for m, _ in bodies], pa.binary()), pa.array([w for _, w in bodies], pa.binary())], names=["shard", "meta", "words"])
 
     def search(table: pa.Table) -> pa.Table:
-        meta = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(-1, 3) for b in table.column("meta").to_pylist()])
+        meta = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(-1, 4) for b in table.column("meta").to_pylist()])
         words = np.concatenate([np.frombuffer(b, dtype=U) for b in table.column("words").to_pylist()])
         # a text that several tasks have passed on brings its segments again
-        _, kept = np.unique(meta[:, 0], return_index=True)
-        begins = np.cumsum(meta[:, 2]) - meta[:, 2]
-        length = meta[kept, 2]
+        kept = np.sort(distinct_pairs(meta[:, 0].astype(U), meta[:, 1].astype(U)))
+        begins = np.cumsum(meta[:, 3]) - meta[:, 3]
+        length = meta[kept, 3]
         at = np.arange(length.sum()) + np.repeat(begins[kept] - np.cumsum(length) + length, length)
-        mask = report(meta[kept, 0], meta[kept, 1], length, words[at])
+        mask = report(meta[kept, 2], length, words[at])
         some = mask > 0
-        return pa.table({"content": pa.array(meta[kept, 0][some]), "mask": pa.array(mask[some])})
+        return pa.table({"content": pa.array(meta[kept, 0][some]), "key": pa.array(meta[kept, 1][some]), "mask": pa.array(mask[some])})
 
     held = sifted(texts, wanted, once=True).select("text", "content", "weight", "begin", "windows", "key")
     shipped = held.mapInArrow(ship, "shard int, meta binary, words binary")
-    return shipped.groupBy("shard").applyInArrow(search, "content long, mask long")
+    return shipped.groupBy("shard").applyInArrow(search, "content long, key long, mask long")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -265,7 +268,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     common = context.broadcast(_common(texts))  # at most COMMON pairs of numbers, 4 MB
     occurrences = durable(_occurrences(texts, common, group_count(docs, 4000)))
-    found = occurrences.select("content", "id", "begin").join(_masks(texts, occurrences), "content")
+    found = occurrences.select("content", "key", "id", "begin").join(_masks(texts, occurrences), ["content", "key"])
     per = found.groupBy("id").agg(F.collect_set(F.struct("begin", "mask")).alias("found"))
     return durable(per.select("id", F.col("found.begin").alias("begin"), F.col("found.mask").alias("mask")))
 
@@ -313,25 +316,29 @@ def _digests(doc_ids: pa.Array, texts: list[bytes | None], begins: list, masks:
 
 
 def _parted(docs: DataFrame, found: DataFrame, schema: str, finish) -> tuple[DataFrame, DataFrame]:
-    """``docs`` split by a bitmap of the found texts: what ``finish`` makes of batches that surely have no window, and the other rows with begin and mask."""
+    """``docs`` split by a bitmap of the found texts: what ``finish`` makes of batches that surely have no window, and the other rows, columns by place, with begin and mask after them."""
     bits = docs.sparkSession.sparkContext.broadcast(sieve(found, "id"))
     width = len(docs.columns)
 
     def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = in_sieve(bits.value, batch.column(width + 1).to_numpy())
-            yield finish(batch.filter(pa.array(~held)).select(list(range(width))))
+            kept = batch.filter(pa.array(~held)).columns[:width]
+            yield finish(pa.RecordBatch.from_arrays(kept, names=names))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = in_sieve(bits.value, batch.column(width + 1).to_numpy())
             yield batch.filter(pa.array(held)).select(list(range(width + 1)))
 
-    rows = docs.withColumn("_id", F.xxhash64("text"))
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(width)))  # a caller's names cannot clash with those added here
+    at = names.index("text")
+    rows = plain.withColumn("_id", F.xxhash64(f"c{at}"))
     rows = rows.withColumn("_bit", F.pmod(F.xxhash64("_id"), F.lit(SIEVE_BITS)))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    inner = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     lists = found.select(F.col("id").alias("_id"), F.col("begin").alias("_begin"), F.col("mask").alias("_mask"))
-    return rows.mapInArrow(free, schema), rows.mapInArrow(touched, f"{own}, _id long").join(lists, "_id", "left").drop("_id")
+    return rows.mapInArrow(free, schema), rows.mapInArrow(touched, f"{inner}, _id long").join(lists, "_id", "left").drop("_id")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -347,7 +354,7 @@ def removed(docs: DataFrame) -> DataFrame:
             yield _digests(batch.column(0), byte_rows(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
 
     free, touched = _parted(rows, repeated_windows(docs), RESULT, plain)
-    return free.unionByName(touched.select("doc_id", "text", "_begin", "_mask").mapInArrow(cut, RESULT))
+    return free.unionByName(touched.mapInArrow(cut, RESULT))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -356,7 +363,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     free, touched = _parted(docs, repeated_windows(docs), own, lambda batch: batch)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    width = len(docs.columns)
+    width, docs_names = len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +374,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             if counted >= 0:
                 old = batch.column(counted).to_pylist()
                 columns[counted] = pa.array([n if not b or t is None else len(t) for n, b, t in zip(old, begins, texts, strict=True)], batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
     return free.unionByName(touched.mapInArrow(run, own))
 

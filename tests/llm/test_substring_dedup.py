@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shiftscope.llm import substring_dedup as D
@@ -57,11 +58,37 @@ def test_matches_brute_force_on_passages(table, seed):
 
 def test_common_anchors_and_small_slabs_change_nothing(table, monkeypatch):
     rows = passages(3)
-    for name, value in (("LOCAL", 2), ("PART_ROWS", 2), ("SLAB", 20), ("SEGMENTS_EACH", 3)):
+    for name, value in (("LOCAL", 2), ("HOT", 2), ("SLAB", 20), ("SEGMENTS_EACH", 3)):
         monkeypatch.setattr(D, name, value)
     assert found(table(rows)) == brute(rows)
 
 
+def test_a_common_line_fills_no_shard(spark, table, monkeypatch):
+    """Documents that share a line of 30 words between words of their own: their windows go to many groups and none is kept."""
+    rng = random.Random(9)
+    line = [f"l{i}" for i in range(30)]
+    words = lambda k: [f"w{rng.randint(0, 10**9)}" for _ in range(k)]
+    rows = [(i, " ".join(words(20) + line + words(20))) for i in range(1500)]
+    rows += [(9000 + i, " ".join(words(9) + line + [f"t{j}" for j in range(30)])) for i in range(3)]
+    docs = table(rows)
+    texts = D._texts(docs)
+    common = D._common(texts)
+    assert common.shape[1] > 0
+    (_, _, found_segments), = D._slabs(iter(pa.Table.from_pandas(texts.toPandas(), preserve_index=False).to_batches()), common)
+    keys, counts = np.unique(found_segments[:, 5], return_counts=True)
+    assert counts.max() < D.HOT
+    kept = D._occurrences(texts, spark.sparkContext.broadcast(common), 16)
+    assert kept.agg({"key": "max"}).count() == 1 and kept.count() < 400
+    assert found(docs) == brute(rows)
+
+
+def test_clashing_names(table):
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = table([(1, f"one {shared}"), (2, f"{shared} two")]).selectExpr("doc_id", "text", "'x' as _id", "'y' as _bit", "1 as _mask", "2 as c0")
+    got = {r.doc_id: tuple(r) for r in D.deduplicated(docs).collect()}
+    assert got == {1: (1, "one ", "x", "y", 1, 2), 2: (2, "two", "x", "y", 1, 2)}
+
+
 def test_matches_brute_force_on_documents(spark, sf_dir, texts):
     assert found(spark.read.parquet(f"{sf_dir}/documents.parquet")) == brute(texts)
 

@@ -75,6 +75,50 @@ def test_frequent_shingles_blocks_and_parts_change_nothing(table, monkeypatch):
     assert found(table(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("limit", [60, 400, 3000])
+def test_cut_stars_and_clusters_change_nothing(table, monkeypatch, limit):
+    """Stars in parts; clusters in bands, with the largest component dealt out, and in blocks that meet in pairs."""
+    rng = random.Random(limit)
+    rows = near_copies(5, 80)
+    for n in (20, 24, 28, 33, 40):  # a ladder of sizes within a band's reach
+        rows.append((1000 + n, " ".join(f"z{i}" for i in range(n))))
+    rows += [(2000 + i, " ".join(w if rng.random() > 0.03 else f"q{i}" for w in [f"h{j}" for j in range(90)])) for i in range(40)]
+    monkeypatch.setattr(J, "LIMIT", limit)
+    monkeypatch.setattr(J, "TILE_ROWS", 8)
+    assert found(table(rows)) == brute(rows)
+
+
+def test_sets_with_one_hash_stay_apart(table, monkeypatch):
+    rows = near_copies(6, 40)
+    fold, signed = J.fold, J._signed
+
+    def weak(x, twice=frozenset()):  # five ids for all sets
+        first = fold(x[:1]) % 5
+        return signed(fold(x, 1)) if first in twice else first
+
+    monkeypatch.setattr(J, "class_of", weak)
+    assert found(table(rows)) == brute(rows)
+
+
+def test_many_null_ids_and_a_repeated_id(table):
+    rng = random.Random(8)
+    texts = [" ".join(f"n{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(300)]
+    rows = [(None, t) for t in texts * 3] + [(7, t + " y z") for t in texts]
+    got = J.linked_documents(table(rows)).collect()
+    assert len(got) == len(rows) and {r.n_shingles for r in got} == {9, 11}
+    assert sum(r.component_id is None for r in got) == 900  # 9 of 11 shingles are too few
+
+
+def test_own_width_bitmaps_never_cut_a_link():
+    rng = np.random.default_rng(3)
+    for n in (5, 60, 64, 300, 1200):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.96], rng.integers(0, 1 << 63, n // 20, dtype=np.uint64)]))
+        if J.linked(base, other):
+            width = min(J.width_for(len(base)), J.width_for(len(other)))
+            assert J.possible(np.array([len(base)]), np.array([len(other)]), J.bitmap(base, width)[None], J.bitmap(other, width)[None])[0]
+
+
 def test_matches_brute_force_on_documents(spark, sf_dir, texts):
     assert found(spark.read.parquet(f"{sf_dir}/documents.parquet")) == brute(texts)
 
@@ -112,6 +156,21 @@ def test_bitmap_bound_never_cuts_a_link():
             assert J.possible(*sizes, J.bitmap(small)[None], J.bitmap(large)[None])[0]
 
 
+def test_signatures_of_several_widths_never_cut_a_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 20, 60, 62, 64, 66, 250, 260, 1000, 1030):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [base, np.unique(np.concatenate([base[rng.random(len(base)) < 0.96], rng.integers(0, 1 << 63, n // 25, dtype=np.uint64)]))]
+    signatures = J.Signatures([J.bitmap(s, J.width_for(len(s), 4)).tobytes() for s in sets])
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    sizes = np.array([len(s) for s in sets])
+    got = signatures.possible(x, y, sizes[x], sizes[y])
+    true = np.array([J.linked(sets[a], sets[b]) for a, b in zip(x, y)])
+    assert got[true].all() and true.sum() > len(sets)
+    assert got.sum() < true.sum() + 6  # and seldom lets another pair pass
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(40))
     random.Random(5).shuffle(order)

@@ -120,3 +120,142 @@ def complete_linkage(distance: np.ndarray, k: int) -> np.ndarray:
     for c, g in enumerate(sorted(groups, key=min)):
         out[g] = c
     return out
+
+
+def class_regressions(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> dict[int, tuple[np.ndarray, float]]:
+    """Per label the regression through the origin and the root mean squared residual."""
+    out = {}
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    for name in np.unique(labels):
+        own = labels == name
+        w = np.linalg.lstsq(x[own], y[own], rcond=None)[0]
+        out[int(name)] = (w, float(np.sqrt(((y[own] - x[own] @ w) ** 2).mean())))
+    return out
+
+
+def known_labels_bic(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> float:
+    """BIC of one linear Gaussian mechanism per known label, with the labels' shares."""
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    f = np.hstack([np.ones((len(y), 1)), x])
+    total, names = 0.0, np.unique(labels)
+    for name in names:
+        own = labels == name
+        r = y[own] - f[own] @ np.linalg.lstsq(f[own], y[own], rcond=None)[0]
+        total += float(_log_normal(r**2, np.full(own.sum(), max(1e-12, r.var()))).sum()) + own.sum() * math.log(own.mean())
+    return -2 * total + (len(names) * (f.shape[1] + 2) - 1) * math.log(len(y))
+
+
+def latent_score(x: np.ndarray, y: np.ndarray, k_max: int = 5, seed: int = 42) -> tuple[float, np.ndarray]:
+    """The best mixture's BIC (higher is better, so that searches can use it) and its labels."""
+    labels, _, bic = regression_mixture(x, y, k_max, seed=seed) if np.asarray(x).size else gaussian_mixture(np.asarray(y, dtype=float).reshape(-1, 1), k_max, seed)
+    return -bic / 2, labels
+
+
+def best_for_truth(x: np.ndarray, y: np.ndarray, true: np.ndarray, k_max: int = 5, seed: int = 42) -> tuple[np.ndarray, float]:
+    """Among mixtures with 1, 2, ... components the labels that agree most with the true ones, by adjusted mutual information."""
+    from shiftscope.functions.numerics import information_scores
+
+    best = (np.zeros(len(y), dtype=int), -math.inf)
+    for k in range(1, k_max + 1):
+        labels = _exactly(x, y, k, seed)
+        score = information_scores(true, labels)["ami"]
+        if score > best[1]:
+            best = (labels, score)
+    return best
+
+
+def _exactly(x: np.ndarray, y: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Labels of a regression mixture with k components, started from k-means of the target and its parents."""
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    f = np.hstack([np.ones((len(y), 1)), x])
+    best = (-math.inf, np.zeros(len(y), dtype=int))
+    rng = np.random.default_rng(seed)
+    for _ in range(4):
+        post = rng.dirichlet(np.ones(k) * 0.5, len(y)) if k > 1 else np.ones((len(y), 1))
+        last = -math.inf
+        for _ in range(200):
+            w = np.stack([np.linalg.lstsq(f.T @ (f * post[:, [j]]) + 1e-8 * np.eye(f.shape[1]), f.T @ (post[:, j] * y), rcond=None)[0] for j in range(k)], axis=1)
+            r2 = (y[:, None] - f @ w) ** 2
+            var = np.maximum(1e-4 * np.var(y) + 1e-12, (post * r2).sum(0) / np.maximum(1e-9, post.sum(0)))
+            logs = np.log(post.mean(0) + 1e-12) + _log_normal(r2, var)
+            top = logs.max(1, keepdims=True)
+            whole = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+            post, value = np.exp(logs - whole), float(whole.sum())
+            if value - last < 1e-6 * abs(value):
+                break
+            last = value
+        if value > best[0]:
+            best = (value, post.argmax(1))
+    return best[1]
+
+
+def matched_components(true: list[tuple[np.ndarray, np.ndarray]], found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, int]], float]:
+    """The assignment of found components (mean, covariance) to true ones with the least summed absolute error, and that error."""
+    from shiftscope.functions.numerics import assign
+
+    cost = np.array([[np.abs(m - a).sum() + np.abs(c - b).sum() for a, b in found] for m, c in true])
+    pairs = assign(-cost)
+    return pairs, float(sum(cost[i, j] for i, j in pairs))
+
+
+def component_moments(x: np.ndarray, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of every label's rows."""
+    return [(x[labels == c].mean(0), np.cov(x[labels == c].T, bias=True).reshape(x.shape[1], -1)) for c in np.unique(labels)]
+
+
+def hierarchical_density(x: np.ndarray, least: int = 5) -> np.ndarray:
+    """Clusters that persist longest as the density falls, -1 for noise: a spanning tree of mutual reachability, condensed at ``least`` rows."""
+    x = np.asarray(x, dtype=float)
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, min(least, n - 1)]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    # Prim's tree, then single linkage in order of its edges
+    inside, best, via, edges = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int), []
+    v = 0
+    for _ in range(n - 1):
+        inside[v] = True
+        closer = ~inside & (reach[v] < best)
+        best[closer], via[closer] = reach[v][closer], v
+        v = int(np.where(inside, np.inf, best).argmin())
+        edges.append((best[v], int(via[v]), v))
+    parent, members, root = {}, {i: [i] for i in range(n)}, list(range(n))
+
+    def top(i: int) -> int:
+        while i in parent:
+            i = parent[i]
+        return i
+
+    children: dict[int, tuple[int, int, float]] = {}
+    name = n
+    for w, a, b in sorted(edges):
+        a, b = top(root[a]), top(root[b])
+        children[name] = (a, b, 1 / max(w, 1e-12))
+        members[name] = members[a] + members[b]
+        parent[a] = parent[b] = name
+        name += 1
+
+    def choose(node: int, birth: float) -> tuple[float, list[list[int]]]:
+        """Stability of the best clusters under a node that became a cluster at this density."""
+        own, at = 0.0, node
+        while True:
+            if at < n:
+                return own, [members[node]]
+            a, b, density = children[at]
+            big = [c for c in (a, b) if len(members[c]) >= least]
+            own += (density - birth) * (len(members[at]) - sum(len(members[c]) for c in big))
+            if len(big) == 2:
+                own += (density - birth) * len(members[at])
+                (va, ca), (vb, cb) = choose(a, density), choose(b, density)
+                return (va + vb, ca + cb) if va + vb > own else (own, [members[node]])
+            if not big:
+                return own, [members[node]]
+            at = big[0]
+
+    labels = np.full(n, -1)
+    if n > 1:
+        a, b, density = children[name - 1]
+        parts = choose(name - 1, 0.0)[1]
+        for k, part in enumerate(parts):
+            labels[part] = k
+    return labels

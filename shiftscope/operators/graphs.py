@@ -7,16 +7,14 @@ round by a reliable checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names (its own only where none is set)."""
+    """Checkpoint in the folder the session names, or in its warehouse, which all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphs-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations, permutations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.functions import independence as ci
+from shiftscope.functions import independence as ci, partial_ancestral
 from shiftscope.functions.mixed_graph import MixedGraph, orient
 from shiftscope.functions.numerics import chi2_sf
 from shiftscope.operators import graphs, labels, scoring
@@ -95,6 +95,23 @@ def discover(df: DataFrame, cols: list[str], kind: str = "fisherz", alpha: float
     return pc(len(cols), ci_test(df, cols, kind), alpha)
 
 
+def discover_by(df: DataFrame, cols: list[str], by: str, alpha: float = 0.05) -> DataFrame:
+    """Edge tables (graph, src, dst, kind) of every group's PC graph by partial correlations, all groups from one pass over the rows."""
+    from shiftscope.functions.scores import Basis
+
+    last, every = len(cols) - 1, tuple(range(len(cols)))
+    table = scoring.grams(df, cols, [by], [(last, every)], Basis("lin", *scoring.column_stats(df, cols)))[last, every]
+    rows = []
+    for key, g in sorted(table.items()):
+        n = g[0, 0]
+        cov = g[1:-1, 1:-1] / n - np.outer(g[0, 1:-1], g[0, 1:-1]) / n / n
+        d = np.sqrt(np.maximum(1e-300, np.diag(cov)))
+        corr = cov / np.outer(d, d)
+        graph = pc(len(cols), lambda x, y, z, corr=corr, n=n: ci.fisher_z(corr, int(n), x, y, z)[1], alpha)
+        rows += [(key[0], cols[a], cols[b], kind) for kind in ("directed", "undirected") for a, b in sorted(getattr(graph, kind))]
+    return df.sparkSession.createDataFrame(rows, "graph string, src string, dst string, kind string")
+
+
 def joint(df: DataFrame, cols: list[str], context: str, alpha: float = 0.05, kind: str = "fisherz", encode: str = "one_hot") -> tuple[MixedGraph, list[str]]:
     """Contexts as variables that nothing points to: indicator columns, or the context's number alone.
 
@@ -171,9 +188,14 @@ def fci(n: int, test: Test, alpha: float = 0.05) -> dict[tuple[int, int], int]:
     """Partial ancestral graph as marks: ``marks[a, b]`` is the mark at b of the edge between a and b.
 
     Skeleton, then another look with the nodes that colliders or triangles lead
-    to as candidates, colliders, and the first four orientation rules.
+    to as candidates, colliders, and the ten orientation rules.
     """
-    edges, apart = skeleton(n, test, alpha)
+    marks, apart = _ancestral_skeleton(n, test, alpha)
+    return _close_marks(n, marks, apart)
+
+
+def _ancestral_skeleton(n: int, test: Test, alpha: float, forbidden: set[tuple[int, int]] = frozenset()) -> tuple[dict, dict]:
+    edges, apart = skeleton(n, test, alpha, forbidden=forbidden)
     marks = _collide(n, edges, apart)
     for x, y in sorted(edges):
         for a, b in ((x, y), (y, x)):
@@ -183,10 +205,136 @@ def fci(n: int, test: Test, alpha: float = 0.05) -> dict[tuple[int, int], int]:
                 edges = edges - {(x, y)}
                 apart[x, y] = set(hit)
                 break
-    marks = _collide(n, edges, apart)
-    while _orient_marks(n, marks, apart):
-        pass
-    return marks
+    return _collide(n, edges, apart), apart
+
+
+def _close_marks(n: int, marks: dict, apart: dict, targets: dict[int, set[int]] | None = None) -> dict:
+    while True:
+        while _orient_marks(n, marks, apart):
+            pass
+        before = dict(marks)
+        partial_ancestral.close(marks)
+        if targets:
+            partial_ancestral.rule12(marks, targets)
+        if marks == before:
+            return marks
+
+
+def interventional_skeleton(n: int, pooled: Test, invariant: Callable[[int, int, tuple[int, ...]], float], settings: int, alpha: float = 0.05) -> tuple[dict, dict]:
+    """Marks and separating sets over n nodes and one intervention node per pair of settings (numbers n, n + 1, ...).
+
+    ``pooled`` tests two nodes; ``invariant`` (pair number, node, given) is the p
+    value of the node's distribution given others being the same in a pair of
+    settings.  Intervention nodes are not adjacent to each other, and no
+    intervention node is conditioned on when two nodes are tested.
+    """
+    pairs = list(combinations(range(settings), 2))
+    extra = set(range(n, n + len(pairs)))
+
+    def test(x: int, y: int, z: tuple[int, ...]) -> float:
+        if extra & set(z):
+            return 0.0  # no statement with an intervention node among the given ones
+        if y in extra:
+            return invariant(y - n, x, z)
+        return pooled(x, y, z)
+
+    forbidden = set(combinations(sorted(extra), 2))
+    return _ancestral_skeleton(n + len(pairs), test, alpha, forbidden)
+
+
+def psi_fci(n: int, pooled: Test, invariant: Callable[[int, int, tuple[int, ...]], float], settings: int, targets: dict[int, set[int]] | None = None, alpha: float = 0.05) -> dict[tuple[int, int], int]:
+    """Marks of the ancestral graph of several settings; ``targets``: known targets of pairs of settings, by pair number."""
+    marks, apart = interventional_skeleton(n, pooled, invariant, settings, alpha)
+    total = n + settings * (settings - 1) // 2
+    partial_ancestral.rule11(marks, set(range(n, total)))
+    return _close_marks(total, marks, apart, {n + k: t for k, t in (targets or {}).items()})
+
+
+def setting_tests(df: DataFrame, cols: list[str], setting: str) -> tuple[Test, Callable[[int, int, tuple[int, ...]], float], int]:
+    """The two tests of ``psi_fci`` from one pass of cross products per setting: partial correlations of the pooled rows, and equal linear mechanisms."""
+    from shiftscope.functions.scores import Basis
+
+    basis = Basis("lin", *scoring.column_stats(df, cols))
+    last = len(cols) - 1
+    table = scoring.grams(df, cols, [setting], [(last, tuple(range(len(cols))))], basis)[last, tuple(range(len(cols)))]
+    blocks = [table[k][:-1, :-1] for k in sorted(table)]  # of (1, all columns)
+    whole = sum(blocks)
+    n = whole[0, 0]
+    cov = whole[1:, 1:] / n - np.outer(whole[0, 1:], whole[0, 1:]) / n / n
+    d = np.sqrt(np.maximum(1e-300, np.diag(cov)))
+    corr = cov / np.outer(d, d)
+    pairs = list(combinations(range(len(blocks)), 2))
+
+    def invariant(pair: int, node: int, z: tuple[int, ...]) -> float:
+        at = [0, *(1 + v for v in z), 1 + node]
+        return ci.linear_params_grams(*(blocks[k][np.ix_(at, at)] for k in pairs[pair]))[1]
+
+    return (lambda x, y, z: ci.fisher_z(corr, int(n), x, y, z)[1]), invariant, len(blocks)
+
+
+def joint_fci(df: DataFrame, cols: list[str], context: str, alpha: float = 0.05, kind: str = "fisherz") -> tuple[dict[tuple[int, int], int], list[str]]:
+    """Ancestral graph over the columns and indicator columns of the contexts, which nothing points to; marks and names."""
+    values = [r[0] for r in df.select(context).distinct().orderBy(context).collect()]  # one row per context
+    rows = one_hot(df, context, values, "ctx_")
+    names = [*cols, *(f"ctx_{v}" for v in values[1:])]
+    n, k = len(cols), len(names)
+    marks, apart = _ancestral_skeleton(k, ci_test(rows, names, kind), alpha, {(a, b) for a, b in combinations(range(n, k), 2)})
+    partial_ancestral.rule11(marks, set(range(n, k)))
+    return _close_marks(k, marks, apart), names
+
+
+def mark_scores(marks: dict[tuple[int, int], int], directed: set[tuple[int, int]], confounded: set[tuple[int, int]]) -> dict[str, dict[str, float]]:
+    """Confusion of bidirected edges against confounded pairs, and of arrows against true edges."""
+    from shiftscope.functions.graph_distances import confusion
+
+    n = 1 + max((v for e in marks for v in e), default=0)
+    both = {(a, b) for a, b in marks if marks[a, b] == marks[b, a] == ARROW}
+    arrows = {(a, b) for a, b in marks if marks[a, b] == ARROW and marks[b, a] == TAIL}
+    return {"confounded": confusion({e for a, b in confounded for e in ((a, b), (b, a))}, both, n), "causal": confusion(directed, arrows, n)}
+
+
+def missing_value_pc(df: DataFrame, cols: list[str], alpha: float = 0.05) -> MixedGraph:
+    """PC with a test per statement on the rows where its columns are present, each pattern of missing values in one pass.
+
+    Rows are summed by pattern of present columns; a statement adds up the
+    patterns that have all its columns.  A column whose missingness depends on
+    another directly (tests against its indicator) is conditioned on that other as well.
+    """
+    marks = [F.when(F.col(c).isNull(), 1.0).otherwise(0.0).alias(f"_m{i}") for i, c in enumerate(cols)]
+    pattern = F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols)).alias("_p")
+    filled = df.select(pattern, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols), *marks)
+    both = [*cols, *(f"_m{i}" for i in range(len(cols)))]
+    from shiftscope.functions.scores import Basis
+
+    n = len(cols)
+    centre, scale = scoring.column_stats(df, cols)
+    basis = Basis("lin", np.append(centre, np.zeros(n)), np.append(scale, np.ones(n)))
+    last, every = 2 * n - 1, tuple(range(2 * n))
+    table = {k[0]: g[:-1, :-1] for k, g in scoring.grams(filled, both, ["_p"], [(last, every)], basis)[last, every].items()}
+
+    def p_value(index: list[int], present: list[int]) -> float:
+        held = [g for k, g in table.items() if all(k[c] == "1" for c in present)]
+        if not held:
+            return 1.0
+        g = sum(held)
+        rows = g[0, 0]
+        at = [1 + i for i in index]
+        cov = g[np.ix_(at, at)] / rows - np.outer(g[0, at], g[0, at]) / rows / rows
+        d = np.sqrt(np.maximum(1e-300, np.diag(cov)))
+        return ci.fisher_z(cov / np.outer(d, d), int(rows), 0, 1, tuple(range(2, len(index))))[1]
+
+    # direct causes alone: dependent on the indicator, and still so given each other column
+    direct = lambda v, c: all(p_value([v, n + c, *given], [v, *given]) < alpha / n for given in [[], *([u] for u in range(n) if u not in (v, c))])
+    causes = {c: {v for v in range(n) if v != c and direct(v, c)} if any(k[c] == "0" for k in table) else set() for c in range(n)}
+
+    def test(x: int, y: int, z: tuple[int, ...]) -> float:
+        plain = p_value([x, y, *z], [x, y, *z])
+        if plain > alpha:
+            return plain
+        more = sorted({w for v in (x, y, *z) for w in causes[v]} - {x, y, *z})
+        return max(plain, p_value([x, y, *z, *more], [x, y, *z, *more])) if more else plain
+
+    return pc(n, test, alpha)
 
 
 def _collide(n: int, edges: set[tuple[int, int]], apart: dict) -> dict[tuple[int, int], int]:

@@ -1,4 +1,8 @@
-"""Queries of the model-based operators; iterative, so without an SQL equivalent."""
+"""Queries of the model-based operators over the driver's tables; the iterative ones have no SQL equivalent.
+
+Discovery runs on columns with known structure: quantity, a multiple of it with
+the line number as noise, that again with the tax as noise, and the discount.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,70 @@ from pyspark.sql import DataFrame, functions as F
 from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
 from shiftscope.operators import row_tests, scoring
-from shiftscope.plans import confounding, constraint, mixtures, ordering
+from shiftscope.plans import confounding, constraint, mechanism_shifts, mixtures, ordering, window_tests
 from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
-from shiftscope.sources import generators as gen
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CHAIN = ["q", "w", "v", "l_discount"]
+ORACLE_SQL: dict[str, str] = {}
+
+
+def sql(text: str):
+    def register(f):
+        ORACLE_SQL[f.__name__] = text
+        return f
+
+    return register
 
 
 def _lineitem(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_shipdate", *COLS)
 
 
+def _chain(spark, sf_dir: str) -> DataFrame:
+    """Columns with structure: q -> w -> v, and the discount apart."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    w = 2 * F.col("l_quantity") + 5 * F.col("l_linenumber")
+    return rows.select("l_returnflag", F.col("l_quantity").alias("q"), w.alias("w"), (w + 300 * F.col("l_tax")).alias("v"), "l_discount", F.col("l_linenumber").cast("double").alias("line"))
+
+
+def _hours(spark, sf_dir: str) -> DataFrame:
+    """Hourly sums of the values of three event types, by group of users: every event counts."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600)
+    kind = F.when(F.col("event_type").isin("view", "click"), "browse").when(F.col("event_type") == "purchase", "buy").otherwise("other")
+    rows = events.select((F.col("user_id") % 2).cast("int").alias("context"), hour.alias("t"), kind.alias("kind"), "value")
+    return rows.groupBy("context", "t").pivot("kind", ["browse", "buy", "other"]).agg(F.sum("value")).fillna(0.0)
+
+
+@sql("""WITH s AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx FROM lineitem), r AS (SELECT l_returnflag, (l_quantity - mx) / sx AS z, l_extendedprice AS y FROM lineitem, s),
+g AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(z) AS sz, sum(z * z) AS szz, sum(y) AS sy, sum(z * y) AS szy, sum(y * y) AS syy FROM r GROUP BY 1),
+w AS (SELECT *, (n * szy - sz * sy) / (n * (szz + 0.001 * n) - sz * sz) AS b FROM g), v AS (SELECT *, (sy - b * sz) / n AS a FROM w),
+e AS (SELECT l_returnflag, n, syy - 2 * (a * sy + b * szy) + a * a * n + 2 * a * b * sz + b * b * szz AS rss FROM v)
+SELECT l_returnflag, n::BIGINT AS n, round(n / 2 * log2(2 * pi() * exp(1.0) * rss / n) + 1.5 * log2(n), 3) AS bits FROM e""")
+def linear_bits(spark, sf_dir):
+    """Mergeable score of price given quantity per return flag, with a linear basis."""
+    df = _lineitem(spark, sf_dir)
+    stats = scoring.column_stats(df, COLS)
+    table = scoring.grams(df, COLS, ["l_returnflag"], [(1, (0,))], scores.Basis("lin", *stats))[1, (0,)]
+    return spark.createDataFrame([(k[0], int(g[0, 0]), round(float(scores.gram_bits(g)), 3)) for k, g in table.items()], "l_returnflag string, n long, bits double")
+
+
+@sql("""WITH d AS (SELECT l_returnflag, l_quantity AS a, l_quantity + 5 * l_linenumber AS b, l_linenumber::DOUBLE AS c FROM lineitem), m AS (SELECT l_returnflag AS graph, count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM d GROUP BY 1),
+p AS (SELECT graph, n, 'q' AS x, 's' AS y, 'line' AS w, ab AS r, (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) AS t FROM m UNION ALL SELECT graph, n, 'q', 'line', 's', ac, (ac - ab * bc) / sqrt((1 - ab * ab) * (1 - bc * bc)) FROM m
+UNION ALL SELECT graph, n, 's', 'line', 'q', bc, (bc - ab * ac) / sqrt((1 - ab * ab) * (1 - ac * ac)) FROM m),
+z AS (SELECT *, abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(n - 3) < 1.959963984540054 AS free, abs(0.5 * ln((1 + t) / (1 - t))) * sqrt(n - 4) < 1.959963984540054 AS given FROM p),
+k AS (SELECT z.*, EXISTS (SELECT 1 FROM z o WHERE o.graph = z.graph AND NOT o.free AND z.w IN (o.x, o.y) AND (z.x IN (o.x, o.y) OR z.y IN (o.x, o.y))) AS near FROM z),
+e AS (SELECT *, NOT free AND NOT (given AND near) AS edge, NOT free AND given AND near AS through FROM k),
+c AS (SELECT graph, w AS mid FROM e h WHERE NOT edge AND NOT through AND (SELECT count(*) FROM e o WHERE o.graph = h.graph AND o.edge) = 2)
+SELECT e.graph, CASE WHEN mid = x THEN y ELSE x END AS src, CASE WHEN mid = x THEN x ELSE y END AS dst, CASE WHEN mid IS NULL THEN 'undirected' ELSE 'directed' END AS kind FROM e LEFT JOIN c ON c.graph = e.graph WHERE edge""")
+def pc_by_flag(spark, sf_dir):
+    """PC graphs of a collider per return flag: quantity and line number make up their sum."""
+    rows = _chain(spark, sf_dir).select("l_returnflag", "q", (F.col("q") + 5 * F.col("line")).alias("s"), "line")
+    return constraint.discover_by(rows, ["q", "s", "line"], "l_returnflag")
+
+
 def gp_bits(spark, sf_dir):
     """Exact kernel score of price given quantity per return flag, over all rows: they meet in few quantities."""
     rows = _lineitem(spark, sf_dir).dropna(subset=["l_quantity", "l_extendedprice"]).groupBy("l_returnflag", "l_quantity")
@@ -86,9 +142,8 @@ def pelt_changepoints(spark, sf_dir):
 
 
 def topological_contexts(spark, sf_dir):
-    """Graph over the lineitem measures with return flags as contexts."""
-    model = Topological(COLS, "l_returnflag", "cub").fit(_lineitem(spark, sf_dir))
-    return model.edges(spark)
+    """Graph over the measures with return flags as contexts."""
+    return Topological(CHAIN, "l_returnflag", "lin").fit(_chain(spark, sf_dir)).edges(spark)
 
 
 def topological_changes(spark, sf_dir):
@@ -96,50 +151,96 @@ def topological_changes(spark, sf_dir):
     return Topological(COLS, "l_returnflag", "lin").fit(_lineitem(spark, sf_dir)).changes(spark)
 
 
+LINKS = {"browse": [("browse", 1)], "buy": [("browse", 0), ("buy", 1)], "other": [("other", 1)]}
+
+
 def lagged_regime_edges(spark, sf_dir):
-    df, _ = gen.time_series(spark, {(0, 0, 1), (1, 1, 1), (1, 0, 1), (2, 2, 1), (2, 1, 0)}, 3, 2, 300, 2, 3, 60, 4)
-    return LaggedRegimes(["x0", "x1", "x2"], max_lag=1, min_duration=40).fit(df).edges(spark)
+    """Lagged graph of the hourly sums, with regimes of three days at least."""
+    return LaggedRegimes(["browse", "buy", "other"], max_lag=1, min_duration=72).fit(_hours(spark, sf_dir)).edges(spark)
+
+
+def window_strengths(spark, sf_dir):
+    """Strength of each link between the hourly sums, by group of users and week."""
+    return window_tests.link_strengths(_hours(spark, sf_dir), "context", "t", LINKS, window_tests.fixed_windows(720, 168, 1))
+
+
+def window_regimes(spark, sf_dir):
+    """Weeks of one regime by description length."""
+    found = window_tests.known_windows(_hours(spark, sf_dir), "context", "t", LINKS, window_tests.fixed_windows(720, 168, 1), 1)
+    return spark.createDataFrame(found, "begin int, duration int, regime int")
+
+
+def cut_search(spark, sf_dir):
+    """Cuts of the hourly sums on a grid of three days, as long as they save bits."""
+    cuts, bits = window_tests.greedy_cuts(_hours(spark, sf_dir), "context", "t", LINKS, 72)
+    return spark.createDataFrame([(int(c), float(bits)) for c in cuts], "cut int, bits double")
 
 
 def confounder_pairs(spark, sf_dir):
-    labels = {0: ([0, 1], [0, 0, 1, 1, 2, 2, 3, 3])}
-    df = gen.context_rows(spark, {(2, 3)}, 4, 8, 200, 5, confounders=labels)
-    return confounding.confounders(df, "context", {"x0": [], "x1": [], "x2": [], "x3": ["x2"]})
+    """Which measures' mechanisms change between the same line numbers."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", *COLS)
+    return confounding.confounders(rows, "l_linenumber", {"l_quantity": [], "l_extendedprice": ["l_quantity"], "l_discount": [], "l_tax": ["l_discount"]})
 
 
 def mixture_labels(spark, sf_dir):
-    df = gen.mixed_rows(spark, 600, 2, 6)
-    found = mixtures.node_mixtures(df, "row_id", {"x0": [], "x1": ["x0"], "x2": ["x0"]}, k_max=3)
-    return found.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Hidden populations of the retail price given the part's place in its hundred, by size."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 100).cast("double").alias("place"))
+    found = mixtures.node_mixtures(parts, "p_partkey", {"p_retailprice": ["place"]}, block="p_size", k_max=2)
+    return found.groupBy("block", "node", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def minimal_shifts(spark, sf_dir):
+    """Mechanism changes between return flags that each graph of the chain's class needs."""
+    from shiftscope.functions.mixed_graph import MixedGraph
+
+    model = mechanism_shifts.MinimalShifts(MixedGraph(3, {(0, 1), (1, 2)}).cpdag()).fit(_chain(spark, sf_dir), CHAIN[:3], "l_returnflag")
+    rows = [(" ".join(f"{CHAIN[a]}>{CHAIN[b]}" for a, b in sorted(g.directed)), float(h), float(s)) for g, h, s in zip(model.dags, model.scores(), model.scores(True), strict=True)]
+    return spark.createDataFrame(rows, "dag string, changes double, soft double")
+
+
+def flag_shifts(spark, sf_dir):
+    """p values of each mechanism of the chain being the same in each pair of return flags."""
+    return mechanism_shifts.pair_p_values(_chain(spark, sf_dir), CHAIN[:3], "l_returnflag", [(0, ()), (1, (0,)), (2, (1,))], "params")
+
+
+def setting_marks(spark, sf_dir):
+    """Marks of the ancestral graph over the measures, return flags as settings."""
+    marks = constraint.psi_fci(4, *constraint.setting_tests(_chain(spark, sf_dir), CHAIN, "l_returnflag"))
+    return spark.createDataFrame([(int(a), int(b), int(m)) for (a, b), m in sorted(marks.items())], "a int, b int, mark int")
+
+
+def missing_value_graph(spark, sf_dir):
+    """PC graph where values are missing depending on another column."""
+    rows = _chain(spark, sf_dir).withColumn("v", F.when(F.col("q") > 40, None).otherwise(F.col("v")))
+    return constraint.edge_table(spark, constraint.missing_value_pc(rows, CHAIN), CHAIN)
 
 
 def pc_graph(spark, sf_dir):
-    graph = constraint.discover(_lineitem(spark, sf_dir), COLS)
-    return constraint.edge_table(spark, graph, COLS)
+    return constraint.edge_table(spark, constraint.discover(_chain(spark, sf_dir), CHAIN), CHAIN)
 
 
 def joint_context_graph(spark, sf_dir):
-    graph, names = constraint.joint(_lineitem(spark, sf_dir), COLS, "l_returnflag")
+    graph, names = constraint.joint(_chain(spark, sf_dir), CHAIN, "l_returnflag")
     return constraint.edge_table(spark, graph, names)
 
 
 def cam_edges(spark, sf_dir):
-    found = ordering.discover(_lineitem(spark, sf_dir), COLS, "cam")
-    return spark.createDataFrame([(COLS[a], COLS[b]) for a, b in sorted(found)], "src string, dst string")
+    found = ordering.discover(_chain(spark, sf_dir), CHAIN, "cam")
+    return spark.createDataFrame([(CHAIN[a], CHAIN[b]) for a, b in sorted(found)], "src string, dst string")
 
 
 def sort_regress_edges(spark, sf_dir):
-    df = _lineitem(spark, sf_dir)
-    corr, n = scoring.correlation(df, COLS)
-    _, scale = scoring.column_stats(df, COLS)
-    rows = [(name, COLS[a], COLS[b]) for name, s in (("variance", scale**2), ("r2", constraint.r2_scores(corr))) for a, b in sorted(constraint.sort_regress(corr, n, s))]
+    df = _chain(spark, sf_dir)
+    corr, n = scoring.correlation(df, CHAIN)
+    _, scale = scoring.column_stats(df, CHAIN)
+    rows = [(name, CHAIN[a], CHAIN[b]) for name, s in (("variance", scale**2), ("r2", constraint.r2_scores(corr))) for a, b in sorted(constraint.sort_regress(corr, n, s))]
     return spark.createDataFrame(rows, "method string, src string, dst string")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, confounder_pairs, mixture_labels, pc_graph,
-        joint_context_graph, cam_edges, sort_regress_edges,
+        linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, window_strengths, window_regimes, cut_search,
+        confounder_pairs, mixture_labels, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
     )
 }

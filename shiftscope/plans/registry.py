@@ -7,4 +7,4 @@ from collections.abc import Callable
 from shiftscope.plans import evaluation_queries, model_queries, table_queries
 
 QUERIES: dict[str, Callable] = table_queries.QUERIES | evaluation_queries.QUERIES | model_queries.QUERIES
-ORACLE_SQL: dict[str, str] = table_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = table_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL | model_queries.ORACLE_SQL

@@ -35,6 +35,9 @@ class Topological:
         by = [self.context] if self.context else []
         self._rows, self._by = df.select(*by, *self.nodes), by
         self._basis = Basis(self.kind, *scoring.column_stats(df, self.nodes))
+        return self.search()
+
+    def search(self) -> Topological:
         self._grams: dict[scoring.Candidate, dict[tuple, np.ndarray]] = {}
         self.parents = {i: set() for i in range(len(self.nodes))}
         left = list(range(len(self.nodes)))

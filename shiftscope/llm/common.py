@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a session without any (tests) gets a temporary one."""
+    """The shared folder that the session names; a session without any gets one in its warehouse, which is shared too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 

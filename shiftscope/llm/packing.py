@@ -306,8 +306,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document with their sequence and place in it.
 
     A null text counts as empty: one piece that holds id 0 alone.  A null
-    doc_id is kept.  Repeated rows are packed each for itself.  An empty table
-    gives an empty result.  Other columns are not read.
+    doc_id is kept.  Repeated rows are packed each for itself.  Ties: pieces of
+    one length are interchangeable, and the bin that was closed last among those
+    with equal room is filled first.  Very long texts are tokenized whole and cut.
+    An empty table gives an empty result.  Other columns are not read.
     """
     return pack(durable(cut_pieces(docs, capacity)), capacity)
 

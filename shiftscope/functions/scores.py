@@ -100,6 +100,15 @@ class Basis:
     def __init__(self, kind: str, centre: np.ndarray, scale: np.ndarray, features: int = 40, seed: int = 0):
         self.kind, self.centre, self.scale, self.features, self.seed = kind, centre, np.where(scale < 1e-12, 1, scale), features, seed
 
+    @property
+    def additive(self) -> bool:
+        """Whether the functions of several parents are those of each, so that one matrix of all columns holds every candidate's."""
+        return self.kind in ("lin", "cub", "spline")
+
+    def of_column(self, x: np.ndarray, column: int) -> np.ndarray:
+        """Functions of one column (additive kinds)."""
+        return self(x, (column,))[:, 1:]
+
     def __call__(self, x: np.ndarray, parents: tuple[int, ...]) -> np.ndarray:
         n = len(x)
         z = (x[:, list(parents)] - self.centre[list(parents)]) / self.scale[list(parents)]

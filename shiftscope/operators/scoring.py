@@ -1,14 +1,15 @@
 """Distributed scores: cross products of basis functions per candidate and group, summed over partitions.
 
 One pass over the rows serves any number of candidates (node, parents) and any
-grouping (contexts, regimes, windows).  What reaches the driver is one small
-matrix per candidate and group, whatever the number of rows; scores of unions of
-groups come from sums of matrices without another pass.
+grouping (contexts, regimes, windows).  With an additive basis one matrix of all
+columns per group holds every candidate's, so a whole search takes one pass
+(``WholeGram``).  What reaches the driver is small, whatever the number of rows;
+scores of unions of groups come from sums of matrices without another pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +42,8 @@ def correlation(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
     return block / np.outer(d, d), int(n)
 
 
-def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candidate], basis: Basis) -> dict[Candidate, dict[tuple, np.ndarray]]:
-    """Gram matrix per candidate and group.  Rows with a null among ``cols`` are left out."""
-    if not candidates:
-        return {}
+def _summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[[np.ndarray], list[np.ndarray]]) -> dict[tuple, np.ndarray]:
+    """Sums over all rows of what ``matrices`` makes of a block of rows, by matrix number and group: one pass, partial sums before the shuffle."""
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.dropna(subset=cols).select(*(F.col(b).cast("string").alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)))
 
@@ -53,9 +52,7 @@ def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candid
         for batch in batches:
             groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
-                x = part.iloc[:, len(keys) :].to_numpy()
-                for c, (node, parents) in enumerate(candidates):
-                    g = gram(basis(x, parents), x[:, node])
+                for c, g in enumerate(matrices(part.iloc[:, len(keys) :].to_numpy())):
                     held[c, *key] = held[c, *key] + g if (c, *key) in held else g
         if held:
             yield pd.DataFrame([(k[0], *k[1:], g.tobytes()) for k, g in held.items()], columns=["c", *keys, "g"])
@@ -66,12 +63,43 @@ def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candid
         total = sum(np.frombuffer(b) for b in table.column("g").to_pylist())
         return table.slice(0, 1).drop(["g"]).append_column("g", pa.array([total.tobytes()], pa.binary()))
 
-    found = rows.mapInPandas(run, schema).groupBy("c", *keys).applyInArrow(add, schema)
-    out: dict[Candidate, dict[tuple, np.ndarray]] = {c: {} for c in candidates}
-    for row in found.collect():  # candidates x groups small matrices
+    out = {}
+    for row in rows.mapInPandas(run, schema).groupBy("c", *keys).applyInArrow(add, schema).collect():  # small matrices, as many as candidates and groups
         flat = np.frombuffer(bytes(row["g"]))
         size = int(round(len(flat) ** 0.5))
-        out[candidates[row["c"]]][tuple(row[k] for k in keys)] = flat.reshape(size, size)
+        out[row["c"], *(row[k] for k in keys)] = flat.reshape(size, size)
+    return out
+
+
+class WholeGram:
+    """One matrix per group of the functions of all columns and of all targets, from which every candidate's is cut (additive bases)."""
+
+    def __init__(self, df: DataFrame, cols: list[str], by: list[str], basis: Basis):
+        columns = range(len(cols))
+
+        def matrices(x: np.ndarray) -> list[np.ndarray]:
+            block = np.hstack([np.ones((len(x), 1)), *(basis.of_column(x, i) for i in columns), x])
+            return [block.T @ block]
+
+        self.tables = {k[1:]: g for k, g in _summed(df, cols, by, matrices).items()}
+        self.columns, self.width = len(cols), basis.of_column(np.zeros((1, len(cols))), 0).shape[1]
+
+    def of(self, candidate: Candidate) -> dict[tuple, np.ndarray]:
+        node, parents = candidate
+        at = [0, *(1 + p * self.width + f for p in parents for f in range(self.width)), 1 + self.columns * self.width + node]
+        return {k: g[np.ix_(at, at)] for k, g in self.tables.items()}
+
+
+def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candidate], basis: Basis) -> dict[Candidate, dict[tuple, np.ndarray]]:
+    """Gram matrix per candidate and group, in one pass.  Rows with a null among ``cols`` are left out."""
+    if not candidates:
+        return {}
+    if basis.additive:
+        whole = WholeGram(df, cols, by, basis)
+        return {c: whole.of(c) for c in candidates}
+    out: dict[Candidate, dict[tuple, np.ndarray]] = {c: {} for c in candidates}
+    for k, g in _summed(df, cols, by, lambda x: [gram(basis(x, parents), x[:, node]) for node, parents in candidates]).items():
+        out[candidates[k[0]]][k[1:]] = g
     return out
 
 

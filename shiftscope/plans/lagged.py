@@ -67,10 +67,12 @@ class LaggedRegimes:
     def _search(self, rows: DataFrame, basis: Basis) -> None:
         """Greedy forward edges over all lags, then backward elimination; lag-0 edges must stay acyclic."""
         n, by, cache = len(self.nodes), [self.series, "regime"], {}
+        whole = scoring.WholeGram(rows, self.columns, by, basis) if basis.additive else None  # one pass for the whole search
 
         def load(wanted):
             missing = sorted({(j, tuple(sorted(p))) for j, p in wanted} - set(cache))
-            cache.update({c: self._score(g) for c, g in scoring.grams(rows, self.columns, by, missing, basis).items()})
+            found = {c: whole.of(c) for c in missing} if whole else scoring.grams(rows, self.columns, by, missing, basis)
+            cache.update({c: self._score(g) for c, g in found.items()})
 
         score = lambda j, p: cache[j, tuple(sorted(p))]
         parents: dict[int, set[int]] = {j: {n + j} if self.max_lag else set() for j in range(n)}

@@ -37,15 +37,17 @@ def stein_order(x: np.ndarray, eta: float = 0.001) -> list[int]:
 
 
 def likelihood_order(df: DataFrame, cols: list[str], kind: str = "spline") -> list[int]:
-    """Greedy additive edges by gain in bits, kept acyclic; one pass over the rows per added edge's node."""
+    """Greedy additive edges by gain in bits, kept acyclic; one pass over the rows with an additive basis."""
     n = len(cols)
     basis = Basis(kind, *scoring.column_stats(df, cols))
+    whole = scoring.WholeGram(df, cols, [], basis) if basis.additive else None
     parents: dict[int, set[int]] = {j: set() for j in range(n)}
     cache: dict = {}
 
     def load(wanted):
         missing = sorted({(j, tuple(sorted(p))) for j, p in wanted} - set(cache))
-        cache.update({c: gram_bits(g[()]) for c, g in scoring.grams(df, cols, [], missing, basis).items() if g})
+        found = {c: whole.of(c) for c in missing} if whole else scoring.grams(df, cols, [], missing, basis)
+        cache.update({c: gram_bits(g[()]) for c, g in found.items() if g})
 
     def above(v: int) -> set[int]:
         seen, stack = set(), [v]

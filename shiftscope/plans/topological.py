@@ -1,8 +1,9 @@
 """Topological discovery over one or many contexts.
 
 The order of the nodes grows from the sources: a source is the node that others
-explain least compared with how it explains them.  Each round asks for a batch
-of scores, and a batch is one pass over the rows (see ``operators.scoring``).
+explain least compared with how it explains them.  With an additive basis all
+scores come from one pass over the rows (see ``operators.scoring``); random
+features take a pass per round.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class Topological:
         by = [self.context] if self.context else []
         self._rows, self._by = df.select(*by, *self.nodes), by
         self._basis = Basis(self.kind, *scoring.column_stats(df, self.nodes))
+        self._whole = scoring.WholeGram(self._rows, self.nodes, by, self._basis) if self._basis.additive else None
         return self.search()
 
     def search(self) -> Topological:
@@ -63,7 +65,10 @@ class Topological:
 
     def _load(self, wanted: list[tuple[int, set[int]]]) -> None:
         missing = sorted({(n, tuple(sorted(p))) for n, p in wanted} - set(self._grams))
-        self._grams |= scoring.grams(self._rows, self.nodes, self._by, missing, self._basis)
+        if self._whole is not None:  # all scores come from the one pass that ``fit`` has made
+            self._grams |= {c: self._whole.of(c) for c in missing}
+        else:
+            self._grams |= scoring.grams(self._rows, self.nodes, self._by, missing, self._basis)
 
     def _partition(self, node: int, parents: set[int]) -> tuple[float, dict[str, int]]:
         key = (node, tuple(sorted(parents)))

@@ -66,3 +66,8 @@ def random_sequence(symbols: int, length: int, rng: np.random.Generator) -> list
                 out.pop()
         if len(set(out)) == symbols:
             return out
+
+
+def equal_cuts(length: int, parts: int) -> list[int]:
+    """0, cuts and length with segments of one size, the last one longer."""
+    return [*(k * (length // parts) for k in range(parts)), length]

@@ -266,3 +266,100 @@ def classifier_two_sample(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = N
 
 
 PAIR_TESTS = {"kcd": kcd, "residuals": invariant_residuals, "linear": linear_params}
+
+
+# --- classifiers and witnesses -------------------------------------------------------
+
+
+def nearest_in(z: np.ndarray, k: int = 1) -> np.ndarray:
+    """Numbers of the k nearest other rows of every row, nearest first."""
+    d = squared_distances(np.asarray(z, dtype=float).reshape(len(z), -1))
+    np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def shuffle_split(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None, k: int = 1, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Halves for training and testing of real rows (label 1) and rows whose x is exchanged (label 0): among all rows, or with a near row in z."""
+    rng = np.random.default_rng(seed)
+    x, y = standard(x), standard(y)
+    rest = y if z is None else np.hstack([y, standard(z)])
+    order = rng.permutation(len(x))
+    out = []
+    for part in (order[: len(x) // 2], order[len(x) // 2 :]):
+        if z is None:
+            other = part[rng.permutation(len(part))]
+        else:
+            near = nearest_in(standard(z)[part], k)
+            other = part[near[np.arange(len(part)), rng.integers(0, near.shape[1], len(part))]]
+        out += [np.vstack([np.hstack([x[part], rest[part]]), np.hstack([x[other], rest[part]])]), np.repeat([1.0, 0.0], len(part))]
+    return out[0], out[1], out[2], out[3]
+
+
+def f_divergence(joint: np.ndarray, product: np.ndarray) -> float:
+    """Lower bound of the divergence from scores (log density ratios) under the joint and the product distribution."""
+    return float(np.mean(joint) - np.log(np.mean(np.exp(np.clip(product, -30, 30)))))
+
+
+def classifier_cmi(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None, shuffles: int = 50, seed: int = 0) -> tuple[float, float]:
+    """(Conditional) mutual information by a classifier's density ratio on held-out rows, and its p value against exchanged x."""
+
+    def estimate(x: np.ndarray, s: int) -> float:
+        train, label, test, truth = shuffle_split(x, y, z, 5, s)
+        cross = lambda m: np.hstack([m, (m[:, :, None] * m[:, None, :]).reshape(len(m), -1)])
+        w = logistic(cross(train), label, 1.0)
+        score = np.hstack([np.ones((len(test), 1)), cross(test)]) @ w
+        return f_divergence(score[truth > 0.5], score[truth < 0.5])
+
+    x = np.asarray(x, dtype=float).reshape(len(x), -1)
+    stat, rng, null = estimate(x, seed), np.random.default_rng(seed), []
+    near = None if z is None else nearest_in(standard(z), 5)
+    for s in range(shuffles):
+        order = rng.permutation(len(x)) if near is None else near[np.arange(len(x)), rng.integers(0, near.shape[1], len(x))]
+        null.append(estimate(x[order], seed + s + 1))
+    return stat, float((1 + (np.array(null) >= stat).sum()) / (1 + shuffles))
+
+
+def ridge_by_bound(k: np.ndarray, low: float = 1e-6, high: float = 1.0, steps: int = 60) -> float:
+    """The regulariser that minimises a bound on a kernel regression's error (its variance and bias terms), by golden section on the log scale."""
+    n = len(k)
+    values = np.maximum(0, np.linalg.eigvalsh((k + k.T) / 2)) / n
+
+    def bound(log_ridge: float) -> float:
+        r = math.exp(log_ridge)
+        return float((values / (values + r)).sum() / n + ((r / (values + r)) ** 2 * values).sum())
+
+    a, b, g = math.log(low), math.log(high), (math.sqrt(5) - 1) / 2
+    for _ in range(steps):
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if bound(c) < bound(d) else (c, b)
+    return math.exp((a + b) / 2)
+
+
+def kcd_witness(x: np.ndarray, y: np.ndarray, group: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, ridge: float | None = None) -> np.ndarray:
+    """Where two groups' conditional distributions differ: the difference of their embeddings, evaluated at pairs (x, y)."""
+    x, y = (np.asarray(v, dtype=float).reshape(len(v), -1) for v in (x, y))
+    at_x, at_y = (np.asarray(v, dtype=float).reshape(len(v), -1) for v in (at_x, at_y))
+    wx, wy = median_width(x), median_width(y)
+    parts = []
+    for side in (group > 0.5, group <= 0.5):
+        k = rbf(x[side], width=wx)
+        r = ridge_by_bound(k) if ridge is None else ridge
+        weights = np.linalg.solve(k + r * side.sum() * np.eye(side.sum()), rbf(x[side], at_x, wx))
+        parts.append((weights * rbf(y[side], at_y, wy)).sum(0))
+    return parts[0] - parts[1]
+
+
+def kcd_tuned(x: np.ndarray, y: np.ndarray, group: np.ndarray, permutations: int = 200, seed: int = 0) -> tuple[float, float]:
+    """Kernel conditional discrepancy whose regulariser has the best signal-to-noise ratio on one half; the other half gives statistic and p."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(y))
+    train, test = order[: len(y) // 2], order[len(y) // 2 :]
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+
+    def ratio(r: float) -> float:
+        stat, _ = kcd(x[train], y[train], group[train], 0, r, seed)
+        null = [kcd(x[train], y[train], rng.permutation(group[train]), 0, r, seed)[0] for _ in range(5)]
+        return (stat - np.mean(null)) / (np.std(null) + 1e-9)
+
+    best = max((1e-4, 1e-3, 1e-2, 1e-1), key=ratio)
+    return kcd(x[test], y[test], group[test], permutations, best, seed)

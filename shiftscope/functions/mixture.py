@@ -259,3 +259,35 @@ def hierarchical_density(x: np.ndarray, least: int = 5) -> np.ndarray:
         for k, part in enumerate(parts):
             labels[part] = k
     return labels
+
+
+def cluster(x: np.ndarray, method: str, k_max: int = 5, seed: int = 42) -> np.ndarray:
+    """Labels by name: gmm, kmeans, spectral, dbscan, hdbscan or random."""
+    x = np.asarray(x, dtype=float).reshape(len(x), -1)
+    if method == "gmm":
+        return gaussian_mixture(x, k_max, seed)[0]
+    if method == "kmeans":
+        return kmeans_or_one(x, k_max, seed=seed)
+    if method == "hdbscan":
+        return hierarchical_density(x, max(5, len(x) // 20))
+    if method == "random":
+        return np.random.default_rng(seed).integers(0, k_max, len(x))
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    if method == "dbscan":
+        near = np.sort(np.sqrt(d2), axis=1)[:, min(5, len(x) - 1)]
+        return dbscan(x, float(np.quantile(near, 0.9)), 5)
+    if method == "spectral":
+        affinity = np.exp(-d2 / (2 * np.median(d2[d2 > 0])))
+        options = [spectral(affinity, k, seed) for k in range(2, k_max + 1)]
+        return max(options, key=lambda labels: silhouette(x, labels))
+    raise ValueError(f"unknown method {method}")
+
+
+def pruned_parents(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> list[int]:
+    """Parents (columns of x) that still lower the BIC once the hidden labels are known."""
+    held = list(range(x.shape[1]))
+    for p in list(held):
+        rest = [q for q in held if q != p]
+        if known_labels_bic(x[:, rest], y, labels) <= known_labels_bic(x[:, held], y, labels):
+            held = rest
+    return held

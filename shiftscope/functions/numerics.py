@@ -202,3 +202,30 @@ def components(n: int, pairs: list[tuple[int, int]]) -> list[int]:
         parent[b] = a
     names: dict[int, int] = {}
     return [names.setdefault(root(i), len(names)) for i in range(n)]
+
+
+def entropy_of_probabilities(p: np.ndarray, base: float = math.e) -> float:
+    """Entropy of probabilities; zeros count nothing."""
+    p = np.asarray(p, dtype=float)
+    p = p[p > 0]
+    return float(-(p * np.log(p)).sum() / math.log(base))
+
+
+def ami_or_nmi(a: np.ndarray, b: np.ndarray) -> float:
+    """Adjusted mutual information, or the normalised one where its expectation cannot be formed."""
+    try:
+        return information_scores(a, b)["ami"]
+    except (ValueError, ZeroDivisionError, FloatingPointError):
+        t = contingency(a, b)
+        h = math.sqrt(entropy_of(t.sum(1)) * entropy_of(t.sum(0)))
+        return mutual_information(t) / h if h else 1.0
+
+
+def cluster_points(x: np.ndarray, k_max: int = 10, seed: int = 0) -> np.ndarray:
+    """k-means with k chosen by silhouette over 2..k_max; one cluster for fewer than three different points."""
+    x = np.asarray(x, dtype=float).reshape(len(x), -1)
+    different = len(np.unique(x, axis=0))
+    if different < 3:
+        return np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    options = [kmeans(x, k, seed)[0] for k in range(2, min(k_max, different - 1) + 1)]
+    return max(options, key=lambda labels: silhouette(x, labels))

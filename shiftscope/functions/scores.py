@@ -177,3 +177,59 @@ def partition_contexts(grams: list[np.ndarray], alpha: float = 0.05, greedy: boo
     labels = components(len(grams), pairs)
     total = sum(gram_bits(sum(g for g, l in zip(grams, labels, strict=True) if l == k)) for k in set(labels))
     return total, labels
+
+
+# --- searched scores on one group of rows -----------------------------------------
+
+
+def rff_bits(x: np.ndarray, y: np.ndarray, features: int = 300, restarts: int = 5, seed: int = 0) -> float:
+    """Ridge regression on random Fourier features: the best of seeded length scales and noises, with its effective parameters as cost."""
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    if x.shape[1] == 0:
+        return null_bits(y)
+    n, rng = len(y), np.random.default_rng(seed)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-12)
+    spread = float(y.std()) + 1e-12
+    t = (y - y.mean()) / spread
+    w, b = rng.normal(size=(x.shape[1], features)), rng.uniform(0, 2 * math.pi, features)
+    best = math.inf
+    for _ in range(restarts):
+        scale, ridge = math.exp(rng.uniform(-1.5, 1.5)), math.exp(rng.uniform(-6, 0))
+        f = math.sqrt(2 / features) * np.cos(z @ w / scale + b)
+        values, vectors = np.linalg.eigh(f.T @ f)
+        shrink = np.maximum(0, values) / (np.maximum(0, values) + ridge * n)
+        inner = vectors.T @ (f.T @ t)
+        fit = f @ (vectors @ (inner / (np.maximum(0, values) + ridge * n)))
+        best = min(best, n / 2 * math.log2(2 * math.pi * math.e * max(1e-12, float(((t - fit) ** 2).mean()))) + (shrink.sum() + 2) / 2 * math.log2(max(2, n)))
+    return best + n * math.log2(spread)
+
+
+def gam_bits(x: np.ndarray, y: np.ndarray, knots: int = 10) -> float:
+    """Additive penalised splines, one smoothing parameter by generalised cross-validation, effective parameters as cost."""
+    x = np.asarray(x, dtype=float).reshape(len(y), -1)
+    if x.shape[1] == 0:
+        return null_bits(y)
+    n = len(y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-12)
+    places = [np.unique(np.quantile(z[:, j], np.linspace(0.05, 0.95, knots))) for j in range(z.shape[1])]
+    f = np.hstack([np.ones((n, 1)), z, *(np.maximum(0, z[:, [j]] - p) ** 3 for j, p in enumerate(places))])
+    penal = np.diag([0.0] * (1 + z.shape[1]) + [1.0] * (f.shape[1] - 1 - z.shape[1]))
+    best = None
+    for weight in np.geomspace(1e-4, 1e4, 17):
+        solve = np.linalg.pinv(f.T @ f + weight * penal)
+        used = float(np.trace(solve @ (f.T @ f)))
+        rss = float(((y - f @ (solve @ (f.T @ y))) ** 2).sum())
+        gcv = rss / n / max(1e-9, 1 - used / n) ** 2
+        if best is None or gcv < best[0]:
+            best = (gcv, rss, used)
+    return n / 2 * math.log2(2 * math.pi * math.e * max(1e-12, best[1] / n)) + (best[2] + 1) / 2 * math.log2(max(2, n))
+
+
+#: scores of one group of rows by name
+SCORES = {"gp": gp_bits, "rff": rff_bits, "gam": gam_bits}
+
+
+def score_of(kind: str, x: np.ndarray, y: np.ndarray) -> float:
+    if kind not in SCORES:
+        raise ValueError(f"unknown score {kind}")
+    return SCORES[kind](x, y)

@@ -385,3 +385,21 @@ def last_elbow(scores: DataFrame, by: list[str], k: str, value: str, cutoff: flo
     rows = scores.select(*by, F.col(value).alias("_v"), F.lag(value).over(over).alias("_b"), F.row_number().over(over).alias("_n"))
     jump = F.abs(F.col("_v") - F.col("_b")) / F.abs(F.col("_v")) > cutoff
     return rows.groupBy(*by).agg(F.coalesce(F.max(F.when(jump, F.col("_n"))), F.lit(1)).alias("components"))
+
+
+def skeleton_confusion(true: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn and rates over unordered pairs per graph; ``nodes``: (graph, n_nodes)."""
+    mark = lambda g, n: graphs.skeleton(g).withColumn(n, F.lit(1))
+    both = mark(true, "t").join(mark(found, "f"), ["graph", "a", "b"], "full").fillna(0, ["t", "f"])
+    t, f = F.col("t"), F.col("f")
+    counts = both.groupBy("graph").agg(F.sum(t * f).alias("tp"), F.sum(f * (1 - t)).alias("fp"), F.sum(t * (1 - f)).alias("fn"))
+    counts = nodes.join(counts, "graph", "left").fillna(0, ["tp", "fp", "fn"])
+    counts = counts.withColumn("tn", (F.col("n_nodes") * (F.col("n_nodes") - 1) / 2).cast("long") - F.col("tp") - F.col("fp") - F.col("fn"))
+    return counts.select("graph", "tp", "fp", "fn", "tn", *rates())
+
+
+def target_jaccard(true: DataFrame, found: DataFrame) -> DataFrame:
+    """Mean over nodes of the Jaccard index of the contexts (node, context) that two tables of targets name (one row)."""
+    both = true.select("node", "context", F.lit(1).alias("t")).distinct().join(found.select("node", "context", F.lit(1).alias("f")).distinct(), ["node", "context"], "full").fillna(0, ["t", "f"])
+    per = both.groupBy("node").agg((F.sum(F.col("t") * F.col("f")) / F.count(F.lit(1))).alias("j"))
+    return per.agg(F.avg("j").alias("jaccard"), F.count(F.lit(1)).alias("n"))

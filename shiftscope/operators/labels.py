@@ -190,3 +190,53 @@ def binned_mi(df: DataFrame, x: str, y: str, low: float, high: float, bins: int)
     """H(y) less H(y given the bin of x) in nats, both continuous columns binned alike (one row)."""
     bucket = lambda c: F.least(F.greatest(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))
     return mutual_information(df.select(bucket(x).alias("bx"), bucket(y).alias("by")), "bx", "by").select("mi")
+
+
+def pool_contexts(df: DataFrame, labels: DataFrame, node: str, context: str = "context") -> DataFrame:
+    """Rows with the group of their context in one node's partition (node, context, label), so that contexts of one group are one population."""
+    own = labels.where(F.col("node") == node).select(F.col("context").alias(context), F.col("label").alias("group"))
+    return df.join(F.broadcast(own), context)  # one row per context
+
+
+def one_hot_posterior(df: DataFrame, label: str, k: int, out: str = "posterior") -> DataFrame:
+    """Labels as arrays of k probabilities, 1 at the label."""
+    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col(label)).cast("double")))
+
+
+def confounded_partition(df: DataFrame, observed: str, confounder: str, out: str) -> DataFrame:
+    """The product of an observed and a confounder's labeling."""
+    return partition_product(df, observed, confounder, out)
+
+
+def partition_scores(df: DataFrame, by: list[str], true: str, found: str) -> DataFrame:
+    """Per group of items: NMI, adjusted Rand index, pair precision, recall and F1, the number of pairs, and whether the true labels vary."""
+    counts = df.groupBy(*by, F.col(true).alias("a"), F.col(found).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumns({"na": F.sum("n").over(W.partitionBy(*by, "a")), "nb": F.sum("n").over(W.partitionBy(*by, "b")), "t": F.sum("n").over(W.partitionBy(*by))})
+    pairs = lambda c: c * (c - 1) / 2
+    n, na, nb, t = (F.col(c).cast("double") for c in ("n", "na", "nb", "t"))
+    one = counts.groupBy(*by).agg(
+        F.sum(n / t * F.log(n * t / (na * nb))).alias("mi"), F.sum(-n / t * F.log(na / t)).alias("ha"), F.sum(-n / t * F.log(nb / t)).alias("hb"), F.sum(pairs(n)).alias("both"),
+        F.sum(n / na * pairs(na)).alias("in_a"), F.sum(n / nb * pairs(nb)).alias("in_b"), F.max(pairs(t)).alias("every"), F.countDistinct("a").alias("ka"),
+    )
+    expected = F.when(F.col("every") > 0, F.col("in_a") * F.col("in_b") / F.col("every")).otherwise(0.0)
+    spread = (F.col("in_a") + F.col("in_b")) / 2 - expected
+    p, r = F.when(F.col("in_b") == 0, 1.0).otherwise(F.col("both") / F.col("in_b")), F.when(F.col("in_a") == 0, 1.0).otherwise(F.col("both") / F.col("in_a"))
+    product = F.col("ha") * F.col("hb")
+    return one.select(
+        *by, F.when(product <= 1e-12, F.when((F.col("ha") <= 1e-12) & (F.col("hb") <= 1e-12), 1.0).otherwise(0.0)).otherwise(F.col("mi") / F.sqrt(F.greatest(product, F.lit(1e-12)))).alias("nmi"),
+        F.when(F.abs(spread) < 1e-12, 1.0).otherwise((F.col("both") - expected) / F.when(F.abs(spread) < 1e-12, 1.0).otherwise(spread)).alias("ari"),
+        p.alias("pair_precision"), r.alias("pair_recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / F.when(p + r == 0, 1.0).otherwise(p + r)).alias("pair_f1"),
+        F.col("every").cast("long").alias("n_pairs"), (F.col("ka") > 1).alias("is_variant"),
+    )
+
+
+def categorical_test(df: DataFrame, x: str, y: str, z: list[str] = (), power: float = 1.0) -> tuple[float, int, float]:
+    """Statistic, degrees of freedom and p value of x and y being independent given z; strata with one level of x or y add none."""
+    from shiftscope.functions.numerics import chi2_sf
+
+    z = list(z)
+    counts = df.groupBy(x, y, *z).agg(F.count(F.lit(1)).alias("n"))
+    strata = (counts.groupBy(*z) if z else counts.groupBy(F.lit(0).alias("_s"))).agg(F.countDistinct(x).alias("kx"), F.countDistinct(y).alias("ky"))
+    dof = strata.agg(F.sum((F.col("kx") - 1) * (F.col("ky") - 1))).first()[0] or 0
+    stat = power_divergence(df, x, y, z, power).first()["statistic"] or 0.0
+    return float(stat), int(dof), chi2_sf(float(stat), int(dof))

@@ -101,3 +101,17 @@ def block_gate(df: DataFrame, by: list[str], t: str, value: str, sentinel_below:
     numbered = df.withColumn("_block", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(t)) - 1) / block))
     bad = numbered.groupBy(*by, "_block").agg(F.count_if(F.col(value) < sentinel_below).alias("n")).where(F.col("n") > most).select(*by).distinct()
     return df.select(*by).distinct().join(bad, by, "left_anti")
+
+
+def subsample(strategy: str, rows: DataFrame, windows: DataFrame, by: list[str], t: str) -> DataFrame:
+    """Rows of a window by strategy: ``horizontal`` takes all steps of each series; the other known ones have no agreed meaning."""
+    if strategy == "horizontal":
+        return rows_in_windows(rows, windows, by, t)
+    if strategy in ("jumping_window", "vertical"):
+        raise NotImplementedError(f"{strategy} subsampling is not defined")
+    raise ValueError(f"unknown strategy {strategy}")
+
+
+def regime_mask(partition: DataFrame, by: list[str], regime: int) -> DataFrame:
+    """One row per time step with whether it belongs to a regime."""
+    return labels_of_segments(partition, by).select(*by, "t", (F.col("regime") == regime).alias("inside"))

@@ -401,3 +401,117 @@ def _discriminating(n: int, marks: dict, a: int, b: int, c: int) -> int | None:
                 seen.add(w)
                 stack.append((w, used | {w}))
     return None
+
+
+# --- what a search may know -----------------------------------------------------------
+
+
+def candidate_sets(edges: set[tuple[int, int]], n: int, x: int, y: int, method: str = "neighbours", marks: dict | None = None) -> list[set[int]]:
+    """Pools of nodes that may separate x and y.
+
+    complete: all others; neighbours: those of x, and of y; neighbours_path: of
+    these the ones on a path to the other; pds: what colliders and triangles lead
+    to in a graph with marks; pds_path: of these the ones on a path to the other.
+    """
+    near = {v: {w for e in edges if v in e for w in e if w != v} for v in range(n)}
+
+    def on_path(a: int, b: int, v: int) -> bool:
+        """Whether a walk from a through v to b passes neither end twice."""
+        seen, stack = {a, b}, [v]
+        while stack:
+            u = stack.pop()
+            if b in near[u] and u != a:
+                return True
+            fresh = near[u] - seen
+            seen |= fresh
+            stack += fresh
+        return False
+
+    if method == "complete":
+        return [set(range(n)) - {x, y}]
+    if method in ("neighbours", "neighbours_path"):
+        pools = [near[x] - {y}, near[y] - {x}]
+        ends = [(x, y), (y, x)]
+    elif method in ("pds", "pds_path"):
+        marks = marks if marks is not None else {e: CIRCLE for a, b in edges for e in ((a, b), (b, a))}
+        pools = [_possible(n, marks, x) - {x, y}, _possible(n, marks, y) - {x, y}]
+        ends = [(x, y), (y, x)]
+    else:
+        raise ValueError(f"unknown method {method}")
+    if method.endswith("_path"):
+        pools = [{v for v in pool if on_path(a, b, v)} for pool, (a, b) in zip(pools, ends, strict=True)]
+    return pools
+
+
+def context_knowledge(nodes: int, contexts: int, level: int = 3) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Arrows (x, y) and pairs that are ruled out for context variables numbered after the nodes.
+
+    Level 1: no node causes a context; 2: nor shares a hidden cause with one (for
+    graphs without hidden causes nothing more); 3: contexts are not adjacent.
+    """
+    extra = range(nodes, nodes + contexts)
+    arrows = {(v, c) for v in range(nodes) for c in extra} if level >= 1 else set()
+    return arrows, set(combinations(extra, 2)) if level >= 3 else set()
+
+
+class SearchContext:
+    """What is known before a search: variables, latent ones, edges that must or must not be there, settings and their targets."""
+
+    def __init__(self):
+        self.variables: list[str] = []
+        self.latent: set[str] = set()
+        self.included: set[tuple[str, str]] = set()
+        self.excluded: set[tuple[str, str]] = set()
+        self.settings = 1
+        self.targets: dict[int, set[str]] = {}
+
+    def of(self, *names: str) -> SearchContext:
+        self.variables = list(dict.fromkeys([*self.variables, *names]))
+        return self
+
+    def hidden(self, *names: str) -> SearchContext:
+        self.latent |= set(names)
+        return self
+
+    def edges(self, include: set[tuple[str, str]] = frozenset(), exclude: set[tuple[str, str]] = frozenset()) -> SearchContext:
+        self.included |= set(include)
+        self.excluded |= set(exclude)
+        return self
+
+    def interventions(self, targets: list[set[str]]) -> SearchContext:
+        """Settings and their targets (an empty set: observations)."""
+        self.settings = len(targets)
+        pairs = combinations(range(len(targets)), 2)
+        self.targets = {k: set(targets[a]) ^ set(targets[b]) for k, (a, b) in enumerate(pairs)}
+        return self
+
+    def build(self) -> SearchContext:
+        """Checks that the parts agree."""
+        known = set(self.variables)
+        named = {v for e in self.included | self.excluded for v in e} | self.latent | {v for t in self.targets.values() for v in t}
+        if not known or named - known:
+            raise ValueError(f"unknown variables {sorted(named - known)}" if known else "no variables")
+        if self.included & self.excluded:
+            raise ValueError("an edge is both included and excluded")
+        MixedGraph(len(known), {(self.variables.index(a), self.variables.index(b)) for a, b in self.included}).order()
+        return self
+
+    @property
+    def observed(self) -> list[str]:
+        return [v for v in self.variables if v not in self.latent]
+
+    @property
+    def intervention_nodes(self) -> list[str]:
+        return [f"F{k}" for k in range(self.settings * (self.settings - 1) // 2)]
+
+    def discover(self, df: DataFrame, alpha: float = 0.05) -> MixedGraph:
+        """PC over the observed variables under this knowledge."""
+        cols = self.observed
+        at = {v: i for i, v in enumerate(cols)}
+        inside = lambda edges: {(at[a], at[b]) for a, b in edges if a in at and b in at}
+        gone = inside(self.excluded)
+        pairs = {tuple(sorted(e)) for e in gone if e[::-1] in gone}
+        found = pc(len(cols), ci_test(df, cols), alpha, (gone - {e for p in pairs for e in (p, p[::-1])}) | {e[::-1] for e in inside(self.included)}, pairs)
+        keep = inside(self.included)
+        skeleton_ = found.skeleton() | {tuple(sorted(e)) for e in keep}
+        return orient(len(cols), skeleton_, {e for e in found.directed if e[::-1] not in keep} | keep)

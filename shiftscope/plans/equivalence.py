@@ -134,3 +134,64 @@ def changed_targets(base: np.ndarray, n_base: int, other: np.ndarray, n_other: i
         if chi2_sf(max(0.0, loss(pooled, n_base + n_other) - loss(base, n_base) - loss(other, n_other)), len(ps) + 1) < alpha:
             out.add(v)
     return out
+
+
+def latent_bic(x: np.ndarray, k_max: int = 3, seed: int = 42) -> Score:
+    """Local score of a node given parents under the best mixture of regressions, remembered by its arguments."""
+    from shiftscope.functions.mixture import latent_score
+
+    known: dict[tuple, float] = {}
+
+    def score(node: int, parents: tuple[int, ...]) -> float:
+        key = (node, tuple(sorted(parents)))
+        if key not in known:
+            known[key] = latent_score(x[:, list(key[1])], x[:, node], k_max, seed)[0]
+        return known[key]
+
+    return score
+
+
+def greedy_latent(x: np.ndarray, k_max: int = 3) -> tuple[MixedGraph, dict[int, np.ndarray]]:
+    """Greedy search with the mixture score, and the hidden labels of each node given its parents and neighbours."""
+    from shiftscope.functions.mixture import latent_score
+
+    graph = greedy_equivalence(x.shape[1], latent_bic(x, k_max))
+    near = lambda v: sorted(graph.parents(v) | {w for e in graph.undirected if v in e for w in e if w != v})
+    return graph, {v: latent_score(x[:, near(v)], x[:, v], k_max)[1] for v in range(x.shape[1])}
+
+
+def best_dag(n: int, score: Score) -> tuple[set[tuple[int, int]], float]:
+    """The graph of the best total score, by dynamic programming over node sets: exact, for about a dozen nodes."""
+    def best_parents(node: int, pool: tuple[int, ...]) -> tuple[float, tuple[int, ...]]:
+        return max((score(node, s), s) for s in _subsets(set(pool)))
+
+    table: dict[frozenset, tuple[float, set[tuple[int, int]]]] = {frozenset(): (0.0, set())}
+    for size in range(1, n + 1):
+        fresh = {}
+        for nodes in map(frozenset, combinations(range(n), size)):
+            options = []
+            for v in nodes:
+                rest = nodes - {v}
+                value, ps = best_parents(v, tuple(sorted(rest)))
+                total, edges = table[rest]
+                options.append((total + value, -v, edges | {(p, v) for p in ps}))
+            fresh[nodes] = max(options, key=lambda o: o[:2])
+            fresh[nodes] = (fresh[nodes][0], fresh[nodes][2])
+        table = {**{k: v for k, v in table.items() if len(k) == size - 1}, **fresh}
+    total, edges = table[frozenset(range(n))]
+    return edges, total
+
+
+def flip_gain(score: Score, parents: dict[int, set[int]], a: int, b: int) -> float:
+    """What turning the edge a -> b around adds to the total score."""
+    now = score(b, tuple(parents[b])) + score(a, tuple(parents[a]))
+    return score(b, tuple(parents[b] - {a})) + score(a, tuple(parents[a] | {b})) - now
+
+
+def interventional_class(dag: MixedGraph, targets: list[set[int]]) -> MixedGraph:
+    """The class of a DAG under interventions: edges between a target set and the rest are known too."""
+    from shiftscope.functions.mixed_graph import orient
+
+    known = {(a, b) for a, b in dag.directed for t in targets if (a in t) != (b in t)}
+    colliders = {(a, v) for l, v, r in dag.v_structures() for a in (l, r)}
+    return orient(dag.n, dag.skeleton(), known | colliders)

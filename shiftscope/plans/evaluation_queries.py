@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftscope.operators import evaluation as ev, moments
+from shiftscope.operators import evaluation as ev, labels, moments
 from shiftscope.plans.table_queries import CELLS, EDGES, GRAPHS, LABELS, NODE_LABELS, OTHER, QUERIES as DONE, _edges, _labels, _node_labels, _nodes, read, rounded
 
 QUERIES: dict = {}
@@ -331,5 +331,33 @@ SELECT t.graph, node, item, coalesce(string_agg(set_id::VARCHAR || ':' || label,
 def observed_labels(spark, sf_dir):
     sets = _sets(spark, sf_dir)
     items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("item")).agg(F.min("l_returnflag").alias("label"))
-    labels = sets.select("graph", "set_id").distinct().join(items, "graph")
-    return ev.observed_labels(labels, sets, _edges(spark, sf_dir), _edges(spark, sf_dir, True))
+    named = sets.select("graph", "set_id").distinct().join(items, "graph")
+    return ev.observed_labels(named, sets, _edges(spark, sf_dir), _edges(spark, sf_dir, True))
+
+
+@query(f"""WITH {EDGES}, {OTHER}, a AS (SELECT DISTINCT graph, src AS a, dst AS b FROM g), b AS (SELECT DISTINCT graph, least(src, dst) AS a, greatest(src, dst) AS b FROM h), f AS (SELECT graph, coalesce(t, 0) AS t, coalesce(f, 0) AS f FROM (SELECT *, 1 AS t FROM a) FULL JOIN (SELECT *, 1 AS f FROM b) USING (graph, a, b)),
+c AS (SELECT graph, coalesce(sum(t * f), 0)::BIGINT AS tp, coalesce(sum(f * (1 - t)), 0)::BIGINT AS fp, coalesce(sum(t * (1 - f)), 0)::BIGINT AS fn FROM {GRAPHS} LEFT JOIN f USING (graph) GROUP BY 1), d AS (SELECT *, 21 - tp - fp - fn AS tn FROM c) SELECT graph, tp, fp, fn, tn, {RATES} FROM d""")
+def skeleton_confusion(spark, sf_dir):
+    return rounded(ev.skeleton_confusion(_edges(spark, sf_dir), _edges(spark, sf_dir, True), _nodes(spark, sf_dir)))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS node, l_returnflag AS a, l_linestatus AS b FROM lineitem), c AS (SELECT node, a, b, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY node, a))::DOUBLE AS na, (sum(count(*)) OVER (PARTITION BY node, b))::DOUBLE AS nb, (sum(count(*)) OVER (PARTITION BY node))::DOUBLE AS t FROM r GROUP BY 1, 2, 3),
+s AS (SELECT node, sum(n / t * ln(n * t / (na * nb))) AS mi, sum(-n / t * ln(na / t)) AS ha, sum(-n / t * ln(nb / t)) AS hb, sum(n * (n - 1) / 2) AS bth, sum(n / na * (na * (na - 1) / 2)) AS ina, sum(n / nb * (nb * (nb - 1) / 2)) AS inb, max(t * (t - 1) / 2) AS ev, count(DISTINCT a) AS ka FROM c GROUP BY 1),
+p AS (SELECT *, bth / inb AS p, bth / ina AS r FROM s)
+SELECT node, round(mi / sqrt(ha * hb), 6) AS nmi, round((bth - ina * inb / ev) / ((ina + inb) / 2 - ina * inb / ev), 6) AS ari, round(p, 6) AS pair_precision, round(r, 6) AS pair_recall, round(2 * p * r / (p + r), 6) AS pair_f1, ev::BIGINT AS n_pairs, ka > 1 AS is_variant FROM p""")
+def partition_scores(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), "l_returnflag", "l_linestatus")
+    return rounded(labels.partition_scores(rows, ["node"], "l_returnflag", "l_linestatus"))
+
+
+@query("""SELECT event_id, 1.0::DOUBLE AS at_label, 1.0::DOUBLE AS total, 7 AS k FROM events""")
+def one_hot_posterior(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).cast("int").alias("label"))
+    return labels.one_hot_posterior(rows, "label", 7).select("event_id", F.get("posterior", F.col("label")).alias("at_label"), F.aggregate("posterior", F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("posterior").alias("k"))
+
+
+@query(f"""WITH l AS {NODE_LABELS} SELECT l.label AS "group", count(*) AS n, round(avg(value), 4) AS mean FROM events e JOIN l ON l.context = e.event_id % 8 AND l.node = 3 GROUP BY 1""")
+def pooled_contexts(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 8).cast("int").alias("context"), "value")
+    pooled = labels.pool_contexts(rows, _node_labels(spark, sf_dir), 3)
+    return pooled.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))

@@ -79,3 +79,17 @@ def best_jaccard(true: DataFrame, found: DataFrame) -> DataFrame:
     best = common.groupBy("t").agg(F.max(F.col("n") / (F.col("nt") + F.col("nf") - F.col("n"))).alias("jaccard"))
     return nt.select("t").join(best, "t", "left").fillna(0.0, ["jaccard"])
 
+
+def shared_sets_by_threshold(labels: DataFrame, thresholds: list[float], measure: str = "mi") -> DataFrame:
+    """(threshold, set_id, node): the components of dependent pairs at each threshold of ``mi`` or ``ami``; the pair counts are made once."""
+    pairs, _ = shared_sets(labels, 0.0)
+    nodes = sorted({p[k] for p in pairs for k in "ab"})
+    at = {v: i for i, v in enumerate(nodes)}
+    value = {"mi": lambda p: p["mi"], "ami": lambda p: p["mi"] - p["emi"]}[measure]
+    rows = []
+    for t in thresholds:
+        group = components(len(nodes), [(at[p["a"]], at[p["b"]]) for p in pairs if p["mi"] > p["emi"] and value(p) > t])
+        for g in sorted(set(group)):
+            members = [v for v in nodes if group[at[v]] == g]
+            rows += [(float(t), g, v) for v in members if len(members) > 1]
+    return labels.sparkSession.createDataFrame(rows, "threshold double, set_id int, node string")

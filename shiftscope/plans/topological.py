@@ -9,6 +9,7 @@ features take a pass per round.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ class Topological:
     alpha: float = 0.05
     greedy_groups: bool = False
     threshold: float = 0.0
+    exhaustive: bool = False  # the best of all parent subsets at the end, not one parent dropped at a time
     order: list[int] = field(default_factory=list)
     parents: dict[int, set[int]] = field(default_factory=dict)
 
@@ -96,7 +98,12 @@ class Topological:
             self.parents[node].remove(parent)
 
     def _subsets(self, node: int) -> None:
-        """The smallest subset of the parents that is not significantly worse, one parent dropped at a time."""
+        """The smallest subset of the parents that is not significantly worse, one parent dropped at a time (or the one with the best score of all)."""
+        if self.exhaustive:
+            subsets = [set(s) for k in range(len(self.parents[node]) + 1) for s in combinations(sorted(self.parents[node]), k)]
+            self._load([(node, s) for s in subsets])
+            self.parents[node] = min(subsets, key=lambda s: (self.score(node, s), len(s)))
+            return
         self._refine(node)
         if len(self.parents[node]) == 1:
             (p,) = self.parents[node]

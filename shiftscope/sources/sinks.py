@@ -43,3 +43,27 @@ def wide(results: DataFrame, rows: str, columns: str, value: str = "mean") -> Da
 def rounded_tsv(df: DataFrame, path: str, digits: int = 5) -> None:
     """Doubles with a fixed number of digits, tab-separated."""
     write_table(df.select(*(F.format_number(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)), path, kind="tsv")
+
+
+def write_graph(edges: DataFrame, path: str, names: list[str]) -> None:
+    """A 0/1 matrix per graph (row points to column), tab-separated with the names as heading, one folder per graph."""
+    table = edges.groupBy("graph", "src").pivot("dst", names).agg(F.lit(1))
+    graphs = edges.select("graph").distinct()
+    rows = graphs.crossJoin(F.broadcast(edges.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "row int, src string")))  # as many as nodes
+    full = rows.join(table, ["graph", "src"], "left").fillna(0, names).orderBy("graph", "row").select("graph", *names)
+    write_table(full, path, ["graph"], "tsv")
+
+
+def write_partition(partition: DataFrame, path: str) -> None:
+    """Changepoints: begin, duration and regime of every segment, in order."""
+    write_table(partition.orderBy("begin").coalesce(1), path, kind="tsv")
+
+
+def tex_rows(results: DataFrame, rows: str, columns: str, value: str = "value", digits: int = 2) -> DataFrame:
+    """One line of a LaTeX table per row label, with ``mean $\\pm$ deviation`` per column label, and the heading first: (line_no, line)."""
+    names = [r[0] for r in results.select(columns).distinct().orderBy(columns).collect()]  # a table's columns
+    cell = F.concat(F.format_number(F.avg(value), digits), F.lit(" $\\pm$ "), F.format_number(F.coalesce(F.stddev_samp(value), F.lit(0.0)), digits))
+    table = results.groupBy(rows).pivot(columns, names).agg(cell)
+    body = table.orderBy(rows).select(F.concat_ws(" & ", F.col(rows).cast("string"), *(F.coalesce(F.col(f"`{n}`"), F.lit("-")) for n in names)).alias("line"))
+    head = results.sparkSession.createDataFrame([(-1, " & ".join([rows, *map(str, names)]) + " \\\\")], "line_no long, line string")
+    return head.union(body.select(F.monotonically_increasing_id().alias("line_no"), F.concat("line", F.lit(" \\\\")).alias("line")))

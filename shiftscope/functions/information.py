@@ -142,3 +142,39 @@ def kernel_alignment(x: np.ndarray, y: np.ndarray) -> float:
     x, y = thin(np.asarray(x, dtype=float).reshape(len(x), -1), np.asarray(y, dtype=float).reshape(len(y), -1))
     a, b = (k - k.mean(0) - k.mean(1)[:, None] + k.mean() for k in (rbf(x), rbf(y)))
     return float((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()))
+
+
+def expected_ami_by_sampling(a: np.ndarray, b: np.ndarray, draws: int = 30, seed: int = 0) -> float:
+    """MI adjusted by the sampled expectation: 0 for labels that agree as chance does, 1 for equal ones."""
+    expected = expected_mi_by_sampling(a, b, draws, seed)
+    spread = (entropy_of(np.unique(a, return_counts=True)[1]) + entropy_of(np.unique(b, return_counts=True)[1])) / 2 - expected
+    return (mutual_information(contingency(a, b)) - expected) / spread if spread > 0 else 0.0
+
+
+def residual_mutual_information(x: np.ndarray, y: np.ndarray, given_x: np.ndarray, given_y: np.ndarray, k: int = 3) -> float:
+    """MI of what kernel processes leave of x given some columns and of y given others."""
+    from shiftscope.functions.gaussian_process import KernelProcess
+
+    left = [v if not g.size else v - KernelProcess().fit(g, v).predict(g)[0] for v, g in ((np.ravel(x), np.asarray(given_x)), (np.ravel(y), np.asarray(given_y)))]
+    return knn_cmi(left[0][:, None], left[1][:, None], None, k)
+
+
+def optimised_sliced_mi(x: np.ndarray, y: np.ndarray, slices: int = 20, steps: int = 30, k: int = 3, seed: int = 0, spread: float = 0.3) -> float:
+    """Mean MI over directions that are improved by seeded local steps, kept apart by a minimal angle."""
+    rng = np.random.default_rng(seed)
+    x, y = (np.asarray(v, dtype=float).reshape(len(v), -1) for v in (x, y))
+    unit = lambda v: v / np.linalg.norm(v)
+    chosen: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(slices):
+        a, b = unit(rng.normal(size=x.shape[1])), unit(rng.normal(size=y.shape[1]))
+        value = knn_cmi(x @ a, y @ b, None, k)
+        for _ in range(steps):
+            c, d = unit(a + 0.3 * rng.normal(size=len(a))), unit(b + 0.3 * rng.normal(size=len(b)))
+            if len(a) > 1 and any(abs(c @ u) > np.cos(spread) for u, _, _ in chosen):
+                continue
+            if (new := knn_cmi(x @ c, y @ d, None, k)) > value:
+                a, b, value = c, d, new
+        chosen.append((a, b, value))
+        if x.shape[1] == y.shape[1] == 1:
+            break
+    return float(np.mean([v for _, _, v in chosen]))

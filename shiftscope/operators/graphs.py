@@ -31,18 +31,24 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """Topological level of each node: its longest path from a root.  Cyclic graphs raise."""
-    nodes = edges.select("graph", F.col("src").alias("node")).union(edges.select("graph", F.col("dst"))).distinct()
-    level = settled(nodes.withColumn("level", F.lit(0)))
-    edges = settled(edges)
-    most = nodes.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(most + 1):
-        pushed = edges.join(level.withColumnRenamed("node", "src"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("pushed"))
-        raised = settled(level.join(pushed, ["graph", "node"], "left").select("graph", "node", F.greatest("level", F.coalesce("pushed", F.lit(0))).alias("next"), "level"))
-        if raised.where("next > level").isEmpty():
-            return raised.select("graph", "node", "level")
-        level = raised.select("graph", "node", F.col("next").alias("level"))
-    raise ValueError("a graph has a cycle")
+    """Topological level of each node: its longest path from a root.  Cyclic graphs raise.
+
+    Round by round the nodes without an edge into them get the round's number and
+    go with their edges, so each round handles only what is left.
+    """
+    left = settled(edges.select("graph", "src", "dst").distinct())
+    nodes = settled(left.select("graph", F.col("src").alias("node")).union(left.select("graph", "dst")).distinct())
+    found, size, level = None, nodes.count(), 0
+    while size:
+        inner = settled(left.select("graph", F.col("dst").alias("node")).distinct())
+        rest = inner.count()
+        if rest == size:
+            raise ValueError("a graph has a cycle")
+        here = nodes.join(inner, ["graph", "node"], "left_anti").withColumn("level", F.lit(level))
+        found = here if found is None else found.union(here)
+        left = settled(left.join(inner.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi").select("graph", "src", "dst"))
+        nodes, size, level = inner, rest, level + 1
+    return found if found is not None else nodes.withColumn("level", F.lit(0))
 
 
 def skeleton(edges: DataFrame) -> DataFrame:
@@ -171,12 +177,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def rank_scores(scores: DataFrame, score: str, positive: str, k: int) -> DataFrame:
-    """Area under the ROC curve from average ranks, and precision at k, over a small table of candidates."""
-    from pyspark.sql import Window as W
+    """Area under the ROC curve from average ranks, and precision at k."""
+    from shiftscope.operators.moments import running_totals
 
     counts = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(positive).alias("p"))
-    over = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)  # distinct scores
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(over), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_totals(counts, score, ["n"]).withColumn("rank", F.col("n_run") - (F.col("n") - 1) / 2)
     area = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
     top = scores.orderBy(F.desc(score)).limit(k).agg(F.avg(F.col(positive).cast("double")).alias("precision_at_k"))
     auc = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * (F.col("nn") - F.col("np")))

@@ -195,3 +195,52 @@ def interventional_class(dag: MixedGraph, targets: list[set[int]]) -> MixedGraph
     known = {(a, b) for a, b in dag.directed for t in targets if (a in t) != (b in t)}
     colliders = {(a, v) for l, v, r in dag.v_structures() for a in (l, r)}
     return orient(dag.n, dag.skeleton(), known | colliders)
+
+
+def per_component(moments: list[tuple[np.ndarray, np.ndarray]], counts: list[int], alpha: float = 0.05) -> list[MixedGraph]:
+    """The PC graph of every component of a mixture, from its covariance and row count."""
+    from shiftscope.functions.independence import fisher_z
+    from shiftscope.plans.constraint import pc
+
+    out = []
+    for (_, cov), n in zip(moments, counts, strict=True):
+        d = np.sqrt(np.maximum(1e-300, np.diag(cov)))
+        corr = cov / np.outer(d, d)
+        out.append(pc(len(cov), lambda x, y, z, corr=corr, n=n: fisher_z(corr, n, x, y, z)[1], alpha))
+    return out
+
+
+def component_targets(moments: list[tuple[np.ndarray, np.ndarray]], counts: list[int], observational: int = 0, alpha: float = 1e-3) -> tuple[MixedGraph, list[set[int]]]:
+    """The observational component's graph, oriented further by what changes, and each component's targets.
+
+    A node is a target if its mean or its linear mechanism given the graph's
+    parents differs; the graph is that of the observational component.
+    """
+    mean, cov = moments[observational]
+    d = np.sqrt(np.maximum(1e-300, np.diag(cov)))
+    graph = greedy_equivalence(len(cov), gaussian_bic(cov / np.outer(d, d), counts[observational]))
+    members = graph.members() or [graph]
+
+    def found(dag: MixedGraph) -> list[set[int]]:
+        out = []
+        for k, (m, c) in enumerate(moments):
+            if k == observational:
+                out.append(set())
+                continue
+            targets = changed_targets(cov, counts[observational], c, counts[k], dag, alpha)
+            for v in range(dag.n):
+                ps = sorted(dag.parents(v))
+                w = np.linalg.pinv(cov[np.ix_(ps, ps)]) @ cov[ps, v] if ps else np.zeros(0)
+                rest = cov[v, v] - (w @ cov[ps, v] if ps else 0.0)
+                gap = (m[v] - mean[v]) - (w @ (m[ps] - mean[ps]) if ps else 0.0)
+                step = m[ps] - mean[ps]
+                lever = step @ np.linalg.pinv(cov[np.ix_(ps, ps)]) @ step if ps else 0.0  # the weights are estimates
+                z2 = gap**2 / (max(1e-12, rest) * ((1 + lever) / counts[observational] + 1 / counts[k]))
+                if chi2_sf(float(z2), 1) < alpha:
+                    targets.add(v)
+            out.append(targets)
+        return out
+
+    best = min(members, key=lambda g: sum(map(len, found(g))))
+    targets = found(best)
+    return interventional_class(best, [t for t in targets if t]), targets

@@ -11,14 +11,19 @@ from shiftscope.functions.numerics import components, expected_mutual_informatio
 
 LABELS = "block long, row_id long, node string, label int, posterior array<double>"
 MI_LIMIT = 0.03
+#: rows that one task may hold
+MOST_ROWS = 1_000_000
 
 
 def node_mixtures(df: DataFrame, row: str, parents: dict[str, list[str]], block: str | None = None, kind: str = "lin", k_max: int = 5, seed: int = 42) -> DataFrame:
     """(block, row_id, node, label, posterior) for every node; ``kind``: lin, quad, cub, gmm or kmeans.
 
     EM runs over one block of rows at a time; ``block`` names a column that cuts
-    a large table into blocks (labels are comparable within a block only).
+    a large table into blocks (labels are comparable within a block only).  A
+    table of over ``MOST_ROWS`` rows needs one.
     """
+    if block is None and df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError("a table of this size needs a block column")
     nodes = sorted(parents)
     cols = sorted({*nodes, *(p for ps in parents.values() for p in ps)})
     rows = df.select((F.col(block) if block else F.lit(0)).cast("long").alias("block"), F.col(row).cast("long").alias("row_id"), *(F.col(c).cast("double").alias(c) for c in cols))

@@ -112,15 +112,24 @@ def independence_tests(spark, sf_dir):
     flag, x, y, z = "l_returnflag", "l_discount", "l_tax", "l_quantity"
     rows = row_tests.ranked(_lineitem(spark, sf_dir).drop("l_shipdate").dropna(subset=COLS), flag, COLS).withColumn("half", F.col("rank") % 2).persist()
 
+    sampled = {
+        "kci": lambda a, b, c, half: ci.kci(a, b, c),
+        "cmi": lambda a, b, c, half: ci.cmi_permutation(a, b, c),
+        "mmd": lambda a, b, c, half: ci.mmd(b[half > 0.5], b[half < 0.5]),
+        "kcd": lambda a, b, c, half: ci.kcd(c, b[:, 0], half),
+    }
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank")
         a, b, c = (part[[n]].to_numpy() for n in (x, y, z))
         half = part["half"].to_numpy(dtype=float)
-        found = {"kci": ci.kci(a, b, c), "cmi": ci.cmi_permutation(a, b, c), "mmd": ci.mmd(b[half > 0.5], b[half < 0.5]), "kcd": ci.kcd(c, b[:, 0], half)}
-        return pd.DataFrame([(key[0], t, float(s), float(p)) for t, (s, p) in found.items()], columns=[flag, "test", "stat", "p"])
+        stat, p = sampled[key[1]](a, b, c, half)
+        return pd.DataFrame([(key[0], key[1], float(stat), float(p))], columns=[flag, "test", "stat", "p"])
 
     schema = "l_returnflag string, test string, stat double, p double"
-    out = [tuple(r) for r in scoring.sampled(rows, [flag], ci.MOST).groupBy(flag).applyInPandas(run, schema).collect()]
+    # every test of every flag is a task of its own
+    each = scoring.sampled(rows, [flag], ci.MOST).withColumn("test", F.explode(F.array(*map(F.lit, sampled))))
+    out = [tuple(r) for r in each.repartition(4 * len(sampled), flag, "test").groupBy(flag, "test").applyInPandas(run, schema).collect()]
     found = {g: dict(tests) for g, tests in row_tests.regression_tests(rows, flag, x, y, z, "half").items()}
     for name, tests in (("residuals", row_tests.residual_test(rows, flag, z, y, "half")), ("classifier", row_tests.classifier(rows, flag, x, y, z))):
         for g, result in tests.items():

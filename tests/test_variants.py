@@ -131,6 +131,46 @@ def test_labels_tables_and_sinks(spark, tmp_path):
     assert {(r.threshold, r.node) for r in found.collect()} == {(t, v) for t in (0.0, 0.5) for v in "ab"}
 
 
+def test_latent_clusters_and_components():
+    from shiftscope.functions import information as I, latent_clusters as L
+
+    rng = np.random.default_rng(7)
+    n = 400
+    a = rng.uniform(-1, 1, n)
+    b = 0.8 * a + rng.uniform(-1, 1, n)
+    noise = lambda: 0.4 * rng.uniform(-1, 1, n)
+    x = np.column_stack([a + noise(), 1.5 * a + noise(), b + noise(), -1.2 * b + noise()])
+    assert L.independent_noise(x, [0, 1], [2, 3])[0] and not L.independent_noise(x, [0, 2], [1, 3])[0]
+    assert L.latent_clusters(x, 0.01, 2) == [[0, 1], [2, 3]] and sorted(L.latent_order(x, [[0, 1], [2, 3]])) == [0, 1]
+    u = rng.integers(0, 3, 300)
+    assert I.expected_ami_by_sampling(u, u) == pytest.approx(1) and abs(I.expected_ami_by_sampling(u, rng.integers(0, 3, 300))) < 0.1
+    z = rng.normal(size=(150, 1))
+    v, w = np.sin(z[:, 0]) + 0.3 * rng.normal(size=150), np.cos(z[:, 0]) + 0.3 * rng.normal(size=150)
+    assert I.residual_mutual_information(v, v + 0.01 * w, z, z) > I.residual_mutual_information(v, w, z, z)
+    p = rng.normal(size=(120, 2))
+    assert I.optimised_sliced_mi(p, p @ np.array([[1.0], [0.0]]), 3, 5) > I.optimised_sliced_mi(p, rng.normal(size=(120, 1)), 3, 5)
+    base = rng.normal(size=(2000, 3))
+    base[:, 1] += 1.5 * base[:, 0]
+    base[:, 2] += 1.5 * base[:, 1]
+    other = rng.normal(size=(2000, 3))
+    other[:, 1] = 3 + 0.1 * other[:, 1]
+    other[:, 2] += 1.5 * other[:, 1]
+    moments = [(m.mean(0), np.cov(m.T, bias=True)) for m in (base, other)]
+    graph, targets = E.component_targets(moments, [2000, 2000])
+    assert targets == [set(), {1}] and graph.directed == {(0, 1), (1, 2)}
+    assert [g.skeleton() for g in E.per_component(moments, [2000, 2000])] == [{(0, 1), (1, 2)}, {(1, 2)}]
+
+
+def test_levels_and_cycles(spark):
+    from shiftscope.operators import graphs
+
+    edges = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (0, 2, 4), (0, 3, 4), (0, 1, 4), (0, 1, 2), (1, 5, 6)], "graph int, src int, dst int")
+    assert {(r.graph, r.node): r.level for r in graphs.levels(edges).collect()} == {(0, 1): 0, (0, 2): 1, (0, 3): 1, (0, 4): 2, (1, 5): 0, (1, 6): 1}
+    assert graphs.levels(edges.where("graph = 9")).count() == 0
+    with pytest.raises(ValueError):
+        graphs.levels(edges.union(spark.createDataFrame([(1, 6, 5)], edges.schema)))
+
+
 def test_all_parent_subsets(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=300)

@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows share their fate; without labels of both classes all stay.
     Other columns than the documents' are dropped here, whatever their names.
     """
+    common.release(spark)
     common.small_batches(spark)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,6 +34,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null ids and languages take part but are never learned from; repeated rows
     share their fate; where no language is known, texts with a letter stay.
     """
+    common.release(spark)
     net = language_id.fit(docs)
     if net is None:  # no language to tell: texts with a letter stay
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -45,6 +47,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of repeated rows one stays; an id that names several texts stands for each of
     them apart; documents without words and those without an id stay.
     """
+    common.release(spark)
     return jaccard_join.one_of_each(docs).select(*COLUMNS)
 
 
@@ -54,6 +57,7 @@ def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null texts and those under 35 words stay as they are; a text may become empty;
     of repeated rows nothing that has 35 words stays.
     """
+    common.release(spark)
     return substring_dedup.deduplicated(docs).select(*COLUMNS)
 
 
@@ -62,6 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is an empty one; null ids are kept; repeated rows are packed each for itself.
     """
+    common.release(spark)
     return packing.pack_documents(docs)
 
 

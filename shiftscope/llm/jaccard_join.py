@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import byte_rows, documents, durable, group_count, most_frequent, sifted, small_batches, stored, text_groups, to_blob
+from shiftscope.llm.common import byte_rows, documents, durable, group_count, most_frequent, release, sifted, small_batches, stored, text_groups, to_blob
 from shiftscope.llm.components import components
 from shiftscope.llm.textops import U, fold, hash_words, mix, ngram_hashes, radix_split
 
@@ -634,8 +634,10 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         members = members.withColumn("node", F.when(F.col("node").isin(list(twice)) & (F.col("n") > 0), F.col("check")).otherwise(F.col("node")))
     classes = durable(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     tiles = durable(_tiles(_postings(texts, frequent, twice, groups), frequent))
+    release(docs.sparkSession)
     verified = _stars(_likely(tiles, classes), classes, texts, twice)
     found = components(verified)
+    release(docs.sparkSession)
     more = _tile_edges(tiles.where("kind = 0"), classes, found)
     found = components(verified.union(_links(verified, more, found, classes, texts, twice)))
     named = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

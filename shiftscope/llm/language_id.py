@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from shiftscope.llm.common import byte_rows, documents, text_groups
+from shiftscope.llm.common import byte_rows, documents, release, text_groups
 
 WINDOW, HIDDEN = 96, 8
 FIT_DOCS, FIT_WINDOWS = 400, 4
@@ -242,7 +242,9 @@ def sample_windows(docs: DataFrame, per_language: int = FIT_DOCS, windows: int =
 
 def fit(docs: DataFrame) -> Network | None:
     found, labels, names = sample_windows(docs)
-    return train(found, labels, names, steps=STEPS * -(-len(names) // 16)) if names else None
+    net = train(found, labels, names, steps=STEPS * -(-len(names) // 16)) if names else None
+    release(docs.sparkSession)
+    return net
 
 
 def has_letter(text: str) -> bool:

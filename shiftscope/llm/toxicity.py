@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import documents, text_groups
+from shiftscope.llm.common import documents, release, text_groups
 from shiftscope.llm.textops import U, span_hashes
 
 POSITIVE, NEGATIVE, FIT_BYTES = 2500, 5000, 40_000
@@ -258,7 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     counted = {int(r["toxic"]): int(r["count"]) for r in learnable(labels).groupBy("toxic").count().collect()}
     ratio = max(1.0, counted[0] / counted[1] * (y == 1).sum() / (y == 0).sum())
     languages = [None if not isinstance(x, str) else x for x in rows["lang"]]
-    return train([t.encode() for t in rows["text"]], y, languages, ratio=ratio)
+    raw = [t.encode() for t in rows["text"]]
+    del rows
+    model = train(raw, y, languages, ratio=ratio)
+    del raw
+    release(docs.sparkSession)
+    return model
 
 
 SCORED = "doc_id long, score double"

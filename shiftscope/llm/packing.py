@@ -15,6 +15,7 @@ the input, which is why it may be broadcast.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from shiftscope.llm.textops import SECOND, HashIndex, distinct_pairs, span_hashe
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: pretokens that an encoder remembers before it starts afresh
-MEMO = 500_000
+MEMO = 250_000
 
 
 class CapacityTree:
@@ -238,11 +239,17 @@ class Encoder:
         return next(self.encode_batch([text]))
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder() -> Encoder:
+    """The tokenizer, held by a worker from task to task; its memo is bounded and changes no result."""
+    return Encoder()
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder()
+    encoder = _encoder()
     for batch in batches:
         doc, piece, start, length, crc = [], [], [], [], []
         texts = (t or "" for t in batch.column(1).to_pylist())

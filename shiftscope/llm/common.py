@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a session without any gets one in its warehouse, which is shared too."""
+    """The shared folder that the session names; a session of one machine without any gets one in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
@@ -90,13 +93,22 @@ def to_blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for a table under the session's checkpoint folder."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the session's checkpoint folder and read it again."""
-    spark = df.sparkSession
-    folder = _checkpoint_folder(spark)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 SIEVE_BITS = 1 << 26

@@ -8,7 +8,7 @@ exact round trips and held-out labels.
 
 from __future__ import annotations
 
-from shiftscope.llm import flac, jaccard_join, language_id, packing, periodic_runs, quality_crf, sentencepiece_scan, sharding, substring_dedup, token_counts, toxicity, whitening
+from shiftscope.llm import flac, jaccard_join, language_id, packing, periodic_runs, quality_crf, sentencepiece_scan, sharding, substring_dedup, token_counts, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_crf_quality": quality_crf.query,
@@ -22,7 +22,8 @@ QUERIES = {
     "op9_fm_substring_dedup": substring_dedup.query,
     "op10_sentencepiece_scan": sentencepiece_scan.query,
     "op11_welford_whitening": whitening.query,
+    "op12_warc_source": warc.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_warc_source": warc.ORACLE_SQL}

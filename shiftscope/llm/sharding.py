@@ -7,9 +7,10 @@ into equal runs gives every shard the mixture.
 
 Global ranks need no single sorted partition: rows are dealt to buckets that
 are ordered among themselves (by the leading bits of the shuffled key, then by
-the fractional rank), a small table of bucket counts gives each bucket's
+ranges of the whole final order), a small table of bucket counts gives each bucket's
 offset, and ``row_number`` numbers the rows inside a bucket.  A source with a
-third of all rows is spread over as many buckets as any other rows.
+third of all rows is spread over as many buckets as any other rows, and so are
+many sources of one size.
 
 The texts are read once: doc_id, source, size and checksum are stored, and all
 else runs over them.  Equal rows are interchangeable, so they are counted before the
@@ -91,8 +92,9 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = SEED, buckets: int
     ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.col("_part"), F.least(F.col("_part") + COPIES, F.col("_copies")) - 1)))
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_copy")).drop("_part", "_copy", "_copies")
     ranked = ranked.withColumn("frac", (F.col("_rank") * 2 + 1) / (F.col("_rank_total") * 2)).drop("_bucket")
-    ranked = ranked.withColumn("_bucket", F.floor(F.col("frac") * buckets))
     order = [F.col("frac"), F.col("_stratum"), *inner]
+    # ranges of the whole order, not of the fraction alone: many sources of one size share their fractions
+    ranked = durable(ranked.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
     placed = _ranked(ranked, [], "_bucket", order, "_place")
     # whole-number division, so that the cuts are exact at any size
     shard = F.expr(f"cast((_place * {shards}L) div _place_total as int)")

@@ -81,3 +81,15 @@ def test_edge_cases(table):
     assert len(got) == 5 and sorted(r.size for r in got) == [1, 1, 1, 2, 100_001]
     assert all(r.slot == 0 for r in got) and len({r.shard for r in got}) == 5
     assert sharding.interleave(table([])).collect() == []
+
+
+def test_many_sources_of_one_row_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("source "), "id").alias("source"))
+    rows = sharding.interleave(docs.repartition(8), 16)
+    counts = [r["count"] for r in rows.groupBy("shard").count().collect()]
+    assert sorted(counts) == [2500] * 16 and rows.select("frac").distinct().count() == 1
+    # the one fraction is no hot key of the ranking
+    ranges = docs.withColumn("frac", F.lit(0.5)).repartitionByRange(8, "frac", "source").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) < 20_000

@@ -59,6 +59,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_rows(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column; null stays None."""
     return column.cast(pa.large_binary()).to_pylist()

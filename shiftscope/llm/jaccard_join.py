@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shiftscope.llm.common import byte_rows, documents, durable, group_count, most_frequent, release, sifted, small_batches, stored, text_groups, to_blob
+from shiftscope.llm.common import byte_rows, documents, durable, fresh, group_count, most_frequent, release, sifted, small_batches, stored, text_groups, to_blob
 from shiftscope.llm.components import components
 from shiftscope.llm.textops import U, fold, hash_words, mix, ngram_hashes, radix_split
 
@@ -652,18 +652,18 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _with_node(docs: DataFrame) -> DataFrame:
-    """``docs`` with the class of each text as ``_node``."""
+def _with_node(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the class of each text in a column of this name."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = byte_rows(batch.column(at))
             keys = [class_of(s) for i, j in text_groups(rows) for s in shingle_sets(rows[i:j])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, _node long")
+    return docs.mapInArrow(run, f"{schema}, `{name}` long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -681,8 +681,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one = kept.join(several, "_id", "left_anti")
     named = docs.join(one, docs["doc_id"] == one["_id"], "left_semi").dropDuplicates(["doc_id"])
     # only where an id names texts of several classes are the classes of its rows needed
-    rows = _with_node(docs.join(several, docs["doc_id"] == several["_id"], "left_semi"))
-    apart = rows.join(kept, (rows["doc_id"] == kept["_id"]) & (rows["_node"] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
+    (node,) = fresh(docs, "_node")
+    rows = _with_node(docs.join(several, docs["doc_id"] == several["_id"], "left_semi"), node)
+    apart = rows.join(kept, (rows["doc_id"] == kept["_id"]) & (rows[node] == kept["_kept"]), "left_semi").dropDuplicates(["doc_id", node]).drop(node)
     return named.unionByName(apart).unionByName(docs.where("doc_id is null"))
 
 

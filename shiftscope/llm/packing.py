@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from shiftscope.llm.common import documents, durable
+from shiftscope.llm.common import documents, durable, fresh
 from shiftscope.llm.textops import SECOND, HashIndex, distinct_pairs, span_hashes
 
 CAPACITY = 2048
@@ -285,12 +285,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = [c for c in pieces.columns if c != "length"]
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     moves = sorted(plan_bins(histogram, capacity))
-    rows = pieces.withColumn("_bucket", F.spark_partition_id())
-    ahead = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select("length", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    ranked = rows.withColumn("_row", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*keys)))
-    ranked = ranked.join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_ahead") + F.col("_row") - 1)
+    bucket, count, before, row, place = fresh(pieces, "_bucket", "_n", "_ahead", "_row", "_rank")
+    rows = pieces.withColumn(bucket, F.spark_partition_id())
+    ahead = W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(count))
+    offsets = offsets.select("length", bucket, F.coalesce(F.sum(count).over(ahead), F.lit(0)).alias(before))
+    ranked = rows.withColumn(row, F.row_number().over(W.partitionBy("length", bucket).orderBy(*keys)))
+    ranked = ranked.join(offsets, ["length", bucket]).withColumn(place, F.col(before) + F.col(row) - 1)
     table = np.array(moves, dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
 
@@ -298,7 +299,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         length, rank, each, first, offset = shared.value.T
         at = (length << 44) + rank
         for batch in batches:
-            n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", place))
             k = np.searchsorted(at, (n << 44) + r, side="right") - 1
             beyond = r - rank[k]
             kept = [batch.column(c) for c in columns]
@@ -306,7 +307,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*columns, "_rank").mapInArrow(assign, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*columns, place).mapInArrow(assign, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -143,7 +143,7 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path, monkeypatch
 
 
 def test_rolled_files_and_strays(spark, pages, tmp_path):
-    rows = [(i, "u", hashlib.sha256(b"%d" % i).hexdigest() * 30) for i in range(200)]
+    rows = [(i, "u", "".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest() for k in range(10))) for i in range(200)]
     path = str(tmp_path / "a")
     warc.archive(pages(rows).repartition(3), path, fileBytes=20_000)
     archives = [f for f in os.listdir(path) if f.endswith(".warc.gz")]

@@ -36,6 +36,8 @@ FIT_DOCS, FIT_WINDOWS = 400, 4
 PAD = 256
 #: training steps for up to 16 languages, as many again for each further 16
 STEPS, BATCH = 260, 384
+#: sums of single precision depend on the windows beside a window in their last bits, which scores don't show
+DIGITS = 5
 #: bytes of text that are read at a time, whole windows
 SLICE = 10_000 * WINDOW
 
@@ -260,7 +262,7 @@ def predict(texts: list[str | None], net: Network | None) -> tuple[list[str], np
         p = net.pooled(raw[i:j])
         for k, row in zip(use[i:j], p, strict=True):
             best = int(row.argmax())
-            names[k], scores[k] = net.names[best], min(1.0, float(row[best]))
+            names[k], scores[k] = net.names[best], round(min(1.0, float(row[best])), DIGITS)
     return names, scores
 
 

@@ -250,7 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Train on the bounded sample; None without both classes."""
     sample = F.broadcast(sample_labels(labels))  # at most 2 * FIT_DOCS rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= FIT_BYTES)
-    rows = texts.join(sample, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["doc_id"])
+    # of a repeated id the least text; one row an id reaches the driver however often it is repeated
+    rows = texts.join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     quality = rows["quality"].to_numpy(dtype=np.int64)
     if len(set(quality.tolist())) < 2:
         return None

@@ -198,3 +198,19 @@ def test_field_by_enumeration():
         moved = getattr(field, name).copy()
         moved[1, 1] += 1e-6
         assert (Q.Field(**{**field.__dict__, name: moved}).gradient(features, first, chosen)[0] - value) / 1e-6 == pytest.approx(g[1, 1], abs=1e-3)
+
+
+def test_copies_of_a_labelled_row_reach_the_driver_once(spark, sf_dir, monkeypatch):
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    one = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 <> 1").select(*docs.columns).orderBy("doc_id").limit(1)
+    many = docs.unionByName(one.crossJoin(spark.range(100_000)).select(*docs.columns))
+    got = []
+    collect = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: got.append(len(rows := collect(self))) or rows)
+    for module in (Q, T):
+        monkeypatch.setattr(module, "train", lambda *a, **b: None)
+        for rows in (docs, many):
+            module.fit(rows, labels)
+    assert len(got) == 4 and got[0] == got[1] < 1000 and got[2] == got[3] < 1000

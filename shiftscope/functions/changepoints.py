@@ -4,44 +4,98 @@ from __future__ import annotations
 
 import numpy as np
 
-MOST = 3000
+#: ends whose costs one matrix product gives
+BLOCK = 64
+
+
+def median_square_distance(x: np.ndarray) -> float:
+    """Median of the positive squared distances over all pairs of rows; 1 if all rows are equal.
+
+    Pairs are counted by the leading bits of their distance, block by block, so
+    memory stays small at any length; then those of the median's own range are sorted.
+    """
+    n, norms = len(x), (x * x).sum(1)
+
+    def blocks():
+        for i in range(0, n, 256):
+            d2 = norms[i : i + 256, None] + norms[None, i:] - 2 * x[i : i + 256] @ x[i:].T
+            yield d2[np.arange(d2.shape[1])[None] > np.arange(d2.shape[0])[:, None]]
+
+    floor = 1e-13 * max(1e-300, float(norms.max(initial=0)))
+    counts = np.zeros(1 << 15, dtype=np.int64)
+    for d2 in blocks():
+        d2 = d2[d2 > floor]
+        counts += np.bincount(d2.view(np.int64) >> 49, minlength=1 << 15)[: 1 << 15]
+    total = int(counts.sum())
+    if not total:
+        return 1.0
+    ahead = np.cumsum(counts)
+    ranks = [(total - 1) // 2, total // 2]
+    cells = np.searchsorted(ahead, ranks, side="right")
+    held = np.sort(np.concatenate([d2[(d2 > floor) & np.isin(d2.view(np.int64) >> 49, cells)] for d2 in blocks()]))
+    before = int(ahead[cells[0] - 1]) if cells[0] else 0
+    between = int(counts[cells[0] + 1 : cells[1]].sum()) if cells[1] > cells[0] else 0  # empty cells only
+    return float(held[[ranks[0] - before, ranks[1] - before - between]].mean())
+
+
+def kernel_features(x: np.ndarray, width: float, error: float) -> np.ndarray:
+    """Rows whose inner products are the Gaussian kernel values up to ``error``: a pivoted incomplete Cholesky factor."""
+    n = len(x)
+    left, columns = np.ones(n), []
+    norms = (x * x).sum(1)
+    while len(columns) < n and left[pivot := int(left.argmax())] > error:
+        column = np.exp(-np.maximum(0, norms + norms[pivot] - 2 * x @ x[pivot]) / width)
+        for done in columns:
+            column = column - done * done[pivot]
+        column = column / np.sqrt(left[pivot])
+        columns.append(column)
+        left = np.maximum(0, left - column**2)
+        left[pivot] = 0
+    return np.stack(columns, axis=1)
 
 
 def pelt(x: np.ndarray, least: int, penalty: float = 3.0, jump: int = 1) -> list[int]:
     """Ends of the optimal segments under the RBF kernel cost, with pruned dynamic programming.
 
-    A segment costs its length less the mean kernel value over its pairs times
-    its length.  The kernel's width is the median distance.  Series over
-    ``MOST`` steps are averaged into equal blocks first and the cuts scaled back.
+    A segment costs its length less the mean kernel value over its pairs times its
+    length; the kernel's width is the median squared distance of the rows.  Costs come from
+    prefix sums of features whose products are the kernel, so memory grows with the
+    steps alone and series of any length are searched at their own steps.  A start is
+    dropped once a later one is at least as good for all ends that both can have.
     """
     x = np.asarray(x, dtype=float).reshape(len(x), -1)
     n = len(x)
-    if n > MOST:
-        block = -(-n // MOST)
-        short = np.stack([x[i : i + block].mean(0) for i in range(0, n, block)])
-        return [min(n, e * block) for e in pelt(short, max(1, least // block), penalty, jump)]
-    d2 = np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T)
-    some = d2[np.triu_indices(n, 1)]
-    median = np.median(some[some > 0]) if (some > 0).any() else 1.0
-    k = np.exp(-np.clip(d2 / median, 0.01, 100))
-    np.fill_diagonal(k, 1.0)
-    sums = np.zeros((n + 1, n + 1))
-    sums[1:, 1:] = k.cumsum(0).cumsum(1)
-    cost = lambda a, b: (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
-    best, back = {0: 0.0}, {0: 0}
-    admissible = [0]
-    ends = [e for e in range(jump, n, jump) if e >= least] + [n]
-    for e in ends:
-        options = [(best[s] + cost(s, e) + penalty, s) for s in admissible if e - s >= least or (e == n and s == 0)]
-        if not options:
-            continue
-        best[e], back[e] = min(options)
-        kept = {s for v, s in options if v - penalty <= best[e]}
-        admissible = [s for s in admissible if s in kept or e - s < least] + [e]
+    x = x - x.mean(0)
+    features = kernel_features(x, median_square_distance(x), 1e-4 / n)
+    sums = np.zeros((n + 1, features.shape[1]))
+    np.cumsum(features, axis=0, out=sums[1:])
+    squares = (sums * sums).sum(1)
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+    best[0] = 0.0
+    starts, until = np.zeros(1, dtype=np.int64), np.full(1, n + 1)  # a start serves ends before ``until``
+    ends = np.array([e for e in range(jump, n, jump) if e >= least] + [n])
+    for i in range(0, len(ends), BLOCK):
+        block = ends[i : i + BLOCK]
+        starts, until = np.concatenate([starts, block]), np.concatenate([until, np.full(len(block), n + 1)])
+        cross = sums[starts] @ sums[block].T
+        for k, e in enumerate(block.tolist()):
+            size = e - starts
+            able = np.flatnonzero((until > e) & ((size >= least) | ((e == n) & (starts == 0))) & np.isfinite(best[starts]))
+            if len(able):
+                s = starts[able]
+                cost = size[able] - (squares[e] + squares[s] - 2 * cross[able, k]) / size[able]
+                value = best[s] + cost
+                top = int(value.argmin())
+                best[e], back[e] = value[top] + penalty, s[top]
+                # with a cut at e every end that leaves a whole segment after it does at least as well
+                beaten = able[value > best[e] + 1e-9]
+                until[beaten] = np.minimum(until[beaten], e + least)
+        kept = until > block[-1] + 1
+        starts, until = starts[kept], until[kept]
     cuts, at = [], n
     while at > 0:
         cuts.append(at)
-        at = back[at]
+        at = int(back[at])
     return cuts[::-1]
 
 

@@ -42,7 +42,7 @@ def correlation(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
     return block / np.outer(d, d), int(n)
 
 
-def _summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[[np.ndarray], list[np.ndarray]]) -> dict[tuple, np.ndarray]:
+def summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[[np.ndarray], list[np.ndarray]]) -> dict[tuple, np.ndarray]:
     """Sums over all rows of what ``matrices`` makes of a block of rows, by matrix number and group: one pass, partial sums before the shuffle."""
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.dropna(subset=cols).select(*(F.col(b).cast("string").alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)))
@@ -81,7 +81,7 @@ class WholeGram:
             block = np.hstack([np.ones((len(x), 1)), *(basis.of_column(x, i) for i in columns), x])
             return [block.T @ block]
 
-        self.tables = {k[1:]: g for k, g in _summed(df, cols, by, matrices).items()}
+        self.tables = {k[1:]: g for k, g in summed(df, cols, by, matrices).items()}
         self.columns, self.width = len(cols), basis.of_column(np.zeros((1, len(cols))), 0).shape[1]
 
     def of(self, candidate: Candidate) -> dict[tuple, np.ndarray]:
@@ -98,7 +98,7 @@ def grams(df: DataFrame, cols: list[str], by: list[str], candidates: list[Candid
         whole = WholeGram(df, cols, by, basis)
         return {c: whole.of(c) for c in candidates}
     out: dict[Candidate, dict[tuple, np.ndarray]] = {c: {} for c in candidates}
-    for k, g in _summed(df, cols, by, lambda x: [gram(basis(x, parents), x[:, node]) for node, parents in candidates]).items():
+    for k, g in summed(df, cols, by, lambda x: [gram(basis(x, parents), x[:, node]) for node, parents in candidates]).items():
         out[candidates[k[0]]][k[1:]] = g
     return out
 

@@ -8,22 +8,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.functions.mixture import gaussian_mixture, kmeans_or_one, regression_mixture
 from shiftscope.functions.numerics import components, expected_mutual_information, contingency, mutual_information
+from shiftscope.operators import em
 
 LABELS = "block long, row_id long, node string, label int, posterior array<double>"
 MI_LIMIT = 0.03
-#: rows that one task may hold
-MOST_ROWS = 1_000_000
+
+
+def _of_all_rows(df: DataFrame, row: str, parents: dict[str, list[str]], kind: str, k_max: int, seed: int) -> DataFrame:
+    out = None
+    for node in sorted(parents):
+        rows = df.select(F.lit(0).cast("long").alias("block"), F.col(row).cast("long").alias("row_id"), F.lit(node).alias("node"), *{*parents[node], node})
+        models = em.fit(rows, node, parents[node], kind, k_max, seed)
+        if models:
+            part = em.labelled(rows, ["block", "row_id", "node"], node, parents[node], models[0]).where("label is not null")
+            out = part if out is None else out.unionByName(part)
+    return df.sparkSession.createDataFrame([], LABELS) if out is None else out
 
 
 def node_mixtures(df: DataFrame, row: str, parents: dict[str, list[str]], block: str | None = None, kind: str = "lin", k_max: int = 5, seed: int = 42) -> DataFrame:
     """(block, row_id, node, label, posterior) for every node; ``kind``: lin, quad, cub, gmm or kmeans.
 
-    EM runs over one block of rows at a time; ``block`` names a column that cuts
-    a large table into blocks (labels are comparable within a block only).  A
-    table of over ``MOST_ROWS`` rows needs one.
+    Without ``block`` every mixture is fitted to all rows of the table (``operators.em``).
+    ``block`` names a column of separate populations, each with mixtures of its own: labels
+    are comparable within a block only, and a block is one task's work.
     """
-    if block is None and df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError("a table of this size needs a block column")
+    if block is None and kind != "kmeans":
+        return _of_all_rows(df, row, parents, kind, k_max, seed)
     nodes = sorted(parents)
     cols = sorted({*nodes, *(p for ps in parents.values() for p in ps)})
     rows = df.select((F.col(block) if block else F.lit(0)).cast("long").alias("block"), F.col(row).cast("long").alias("row_id"), *(F.col(c).cast("double").alias(c) for c in cols))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
-from shiftscope.operators import row_tests, scoring
+from shiftscope.operators import em, row_tests, scoring
 from shiftscope.plans import confounding, constraint, mechanism_shifts, mixtures, ordering, window_tests
 from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
@@ -168,14 +168,21 @@ def lagged_regime_edges(spark, sf_dir):
     return LaggedRegimes(["browse", "buy", "other"], max_lag=1, min_duration=72).fit(_hours(spark, sf_dir)).edges(spark)
 
 
+def _length(series: DataFrame) -> int:
+    """Steps of the longest series."""
+    return int(series.agg(F.max("t")).first()[0]) + 1
+
+
 def window_strengths(spark, sf_dir):
     """Strength of each link between the hourly sums, by group of users and week."""
-    return window_tests.link_strengths(_hours(spark, sf_dir), "context", "t", LINKS, window_tests.fixed_windows(720, 168, 1))
+    hours = _hours(spark, sf_dir)
+    return window_tests.link_strengths(hours, "context", "t", LINKS, window_tests.fixed_windows(_length(hours), 168, 1))
 
 
 def window_regimes(spark, sf_dir):
     """Weeks of one regime by description length."""
-    found = window_tests.known_windows(_hours(spark, sf_dir), "context", "t", LINKS, window_tests.fixed_windows(720, 168, 1), 1)
+    hours = _hours(spark, sf_dir)
+    found = window_tests.known_windows(hours, "context", "t", LINKS, window_tests.fixed_windows(_length(hours), 168, 1), 1)
     return spark.createDataFrame(found, "begin int, duration int, regime int")
 
 
@@ -198,6 +205,12 @@ def mixture_labels(spark, sf_dir):
     return found.groupBy("block", "node", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def price_populations(spark, sf_dir):
+    """Hidden populations of the price given the quantity, fitted to all line items."""
+    models = em.fit(_lineitem(spark, sf_dir), "l_extendedprice", ["l_quantity"], "lin", k_max=3)
+    return em.components(spark, models[0] if models else None)
+
+
 def minimal_shifts(spark, sf_dir):
     """Mechanism changes between return flags that each graph of the chain's class needs."""
     from shiftscope.functions.mixed_graph import MixedGraph
@@ -250,6 +263,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, window_strengths, window_regimes, cut_search,
-        confounder_pairs, mixture_labels, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
+        confounder_pairs, mixture_labels, price_populations, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
     )
 }

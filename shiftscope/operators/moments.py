@@ -240,14 +240,18 @@ def basis_terms(x: Column, function: int, single: bool = False) -> list[Column]:
 
 
 def shuffled(df: DataFrame, key: str, column: str, seed: int = 0) -> DataFrame:
-    """``df`` with ``column`` permuted over the rows by a seeded hash of ``key`` (unique): a row gets the value of the row with its rank in another order."""
-    marks = df.select(F.col(key).alias("_k"), F.col(column).alias("_v"), F.xxhash64(F.lit(seed), key).alias("_a"), F.xxhash64(F.lit(seed + 1), key).alias("_b"))
+    """``df`` with ``column`` permuted over the rows by a seeded hash of ``key`` (unique): a row gets the value of the row with its rank in another order.
+
+    The hash is the first 60 bits of the MD5 of the seed, a space and the key as text, so that other engines can tell the order.
+    """
+    mark = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s} "), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    marks = df.select(F.col(key).alias("_k"), F.col(column).alias("_v"), mark(seed).alias("_a"), mark(seed + 1).alias("_b"))
 
     def placed(order: str) -> DataFrame:
         # buckets of the hash are in order among themselves; their counts give each one's first rank
         from pyspark.sql import Window as W
 
-        rows = marks.withColumn("_c", F.shiftright(order, 52))
+        rows = marks.withColumn("_c", F.shiftright(order, 48))
         counts = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
         first = counts.select("_c", F.coalesce(F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # 4096 buckets at most
         return rows.withColumn("_r", F.row_number().over(W.partitionBy("_c").orderBy(order, "_k"))).join(F.broadcast(first), "_c").withColumn("_place", F.col("_first") + F.col("_r"))

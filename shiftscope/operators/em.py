@@ -79,6 +79,12 @@ class Mixture:
                 out[:, j] = -0.5 * (math.log(2 * math.pi * self.spreads[j]) + r * r / self.spreads[j])
         return out + np.log(self.shares)
 
+    def lines(self) -> list[list[float]]:
+        """Intercept and slopes of each component in the columns' own units (linear regressions)."""
+        slopes = self.weights[:, 1:] * self.scale[-1] / self.scale[:-1]
+        base = self.centre[-1] + self.scale[-1] * self.weights[:, 0] - slopes @ self.centre[:-1]
+        return np.column_stack([base, slopes]).tolist()
+
     def posterior(self, f: np.ndarray) -> tuple[np.ndarray, float]:
         logs = self.log_parts(f)
         top = logs.max(1, keepdims=True)

@@ -16,15 +16,15 @@ from shiftscope.functions.numerics import normal_sf
 from shiftscope.operators import scoring
 from shiftscope.functions.scores import Basis
 
-CELLS = 256
+CELLS = 128
 
 
 def _cell(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Adds ``_cell``, equal ranges of ``value`` within each group, in order."""
-    ends = rows.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
-    return rows.join(F.broadcast(ends), by).withColumn("_cell", cell).drop("_low", "_high")
+    """Adds ``_cell``, ranges of ``value`` that hold about as many rows each within their group, in order."""
+    points = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
+    bounds = rows.groupBy(by).agg(F.percentile_approx(value, points, 10_000).alias("_bounds"))  # CELLS numbers per group
+    cell = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    return rows.join(F.broadcast(bounds), by).withColumn("_cell", cell).drop("_bounds")
 
 
 def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -42,8 +42,11 @@ def correlation(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
     return block / np.outer(d, d), int(n)
 
 
-def summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[[np.ndarray], list[np.ndarray]]) -> dict[tuple, np.ndarray]:
-    """Sums over all rows of what ``matrices`` makes of a block of rows, by matrix number and group: one pass, partial sums before the shuffle."""
+def summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[..., list[np.ndarray]], keyed: bool = False) -> dict[tuple, np.ndarray]:
+    """Sums over all rows of what ``matrices`` makes of a block of rows (with ``keyed``: of its group and the block), by matrix number and group.
+
+    One pass, partial sums before the shuffle.
+    """
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.dropna(subset=cols).select(*(F.col(b).cast("string").alias(k) for b, k in zip(by, keys, strict=True)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)))
 
@@ -52,7 +55,8 @@ def summed(df: DataFrame, cols: list[str], by: list[str], matrices: Callable[[np
         for batch in batches:
             groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
-                for c, g in enumerate(matrices(part.iloc[:, len(keys) :].to_numpy())):
+                x = part.iloc[:, len(keys) :].to_numpy()
+                for c, g in enumerate(matrices(key, x) if keyed else matrices(x)):
                     held[c, *key] = held[c, *key] + g if (c, *key) in held else g
         if held:
             yield pd.DataFrame([(k[0], *k[1:], g.tobytes()) for k, g in held.items()], columns=["c", *keys, "g"])

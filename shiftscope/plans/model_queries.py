@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
-from shiftscope.operators import em, row_tests, scoring
+from shiftscope.operators import em, kernel_tests, neighbours, row_tests, scoring
 from shiftscope.plans import confounding, constraint, mechanism_shifts, mixtures, ordering, window_tests
 from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
@@ -105,40 +105,42 @@ def spline_bits(spark, sf_dir):
 def independence_tests(spark, sf_dir):
     """p values of several tests of discount and tax given quantity per return flag.
 
-    Tests of linear cost see all rows; ``kci``, ``cmi``, ``mmd`` and ``kcd`` cost the
-    square of their rows and see a sample.  Two-sample tests compare every other row in
-    the order of the measures.
+    All tests see all rows but ``cmi``, whose permutations of nearest neighbours see a
+    sample.  Two-sample tests compare every other row in the order of the measures.
     """
     flag, x, y, z = "l_returnflag", "l_discount", "l_tax", "l_quantity"
     rows = row_tests.ranked(_lineitem(spark, sf_dir).drop("l_shipdate").dropna(subset=COLS), flag, COLS).withColumn("half", F.col("rank") % 2).persist()
 
-    sampled = {
-        "kci": lambda a, b, c, half: ci.kci(a, b, c),
-        "cmi": lambda a, b, c, half: ci.cmi_permutation(a, b, c),
-        "mmd": lambda a, b, c, half: ci.mmd(b[half > 0.5], b[half < 0.5]),
-        "kcd": lambda a, b, c, half: ci.kcd(c, b[:, 0], half),
-    }
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        a, b, c = (part[[n]].to_numpy() for n in (x, y, z))
-        half = part["half"].to_numpy(dtype=float)
-        stat, p = sampled[key[1]](a, b, c, half)
-        return pd.DataFrame([(key[0], key[1], float(stat), float(p))], columns=[flag, "test", "stat", "p"])
+    def permuted(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        stat, p = ci.cmi_permutation(*(part.sort_values("rank")[[n]].to_numpy() for n in (x, y, z)))
+        return pd.DataFrame([(key[0], "cmi", float(stat), float(p))], columns=[flag, "test", "stat", "p"])
 
     schema = "l_returnflag string, test string, stat double, p double"
-    # every test of every flag is a task of its own
-    each = scoring.sampled(rows, [flag], ci.MOST).withColumn("test", F.explode(F.array(*map(F.lit, sampled))))
-    out = [tuple(r) for r in each.repartition(4 * len(sampled), flag, "test").groupBy(flag, "test").applyInPandas(run, schema).collect()]
-    found = {g: dict(tests) for g, tests in row_tests.regression_tests(rows, flag, x, y, z, "half").items()}
-    for name, tests in (("residuals", row_tests.residual_test(rows, flag, z, y, "half")), ("classifier", row_tests.classifier(rows, flag, x, y, z))):
-        for g, result in tests.items():
-            found[g][name] = result
+    some = scoring.sampled(rows, [flag], ci.MOST)
+    out = [tuple(r) for r in some.groupBy(flag).applyInPandas(permuted, schema).collect()]
+    tests = {
+        "kci": kernel_tests.kci(rows, flag, [x], [y], [z]),
+        "mmd": kernel_tests.mmd(rows, flag, [y], "half"),
+        "kcd": kernel_tests.kcd(rows, flag, [z], [y], "half"),
+        "residuals": row_tests.residual_test(rows, flag, z, y, "half"),
+        "classifier": row_tests.classifier(rows, flag, x, y, z),
+    }
+    for g, found in row_tests.regression_tests(rows, flag, x, y, z, "half").items():
+        for name, result in found.items():
+            tests.setdefault(name, {})[g] = result
     rows.unpersist()
-    out += [(g, t, float(s), float(p)) for g, tests in found.items() for t, (s, p) in tests.items()]
+    out += [(g, t, float(s), float(p)) for t, found in tests.items() for g, (s, p) in found.items()]
     return spark.createDataFrame(sorted(out), schema)
 
 
+def neighbour_information(spark, sf_dir):
+    """Nearest-neighbour information, over all line items of a return flag, of discount and tax given the quantity, and of quantity and tax."""
+    rows = _lineitem(spark, sf_dir)
+    pairs = {"discount, tax | quantity": (["l_discount"], ["l_tax"], ["l_quantity"]), "quantity, tax": (["l_quantity"], ["l_tax"], [])}
+    out = [(name, *r) for name, cols in pairs.items() for r in neighbours.information(rows, "l_returnflag", *cols).collect()]
+    return spark.createDataFrame(sorted(out), "pair string, l_returnflag string, n long, nats double")
+
+
 def pelt_changepoints(spark, sf_dir):
     """Changepoints of every user's daily mean value."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
@@ -205,10 +207,15 @@ def mixture_labels(spark, sf_dir):
     return found.groupBy("block", "node", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def price_populations(spark, sf_dir):
-    """Hidden populations of the price given the quantity, fitted to all line items."""
-    models = em.fit(_lineitem(spark, sf_dir), "l_extendedprice", ["l_quantity"], "lin", k_max=3)
-    return em.components(spark, models[0] if models else None)
+@sql("""WITH r AS (SELECT l_returnflag AS f, l_quantity AS q, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN -2 ELSE 0.5 END * l_quantity + 3 * l_tax AS y FROM lineitem)
+SELECT count(*) AS n, round(regr_slope(y, q), 3) AS slope, round(regr_intercept(y, q), 3) AS intercept FROM r GROUP BY f""")
+def hidden_slopes(spark, sf_dir):
+    """Populations with slopes of their own, found without their flag: a mixture of regressions over all line items."""
+    slope = F.when(F.col("l_returnflag") == "A", 3.0).when(F.col("l_returnflag") == "N", -2.0).otherwise(0.5)
+    rows = _lineitem(spark, sf_dir).select(F.col("l_quantity").alias("q"), (slope * F.col("l_quantity") + 3 * F.col("l_tax")).alias("y"))
+    models = em.fit(rows, "y", ["q"], "lin", k_max=4)
+    found = [(int(round(share * models[0].n)), round(b, 3), round(a, 3)) for share, (a, b) in zip(models[0].shares.tolist(), models[0].lines(), strict=True)] if models else []
+    return spark.createDataFrame(found, "n long, slope double, intercept double")
 
 
 def minimal_shifts(spark, sf_dir):
@@ -262,7 +269,7 @@ def sort_regress_edges(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, window_strengths, window_regimes, cut_search,
-        confounder_pairs, mixture_labels, price_populations, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
+        linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, neighbour_information, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, window_strengths, window_regimes, cut_search,
+        confounder_pairs, mixture_labels, hidden_slopes, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
     )
 }

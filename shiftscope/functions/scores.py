@@ -9,6 +9,7 @@ rows, and is what the distributed searches use.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -88,13 +89,48 @@ def gp_bits_repeated(x: np.ndarray, count: np.ndarray, mean: np.ndarray, within:
 # --- mergeable scores --------------------------------------------------------
 
 
+#: length scales (of standardised columns) that a process score searches, and features of each a column
+LENGTHS, PROCESS_FEATURES = (0.4, 0.8, 1.6, 3.2), 14
+
+
+def process_bits(g: np.ndarray) -> float:
+    """``gp_bits`` from cross products: one, the features of each length scale side by side, and the target.
+
+    Signal and noise are searched for each length scale on the sums, whatever the rows:
+    a grid on the log scale and two refinements of it, all from one eigen-decomposition.
+    """
+    n = float(g[0, 0])
+    mean = g[0, -1] / n
+    spread = math.sqrt(max(0.0, g[-1, -1] / n - mean**2)) + 1e-12
+    if len(g) == 2:
+        return null_bits_of(int(n), spread**2)
+    width, best = (len(g) - 2) // len(LENGTHS), math.inf
+    for k in range(len(LENGTHS)):
+        own = slice(1 + k * width, 1 + (k + 1) * width)
+        values, vectors = np.linalg.eigh(g[own, own])
+        values = np.maximum(0, values)
+        inner = (vectors.T @ ((g[own, -1] - mean * g[0, own]) / spread)) ** 2
+        centre, step = np.array([0.0, -1.0]), 2.0  # log signal, log noise
+        for size in (4, 2, 2):
+            axis = np.arange(-size, size + 1) * step
+            signal, noise = (np.exp(np.maximum(c + axis, math.log(LEAST_NOISE) if i else -60)) for i, c in enumerate(centre))
+            shrink = signal[:, None, None] / (noise[None, :, None] + signal[:, None, None] * values)
+            fit = (n - (inner * shrink).sum(-1)) / noise
+            loss = 0.5 * (fit + n * np.log(noise) + np.log1p(signal[:, None, None] * values / noise[None, :, None]).sum(-1) + n * math.log(2 * math.pi))
+            i, j = np.unravel_index(int(loss.argmin()), loss.shape)
+            centre, step = np.array([math.log(signal[i]), math.log(noise[j])]), step / 2.5
+            best = min(best, float(loss[i, j]))
+    return (best + 1.5 * math.log(n)) / LN2 + n * math.log2(spread)
+
+
 class Basis:
     """Functions of the parents whose cross products with the target are enough for the score.
 
     kind: ``lin`` (1, x), ``cub`` (1, x, x^2, x^3), ``spline`` (truncated cubic
-    powers at fixed knots of standardised columns) or ``rff`` (seeded random
-    Fourier features).  ``centre`` and ``scale`` standardise the columns; they
-    come from one aggregate over the whole table.
+    powers at fixed knots of standardised columns), ``rff`` (seeded random
+    Fourier features) or ``gp`` (eigenfunctions of Gaussian kernels of several
+    length scales, for the evidence of a Gaussian process).  ``centre`` and
+    ``scale`` standardise the columns; they come from one aggregate over the whole table.
     """
 
     def __init__(self, kind: str, centre: np.ndarray, scale: np.ndarray, features: int = 40, seed: int = 0):
@@ -105,6 +141,10 @@ class Basis:
         """Whether the functions of several parents are those of each, so that one matrix of all columns holds every candidate's."""
         return self.kind in ("lin", "cub", "spline")
 
+    def bits(self, g: np.ndarray) -> float:
+        """Bits of the mechanism that a matrix of cross products of these functions describes."""
+        return process_bits(g) if self.kind == "gp" else gram_bits(g)
+
     def of_column(self, x: np.ndarray, column: int) -> np.ndarray:
         """Functions of one column (additive kinds)."""
         return self(x, (column,))[:, 1:]
@@ -126,6 +166,10 @@ class Basis:
             rng = np.random.default_rng((self.seed, len(parents)))
             w = rng.normal(size=(len(parents), self.features)) * rng.choice([0.5, 1.0, 2.0], self.features)
             out += [z, np.cos(z @ w + rng.uniform(0, 2 * math.pi, self.features))]
+        elif self.kind == "gp":
+            from shiftscope.functions.gaussian_process import KarhunenLoeveFeatures
+
+            out += [KarhunenLoeveFeatures(len(parents), PROCESS_FEATURES * min(3, len(parents)), length)(z) for length in LENGTHS]
         else:
             raise ValueError(f"unknown basis {self.kind}")
         return np.hstack(out)
@@ -147,25 +191,26 @@ def gram_bits(g: np.ndarray, ridge: float = 1e-3) -> float:
     return n / 2 * math.log2(2 * math.pi * math.e * rss / n) + (len(a) + 1) / 2 * math.log2(max(2.0, n))
 
 
-def partition_contexts(grams: list[np.ndarray], alpha: float = 0.05, greedy: bool = False) -> tuple[float, list[int]]:
+def partition_contexts(grams: list[np.ndarray], alpha: float = 0.05, greedy: bool = False, bits: Callable[[np.ndarray], float] | None = None) -> tuple[float, list[int]]:
     """Best total bits over a partition of the contexts, and the contexts' labels.
 
     Two contexts are joined if one common mechanism costs at most -log2(alpha)
     bits more than two; the groups are the components of these pairs, or with
     ``greedy`` the result of merging the best pair of groups while that saves bits.
     """
-    own = [gram_bits(g) for g in grams]
+    bits = bits or gram_bits
+    own = [bits(g) for g in grams]
     if greedy:
         groups = [([i], g, b) for i, (g, b) in enumerate(zip(grams, own, strict=True))]
         while len(groups) > 1:
             best = max(
-                ((a[2] + b[2] - gram_bits(a[1] + b[1]), i, i + 1 + j) for i, a in enumerate(groups) for j, b in enumerate(groups[i + 1 :])),
+                ((a[2] + b[2] - bits(a[1] + b[1]), i, i + 1 + j) for i, a in enumerate(groups) for j, b in enumerate(groups[i + 1 :])),
                 key=lambda t: t[0],
             )
             if best[0] <= 0:
                 break
             _, i, j = best
-            merged = (groups[i][0] + groups[j][0], groups[i][1] + groups[j][1], gram_bits(groups[i][1] + groups[j][1]))
+            merged = (groups[i][0] + groups[j][0], groups[i][1] + groups[j][1], bits(groups[i][1] + groups[j][1]))
             groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [merged]
         members = sorted(sorted(g[0]) for g in groups)
         labels = [next(k for k, m in enumerate(members) if c in m) for c in range(len(grams))]
@@ -173,9 +218,9 @@ def partition_contexts(grams: list[np.ndarray], alpha: float = 0.05, greedy: boo
     from shiftscope.functions.numerics import components
 
     limit = -math.log2(alpha)
-    pairs = [(i, j) for i in range(len(grams)) for j in range(i + 1, len(grams)) if gram_bits(grams[i] + grams[j]) - own[i] - own[j] <= limit]
+    pairs = [(i, j) for i in range(len(grams)) for j in range(i + 1, len(grams)) if bits(grams[i] + grams[j]) - own[i] - own[j] <= limit]
     labels = components(len(grams), pairs)
-    total = sum(gram_bits(sum(g for g, l in zip(grams, labels, strict=True) if l == k)) for k in set(labels))
+    total = sum(bits(sum(g for g, l in zip(grams, labels, strict=True) if l == k)) for k in set(labels))
     return total, labels
 
 

@@ -61,8 +61,8 @@ class LaggedRegimes:
         # as many rows as windows: broadcast by construction
         return lagged.join(F.broadcast(table), (F.col(self.t) >= F.col("t0")) & (F.col(self.t) < F.col("tn")))
 
-    def _score(self, table: dict[tuple, np.ndarray]) -> float:
-        return partition_contexts([table[k] for k in sorted(table)], self.alpha)[0]
+    def _score(self, table: dict[tuple, np.ndarray], basis: Basis) -> float:
+        return partition_contexts([table[k] for k in sorted(table)], self.alpha, bits=basis.bits)[0]
 
     def _search(self, rows: DataFrame, basis: Basis) -> None:
         """Greedy forward edges over all lags, then backward elimination; lag-0 edges must stay acyclic."""
@@ -72,7 +72,7 @@ class LaggedRegimes:
         def load(wanted):
             missing = sorted({(j, tuple(sorted(p))) for j, p in wanted} - set(cache))
             found = {c: whole.of(c) for c in missing} if whole else scoring.grams(rows, self.columns, by, missing, basis)
-            cache.update({c: self._score(g) for c, g in found.items()})
+            cache.update({c: self._score(g, basis) for c, g in found.items()})
 
         score = lambda j, p: cache[j, tuple(sorted(p))]
         parents: dict[int, set[int]] = {j: {n + j} if self.max_lag else set() for j in range(n)}
@@ -146,7 +146,7 @@ class LaggedRegimes:
         labels = []
         for table in tables.values():
             names = sorted(table, key=lambda k: int(k[0]))
-            per = dict(zip((int(k[0]) for k in names), partition_contexts([table[k] for k in names], self.alpha)[1], strict=True))
+            per = dict(zip((int(k[0]) for k in names), partition_contexts([table[k] for k in names], self.alpha, bits=basis.bits)[1], strict=True))
             labels.append([per.get(k, -1) for k in range(len(spans))])
         known: dict[tuple, int] = {}
         out: list[tuple[int, int, int]] = []

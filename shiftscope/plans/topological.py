@@ -22,7 +22,7 @@ from shiftscope.operators.labels import intervention_targets
 
 @dataclass
 class Topological:
-    """``kind``: the basis (lin, cub, spline, rff).  ``context``: a column, or None for one population."""
+    """``kind``: the basis (lin, cub, spline, rff, gp).  ``context``: a column, or None for one population."""
 
     nodes: list[str]
     context: str | None = None
@@ -78,7 +78,7 @@ class Topological:
             self._load([(node, parents)])
         table = self._grams[key]
         names = sorted(table)
-        total, labels = partition_contexts([table[k] for k in names], self.alpha, self.greedy_groups)
+        total, labels = partition_contexts([table[k] for k in names], self.alpha, self.greedy_groups, self._basis.bits)
         return total, {"" if not k else k[0]: label for k, label in zip(names, labels, strict=True)}
 
     def _next(self, left: list[int]) -> int:

@@ -235,8 +235,8 @@ def link_strengths(df: DataFrame, series: str, t: str, links: Links, windows: li
         ps = tuple(sorted(at[p] for p in parents_of(links, node)))
         wanted += [(node, None, (at[node], ps)), *((node, columns[p], (at[node], tuple(q for q in ps if q != p))) for p in ps)]
     found = scoring.grams(rows, columns, [series, "window"], sorted({w[2] for w in wanted}), basis)
-    whole = {(n, cell): float(gram_bits(g)) for n, p, c in wanted if p is None for cell, g in found[c].items()}
-    out = [(cell[0], int(cell[1]), n, p, whole[n, cell], float(gram_bits(g))) for n, p, c in wanted if p is not None for cell, g in found[c].items()]
+    whole = {(n, cell): float(basis.bits(g)) for n, p, c in wanted if p is None for cell, g in found[c].items()}
+    out = [(cell[0], int(cell[1]), n, p, whole[n, cell], float(basis.bits(g))) for n, p, c in wanted if p is not None for cell, g in found[c].items()]
     return df.sparkSession.createDataFrame(out, "series string, window int, child string, parent string, with_all double, without double")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftscope.operators import evaluation as ev, labels, moments
+from shiftscope.operators import evaluation as ev, labels, moments, resampling
 from shiftscope.plans.table_queries import CELLS, EDGES, GRAPHS, LABELS, NODE_LABELS, OTHER, QUERIES as DONE, _edges, _labels, _node_labels, _nodes, read, rounded
 
 QUERIES: dict = {}
@@ -326,6 +326,39 @@ def shuffled_column(spark, sf_dir):
     return moments.shuffled(rows, "k", "q", 1)
 
 
+#: chances of at most 0, 1, ... copies, as SQL
+_COPIES = " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(resampling.poisson_bounds()))
+
+
+@query(f"""WITH d AS (SELECT l_returnflag, l_extendedprice AS v, rep, ('0x' || substr(md5('3 ' || (rep // 4) || ' ' || l_orderkey), (1 + 8 * (rep % 4))::INT, 8))::BIGINT / 4294967296.0 AS u FROM lineitem, range(20) r(rep)),
+w AS (SELECT l_returnflag, rep, v, CASE {_COPIES} ELSE {resampling.MOST_COPIES} END AS w FROM d)
+SELECT l_returnflag, rep::INT AS rep, sum(w)::BIGINT AS n, round(sum(w * v) / sum(w), 4) AS price FROM w GROUP BY 1, 2""")
+def bootstrap_means(spark, sf_dir):
+    """Mean price per return flag in twenty samples of the orders, drawn with replacement."""
+    rows = resampling.bootstrap(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", ["l_extendedprice"], 20, 3)
+    return rows.select("l_returnflag", "rep", F.col("n").cast("long").alias("n"), F.round("mean_l_extendedprice", 4).alias("price"))
+
+
+@query(f"""WITH d AS (SELECT o_orderpriority, o_totalprice AS v, rep, ('0x' || substr(md5('5 ' || (rep // 4) || ' ' || o_orderkey), (1 + 8 * (rep % 4))::INT, 8))::BIGINT / 4294967296.0 AS u FROM orders, range(40) r(rep)),
+w AS (SELECT o_orderpriority, rep, v, CASE {_COPIES} ELSE {resampling.MOST_COPIES} END AS w FROM d), m AS (SELECT o_orderpriority, rep, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2)
+SELECT o_orderpriority, count(*) AS reps, round(avg(m), 2) AS centre, round(stddev_samp(m), 2) AS error, round(quantile_cont(m, 0.025), 2) AS low, round(quantile_cont(m, 0.975), 2) AS high FROM m GROUP BY 1""")
+def bootstrap_intervals(spark, sf_dir):
+    """Error and interval of the mean order value per priority, from forty samples drawn with replacement."""
+    reps = resampling.bootstrap(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey", ["o_totalprice"], 40, 5)
+    found = resampling.intervals(reps, ["o_orderpriority"], "mean_o_totalprice")
+    return found.select("o_orderpriority", "reps", *(F.round(c, 2).alias(c) for c in ("centre", "error", "low", "high")))
+
+
+@query("""WITH p AS (SELECT c_nationkey, c_custkey AS x, avg(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS y FROM customer GROUP BY 1, 2),
+w AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER l AS xl, last_value(y IGNORE NULLS) OVER l AS yl, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER r AS xr, first_value(y IGNORE NULLS) OVER r AS yr FROM p
+WINDOW l AS (PARTITION BY c_nationkey ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY c_nationkey ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT c_nationkey, x AS c_custkey, round(CASE WHEN y IS NOT NULL THEN y WHEN xl IS NULL THEN yr WHEN xr IS NULL THEN yl ELSE yl + (yr - yl) * (x - xl) / (xr - xl) END, 3) AS balance FROM w""")
+def interpolated_balances(spark, sf_dir):
+    """Balances of each nation's customers by number, those that are not positive taken from the line between their neighbours."""
+    rows = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("y"))
+    return resampling.interpolated(rows, "c_custkey", "y", ["c_nationkey"]).select("c_nationkey", "c_custkey", F.round("value", 3).alias("balance"))
+
+
 @query(f"""WITH {EDGES}, {OTHER}, {SETS}, l AS (SELECT DISTINCT k.graph, k.set_id, i.l_linenumber AS item, i.l_returnflag AS label FROM k JOIN (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) i ON i.l_orderkey = k.graph),
 s AS (SELECT graph, node, set_id, true AS own FROM k UNION ALL SELECT g.graph, g.dst, k.set_id, false FROM g JOIN k ON k.graph = g.graph AND k.node = g.src WHERE (g.graph, g.src, g.dst) NOT IN (SELECT * FROM h)), t AS (SELECT graph, node, set_id, bool_or(own) AS own FROM s GROUP BY 1, 2, 3)
 SELECT t.graph, node, item, coalesce(string_agg(set_id::VARCHAR || ':' || label, '|' ORDER BY set_id) FILTER (WHERE own), '') AS true_label, string_agg(set_id::VARCHAR || ':' || label, '|' ORDER BY set_id) AS observed_label FROM t JOIN l USING (graph, set_id) GROUP BY 1, 2, 3""")

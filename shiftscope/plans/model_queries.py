@@ -7,12 +7,13 @@ the line number as noise, that again with the tax as noise, and the discount.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from shiftscope.functions import independence as ci, scores
 from shiftscope.functions.changepoints import pelt
 from shiftscope.operators import em, kernel_tests, neighbours, row_tests, scoring
 from shiftscope.plans import confounding, constraint, mechanism_shifts, mixtures, ordering, window_tests
+from shiftscope.plans.hybrid import HybridLagged
 from shiftscope.plans.lagged import LaggedRegimes
 from shiftscope.plans.topological import Topological
 
@@ -49,6 +50,14 @@ def _hours(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("context", "t").pivot("kind", ["browse", "buy", "other"]).agg(F.sum("value")).fillna(0.0)
 
 
+def _planted_hours(spark, sf_dir: str) -> DataFrame:
+    """Series with structure made of the hourly sums: y follows x with a sign that turns at hour 216, z follows y with one that turns at hour 432."""
+    order = W.partitionBy("context").orderBy("t")
+    hours = _hours(spark, sf_dir).select("context", "t", F.col("browse").alias("x"), "buy", "other")
+    hours = hours.withColumn("y", F.when(F.col("t") < 216, 2.0).otherwise(-2.0) * F.coalesce(F.lag("x").over(order), F.lit(0.0)) + F.col("buy"))
+    return hours.select("context", "t", "x", "y", (F.when(F.col("t") < 432, 1.5).otherwise(-1.5) * F.coalesce(F.lag("y").over(order), F.lit(0.0)) + F.col("other")).alias("z"))
+
+
 @sql("""WITH s AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx FROM lineitem), r AS (SELECT l_returnflag, (l_quantity - mx) / sx AS z, l_extendedprice AS y FROM lineitem, s),
 g AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(z) AS sz, sum(z * z) AS szz, sum(y) AS sy, sum(z * y) AS szy, sum(y * y) AS syy FROM r GROUP BY 1),
 w AS (SELECT *, (n * szy - sz * sy) / (n * (szz + 0.001 * n) - sz * sz) AS b FROM g), v AS (SELECT *, (sy - b * sz) / n AS a FROM w),
@@ -153,8 +162,11 @@ def pelt_changepoints(spark, sf_dir):
 
 
 def topological_contexts(spark, sf_dir):
-    """Graph over the measures with return flags as contexts."""
-    return Topological(CHAIN, "l_returnflag", "lin").fit(_chain(spark, sf_dir)).edges(spark)
+    """Graph over a chain of curved mechanisms, one of which turns with a return flag, by process scores of all line items."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    w = F.when(F.col("l_returnflag") == "R", -20.0).otherwise(20.0) * F.sin(F.col("l_quantity") / 8) + 3 * F.col("l_linenumber")
+    rows = rows.select("l_returnflag", F.col("l_quantity").alias("q"), w.alias("w"), (w * w / 40 + 200 * F.col("l_tax")).alias("v"))
+    return Topological(["q", "w", "v"], "l_returnflag", "gp").fit(rows).edges(spark)
 
 
 def topological_changes(spark, sf_dir):
@@ -163,11 +175,17 @@ def topological_changes(spark, sf_dir):
 
 
 LINKS = {"browse": [("browse", 1)], "buy": [("browse", 0), ("buy", 1)], "other": [("other", 1)]}
+PLANTED = {"x": [("x", 1)], "y": [("x", 1)], "z": [("y", 1)]}
 
 
 def lagged_regime_edges(spark, sf_dir):
-    """Lagged graph of the hourly sums, with regimes of three days at least."""
-    return LaggedRegimes(["browse", "buy", "other"], max_lag=1, min_duration=72).fit(_hours(spark, sf_dir)).edges(spark)
+    """Lagged graph of the planted series, with regimes of three days at least."""
+    return LaggedRegimes(["x", "y", "z"], max_lag=1, min_duration=72).fit(_planted_hours(spark, sf_dir)).edges(spark)
+
+
+def own_segments(spark, sf_dir):
+    """Segments of each mechanism of the planted series, found with the graph: every child has cuts of its own."""
+    return HybridLagged(["x", "y", "z"], max_lag=2, grain=36, min_duration=72).fit(_planted_hours(spark, sf_dir)).segments(spark)
 
 
 def _length(series: DataFrame) -> int:
@@ -189,15 +207,26 @@ def window_regimes(spark, sf_dir):
 
 
 def cut_search(spark, sf_dir):
-    """Cuts of the hourly sums on a grid of three days, as long as they save bits."""
-    cuts, bits = window_tests.greedy_cuts(_hours(spark, sf_dir), "context", "t", LINKS, 72)
+    """Cuts of the planted series on a grid of three days, as long as they save bits."""
+    cuts, bits = window_tests.greedy_cuts(_planted_hours(spark, sf_dir), "context", "t", PLANTED, 72)
     return spark.createDataFrame([(int(c), float(bits)) for c in cuts], "cut int, bits double")
 
 
 def confounder_pairs(spark, sf_dir):
-    """Which measures' mechanisms change between the same line numbers."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", *COLS)
-    return confounding.confounders(rows, "l_linenumber", {"l_quantity": [], "l_extendedprice": ["l_quantity"], "l_discount": [], "l_tax": ["l_discount"]})
+    """Pairs of mechanisms that change between the same line numbers: those of a and b do, that of c changes elsewhere."""
+
+    def by_line(slopes: dict[int, float], rest: float):
+        return F.coalesce(*(F.when(F.col("l_linenumber") == k, s) for k, s in slopes.items()), F.lit(rest))
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_linenumber",
+        F.col("l_quantity").alias("q"),
+        F.col("l_discount").alias("d"),
+        (by_line({2: 3.0, 5: -2.0}, 1.0) * F.col("l_quantity") + 100 * F.col("l_tax")).alias("a"),
+        (by_line({2: -300.0, 5: 500.0}, 100.0) * F.col("l_discount") + 10 * F.col("l_tax")).alias("b"),
+        (by_line({3: 2.0, 6: 3.0, 7: -1.0}, 0.5) * F.col("l_quantity") + 300 * F.col("l_discount")).alias("c"),
+    )
+    return confounding.confounders(rows, "l_linenumber", {"a": ["q"], "b": ["d"], "c": ["q"]})
 
 
 def mixture_labels(spark, sf_dir):
@@ -269,7 +298,7 @@ def sort_regress_edges(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, neighbour_information, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, window_strengths, window_regimes, cut_search,
+        linear_bits, pc_by_flag, gp_bits, spline_bits, independence_tests, neighbour_information, pelt_changepoints, topological_contexts, topological_changes, lagged_regime_edges, own_segments, window_strengths, window_regimes, cut_search,
         confounder_pairs, mixture_labels, hidden_slopes, minimal_shifts, flag_shifts, setting_marks, missing_value_graph, pc_graph, joint_context_graph, cam_edges, sort_regress_edges,
     )
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftscope.operators import evaluation as ev, labels, moments, resampling
+from shiftscope.operators import evaluation as ev, labels, moments, resampling, separation
 from shiftscope.plans.table_queries import CELLS, EDGES, GRAPHS, LABELS, NODE_LABELS, OTHER, QUERIES as DONE, _edges, _labels, _node_labels, _nodes, read, rounded
 
 QUERIES: dict = {}
@@ -326,6 +326,37 @@ def shuffled_column(spark, sf_dir):
     return moments.shuffled(rows, "k", "q", 1)
 
 
+@query(f"""WITH RECURSIVE {EDGES}, {OTHER}, v AS MATERIALIZED (SELECT DISTINCT l_orderkey AS graph, l_linenumber AS node FROM lineitem), gm AS MATERIALIZED (SELECT * FROM g), hm AS MATERIALIZED (SELECT * FROM h),
+ag AS (SELECT graph, src AS a, dst AS d FROM gm UNION SELECT c.graph, c.a, e.dst FROM ag c JOIN gm e ON e.graph = c.graph AND e.src = c.d), ah AS (SELECT graph, src AS a, dst AS d FROM hm UNION SELECT c.graph, c.a, e.dst FROM ah c JOIN hm e ON e.graph = c.graph AND e.src = c.d),
+p AS MATERIALIZED (SELECT a.graph, a.node AS x, b.node AS y, EXISTS (SELECT 1 FROM hm e WHERE e.graph = a.graph AND ((e.src = a.node AND e.dst = b.node) OR (e.src = b.node AND e.dst = a.node))) AS near,
+ EXISTS (SELECT 1 FROM gm e WHERE e.graph = a.graph AND ((e.src = a.node AND e.dst = b.node) OR (e.src = b.node AND e.dst = a.node))) AS near_true,
+ EXISTS (SELECT 1 FROM ah e WHERE e.graph = a.graph AND e.a = b.node AND e.d = a.node) AS back FROM v a JOIN v b ON a.graph = b.graph AND a.node < b.node),
+z AS MATERIALIZED (SELECT p.graph, p.x, p.y, e.src AS node FROM p JOIN hm e ON e.graph = p.graph AND e.dst = CASE WHEN p.back THEN p.x ELSE p.y END WHERE NOT p.near),
+f AS MATERIALIZED (SELECT p.graph, p.x, p.y, v.node, EXISTS (SELECT 1 FROM z WHERE z.graph = p.graph AND z.x = p.x AND z.y = p.y AND z.node = v.node) AS given,
+ EXISTS (SELECT 1 FROM z LEFT JOIN ag ON ag.graph = z.graph AND ag.d = z.node WHERE z.graph = p.graph AND z.x = p.x AND z.y = p.y AND (z.node = v.node OR ag.a = v.node)) AS above FROM p JOIN v ON v.graph = p.graph WHERE NOT p.near),
+m AS MATERIALIZED (SELECT graph, dst AS node, src AS next, true AS up FROM gm UNION ALL SELECT graph, src, dst, false FROM gm),
+r AS (SELECT graph, x, y, x AS node, true AS up FROM p WHERE NOT near UNION SELECT r.graph, r.x, r.y, m.next, m.up FROM r JOIN f ON f.graph = r.graph AND f.x = r.x AND f.y = r.y AND f.node = r.node JOIN m ON m.graph = r.graph AND m.node = r.node
+ WHERE CASE WHEN r.up OR NOT m.up THEN NOT f.given ELSE f.above END),
+w AS (SELECT DISTINCT graph, x, y FROM r WHERE node = y)
+SELECT p.graph, count(*) AS pairs, sum(CASE WHEN near THEN NOT near_true ELSE w.graph IS NOT NULL END::INT)::BIGINT AS wrong FROM p LEFT JOIN w ON w.graph = p.graph AND w.x = p.x AND w.y = p.y GROUP BY 1""")
+def separation_distances(spark, sf_dir):
+    """Pairs of every order's graph whose separator in another graph over its line items fails, and pairs adjacent there alone."""
+    found = separation.distances(_line_numbers(spark, sf_dir), _edges(spark, sf_dir), _edges(spark, sf_dir, True), ("separation",))
+    return found.where("nodes > 1").select("graph", (F.col("nodes") * (F.col("nodes") - 1) / 2).cast("long").alias("pairs"), F.col("separation").alias("wrong"))
+
+
+def adjustment_distances(spark, sf_dir):
+    """Ordered pairs of every order's graph whose effect another graph identifies wrongly, by parents and by ancestors, and statements on which both differ."""
+    return separation.distances(_line_numbers(spark, sf_dir), _edges(spark, sf_dir), _edges(spark, sf_dir, True), separation.MEASURES[1:])
+
+
+QUERIES["adjustment_distances"] = adjustment_distances
+
+
+def _line_numbers(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("node"))
+
+
 #: chances of at most 0, 1, ... copies, as SQL
 _COPIES = " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(resampling.poisson_bounds()))
 

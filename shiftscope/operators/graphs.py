@@ -7,14 +7,25 @@ round by a reliable checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names, or in its warehouse, which all executors share."""
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names, which all executors share; a session of one machine without any gets one in its warehouse."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

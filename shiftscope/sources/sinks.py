@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -16,6 +20,28 @@ def write_table(df: DataFrame, path: str, by: list[str] = (), kind: str = "parqu
         writer.format(kind).save(path)
 
 
+def write_named(df: DataFrame, path: str, name: str, order: str, columns: list[str], sep: str = ",", header: bool = True) -> int:
+    """One delimited file for each value of ``name`` (a file name), its rows in order; the number of files.
+
+    A file's rows are one task's work.  A file takes its name once it is whole, so a task
+    that runs twice leaves the same file.  Null fields are empty.
+    """
+    kinds = "file string, rows long"
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        made = f"{root}/_{uuid.uuid4().hex}"
+        part = part.sort_values(order, kind="stable")
+        with store.open_output_stream(made, compression=None) as out:
+            out.write(part[columns].to_csv(sep=sep, header=header, index=False, lineterminator="\n").encode())
+        store.move(made, f"{root}/{key[0]}")
+        return pd.DataFrame({"file": [key[0]], "rows": [len(part)]})
+
+    rows = df.select(name, *dict.fromkeys([order, *columns]))
+    return rows.groupBy(name).applyInPandas(run, kinds).agg(F.count(F.lit(1))).first()[0]
+
+
 def summary(results: DataFrame, keys: list[str], value: str = "value", weight: str | None = None, missing: float = -1.0) -> DataFrame:
     """Count, mean, median, variance and deviation of the present values per key; weighted mean if a weight is named."""
     present = F.when(F.col(value) != missing, F.col(value))

@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from shiftscope.plans import evaluation_queries, model_queries, table_queries
+from shiftscope.plans import evaluation_queries, file_queries, model_queries, table_queries
 
-ORACLE_SQL = table_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL | model_queries.ORACLE_SQL
-QUERIES = {k: q for k, q in (table_queries.QUERIES | evaluation_queries.QUERIES | model_queries.QUERIES).items() if k in ORACLE_SQL}
+ORACLE_SQL = table_queries.ORACLE_SQL | evaluation_queries.ORACLE_SQL | model_queries.ORACLE_SQL | file_queries.ORACLE_SQL
+QUERIES = {k: q for k, q in (table_queries.QUERIES | evaluation_queries.QUERIES | model_queries.QUERIES | file_queries.QUERIES).items() if k in ORACLE_SQL}
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

@@ -75,32 +75,32 @@ def context_files(spark, sf_dir):
 
 
 #: link strengths of each priority by year and month: two nodes, lags 0 and 1
-LINKS = "s AS (SELECT left(o_orderpriority, 1) AS loc, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice), 2) AS a, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2, 3)"
+LINKS = "s AS (SELECT left(o_orderpriority, 1) AS loc, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(sum(o_totalprice), 2) AS a, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2, 3)"
 
 
 def _strengths(spark, sf_dir):
     path = _folder(spark, "strengths")
     rows = read(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("loc"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-    rows = rows.agg(F.round(F.avg("o_totalprice"), 2).alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    rows = rows.agg(F.round(F.sum("o_totalprice"), 2).alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
     cells = F.posexplode(F.array(F.struct((F.col("a") * 0).alias("c0"), F.col("a").alias("c1")), F.struct(F.col("n").alias("c0"), (F.col("n") * 0).alias("c1")), F.struct((F.col("a") + F.col("n")).alias("c0"), F.col("n").alias("c1")), F.struct(F.col("a").alias("c0"), (F.col("a") - F.col("n")).alias("c1"))))
     named = rows.select(F.concat_ws("_", "loc", "year", F.lit("0"), F.concat("month", F.lit(".csv"))).alias("file"), cells.alias("row", "cells")).select("file", "row", "cells.*")
     sinks.write_named(named, path, "file", "row", ["c0", "c1"], header=False)
     return readers.strength_matrices(spark, f"{path}/*.csv", 2)
 
 
-@query(f"""WITH {LINKS} SELECT loc, year, month, parent, lag, child, w FROM s, LATERAL (SELECT unnest([0, 0, 1, 1, 0, 0, 1, 1]) AS parent, unnest([0, 0, 0, 0, 1, 1, 1, 1]) AS lag, unnest([0, 1, 0, 1, 0, 1, 0, 1]) AS child, unnest([a * 0, a, n, n * 0, a + n, n, a, a - n]) AS w)""")
+@query(f"""WITH {LINKS} SELECT loc, year, month, parent, lag, child, round(w, 3) AS w FROM s, LATERAL (SELECT unnest([0, 0, 1, 1, 0, 0, 1, 1]) AS parent, unnest([0, 0, 0, 0, 1, 1, 1, 1]) AS lag, unnest([0, 1, 0, 1, 0, 1, 0, 1]) AS child, unnest([a * 0, a, n, n * 0, a + n, n, a, a - n]) AS w)""")
 def strength_files(spark, sf_dir):
     """Strength matrices, a file per place, year and month, as links."""
-    return _strengths(spark, sf_dir).withColumn("w", F.col("w") + 0.0)
+    return _strengths(spark, sf_dir).withColumn("w", F.round("w", 3))
 
 
 @query(f"""WITH {LINKS}, m AS (SELECT loc, year, month, unnest([a, n]) AS w FROM s), y AS (SELECT loc, avg(w) AS w FROM m GROUP BY 1)
-SELECT loc, 'all' AS span, round(w, 4) AS w FROM y UNION ALL SELECT loc, '1995', round(avg(w), 4) FROM m WHERE year = 1995 GROUP BY 1 UNION ALL SELECT loc, '1995-03', round(avg(w), 4) FROM m WHERE year = 1995 AND month = 3 GROUP BY 1""")
+SELECT loc, 'all' AS span, round(w, 5) AS w FROM y UNION ALL SELECT loc, '1995', round(avg(w), 5) FROM m WHERE year = 1995 GROUP BY 1 UNION ALL SELECT loc, '1995-03', round(avg(w), 5) FROM m WHERE year = 1995 AND month = 3 GROUP BY 1""")
 def strength_file_means(spark, sf_dir):
     """Mean strength of one link per place: over all files, a year, and a month."""
     rows = _strengths(spark, sf_dir)
     spans = {"all": (None, None), "1995": (1995, None), "1995-03": (1995, 3)}
-    parts = [readers.strength_means(rows, 0, 1, *span).select("loc", F.lit(name).alias("span"), F.round("w", 4).alias("w")) for name, span in spans.items()]
+    parts = [readers.strength_means(rows, 0, 1, *span).select("loc", F.lit(name).alias("span"), F.round("w", 5).alias("w")) for name, span in spans.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

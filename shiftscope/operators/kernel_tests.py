@@ -42,7 +42,7 @@ class FourierMap:
 
 
 def scaled(rows: DataFrame, by: str, cols: list[str], keep: list[str] = ()) -> DataFrame:
-    """``by``, ``keep`` and the columns less their group's mean, over the median distance of its rows.
+    """``by``, ``keep`` and the columns less their group's mean, over the median distance of its rows; equal rows once, with their number ``_w``.
 
     The distance comes from ``QUANTILES`` quantiles of each group, whatever its size.
     """
@@ -60,7 +60,13 @@ def scaled(rows: DataFrame, by: str, cols: list[str], keep: list[str] = ()) -> D
     schema = ", ".join([f"_g string", *(f"_{n}{i} double" for i in range(len(cols)) for n in "ms")])
     stats = rows.sparkSession.createDataFrame(table, schema)  # one row per group, as many as there are results
     both = rows.join(F.broadcast(stats), F.col(by).eqNullSafe(F.col("_g")))
-    return both.select(by, *keep, *(((F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(c) for i, c in enumerate(cols)))
+    level = both.select(by, *keep, *(((F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(c) for i, c in enumerate(cols)))
+    return level.groupBy(by, *keep, *cols).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+
+
+def _weighted(block: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Functions of rows times the root of the rows' numbers, which stand last."""
+    return block * np.sqrt(v[:, -1:])
 
 
 def _p(stat: float, spectrum: np.ndarray) -> float:
@@ -87,21 +93,21 @@ def kci(rows: DataFrame, by: str, x: list[str], y: list[str], z: list[str] = (),
         return given, np.hstack([fx(np.hstack([v[:, at_x], v[:, at_z] / 2])), fy(v[:, at_y])])
 
     def first(v: np.ndarray) -> list[np.ndarray]:
-        block = np.hstack(parts(v))
+        block = _weighted(np.hstack(parts(v)), v)
         return [block.T @ block]
 
     wide = 1 + GIVEN * len(z)
-    weights = {k[1]: _ridge(g[:wide, :wide], g[:wide, wide:], ridge) for k, g in scoring.summed(rows, cols, [by], first).items()}
+    weights = {k[1]: _ridge(g[:wide, :wide], g[:wide, wide:], ridge) for k, g in scoring.summed(rows, [*cols, "_w"], [by], first).items()}
 
     def second(key: tuple, v: np.ndarray) -> list[np.ndarray]:
         given, tested = parts(v)
         left = tested - given @ weights[key[0]]
         product = (left[:, :TESTED, None] * left[:, None, TESTED:]).reshape(len(v), -1)
-        block = np.hstack([np.ones((len(v), 1)), product])
+        block = _weighted(np.hstack([np.ones((len(v), 1)), product]), v)
         return [block.T @ block]
 
     out = {}
-    for (_, group), g in scoring.summed(rows, cols, [by], second, keyed=True).items():
+    for (_, group), g in scoring.summed(rows, [*cols, "_w"], [by], second, keyed=True).items():
         n = g[0, 0]
         stat = float(g[0, 1:] @ g[0, 1:]) / n
         out[group] = (stat, _p(stat, g[1:, 1:] / n)) if n >= LEAST else (0.0, 1.0)
@@ -126,11 +132,11 @@ def mmd(rows: DataFrame, by: str, cols: list[str], side: str, seed: int = 0) ->
     f = FourierMap(len(cols), GIVEN, seed)
 
     def block(v: np.ndarray) -> list[np.ndarray]:
-        b = np.hstack([np.ones((len(v), 1)), f(v)])
+        b = _weighted(np.hstack([np.ones((len(v), 1)), f(v[:, :-1])]), v)
         return [b.T @ b]
 
     out = {}
-    for group, sides in _sides(scoring.summed(_with_sides(rows, by, cols, side), cols, [by, side], block)).items():
+    for group, sides in _sides(scoring.summed(_with_sides(rows, by, cols, side), [*cols, "_w"], [by, side], block)).items():
         if not sides:
             out[group] = (0.0, 1.0)
             continue
@@ -158,20 +164,20 @@ def kcd(rows: DataFrame, by: str, x: list[str], y: list[str], side: str, ridge:
         return np.hstack([np.ones((len(v), 1)), fx(v[:, at_x])]), fy(v[:, at_y])
 
     def first(v: np.ndarray) -> list[np.ndarray]:
-        block = np.hstack(parts(v))
+        block = _weighted(np.hstack(parts(v)), v)
         return [block.T @ block]
 
-    sides = _sides(scoring.summed(rows, cols, [by, side], first))
+    sides = _sides(scoring.summed(rows, [*cols, "_w"], [by, side], first))
     weights = {k: _ridge(sum(s)[:wide, :wide], sum(s)[:wide, wide:], ridge) for k, s in sides.items() if s}
 
     def second(key: tuple, v: np.ndarray) -> list[np.ndarray]:
         if key[0] not in weights:
             return [np.zeros((wide * TESTED, wide * TESTED))]
         given, tested = parts(v)
-        score = (given[:, :, None] * (tested - given @ weights[key[0]])[:, None, :]).reshape(len(v), -1)
+        score = _weighted((given[:, :, None] * (tested - given @ weights[key[0]])[:, None, :]).reshape(len(v), -1), v)
         return [score.T @ score]
 
-    spread = scoring.summed(rows, cols, [by, side], second, keyed=True)
+    spread = scoring.summed(rows, [*cols, "_w"], [by, side], second, keyed=True)
     rows.unpersist()
     out = {}
     for group, s in sides.items():

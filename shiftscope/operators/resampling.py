@@ -32,11 +32,13 @@ def copies(uniform: Column) -> Column:
     return out
 
 
-def draws(key: str, reps: int, seed: int) -> Column:
-    """Numbers between 0 and 1 for each repetition: 32 bits each of the MD5 of seed, block of repetitions and key as text."""
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((reps - 1) // PER_HASH)), lambda b: F.md5(F.concat(F.lit(f"{seed} "), b.cast("string"), F.lit(" "), F.col(key).cast("string"))))
-    at = F.sequence(F.lit(0), F.lit(reps - 1))
-    return F.transform(at, lambda r: F.conv(F.substring(F.element_at(blocks, (F.floor(r / PER_HASH) + 1).cast("int")), (1 + 8 * (r % PER_HASH)).cast("int"), F.lit(8)), 16, 10).cast("double") / float(1 << 32))
+def drawn(rows: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
+    """``rows`` once for each repetition (``rep``) with its copies (``_w``): from 32 bits each of the MD5 of seed, block of repetitions and key as text."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // PER_HASH))))
+    blocks = blocks.withColumn("_md5", F.md5(F.concat(F.lit(f"{seed} "), F.col("_block").cast("string"), F.lit(" "), F.col(key).cast("string"))))
+    parts = F.array(*(F.conv(F.substring("_md5", 1 + 8 * k, 8), 16, 10).cast("double") / float(1 << 32) for k in range(PER_HASH)))
+    each = blocks.select(*rows.columns, "_block", F.posexplode(parts).alias("_k", "_u")).withColumn("rep", F.col("_block") * PER_HASH + F.col("_k"))
+    return each.where(F.col("rep") < reps).select(*rows.columns, "rep", copies(F.col("_u")).alias("_w"))
 
 
 def bootstrap(df: DataFrame, by: list[str], key: str, values: list[str], reps: int = 100, seed: int = 0) -> DataFrame:
@@ -44,12 +46,14 @@ def bootstrap(df: DataFrame, by: list[str], key: str, values: list[str], reps: i
 
     Rows of one key are drawn together.  A draw of n rows with replacement is held by
     Poisson numbers of copies, so tasks need not know each other: weighted sums
-    leave each task, one row per group and repetition.  Null values count in no mean,
-    rows of a null key in no sample; a group that a repetition draws nothing of has n 0.
+    leave each task, one row per group and repetition.  Rows of a key are summed before they
+    are drawn.  Null values count in no mean, rows of a null key in no sample; a group
+    that a repetition draws nothing of has n 0.
     """
-    rows = df.where(F.col(key).isNotNull()).select(*by, *values, F.posexplode(F.transform(draws(key, reps, seed), copies)).alias("rep", "_w"))
-    sums = [e for v in values for e in (F.sum(F.col("_w") * F.col(v)).alias(f"_s_{v}"), F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"_n_{v}"))]
-    held = rows.groupBy(*by, "rep").agg(F.sum("_w").alias("n"), *sums)
+    sums = [e for v in values for e in (F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}"))]
+    rows = df.where(F.col(key).isNotNull()).groupBy(*by, F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), *sums)
+    total = [e for v in values for e in (F.sum(F.col("_w") * F.col(f"_s_{v}")).alias(f"_s_{v}"), F.sum(F.col("_w") * F.col(f"_n_{v}")).alias(f"_n_{v}"))]
+    held = drawn(rows, "_key", reps, seed).groupBy(*by, "rep").agg(F.sum(F.col("_w") * F.col("_rows")).alias("n"), *total)
     return held.select(*by, "rep", "n", *(F.when(F.col(f"_n_{v}") > 0, F.col(f"_s_{v}") / F.col(f"_n_{v}")).alias(f"mean_{v}") for v in values))
 
 

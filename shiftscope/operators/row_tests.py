@@ -16,15 +16,20 @@ from shiftscope.functions.numerics import normal_sf
 from shiftscope.operators import scoring
 from shiftscope.functions.scores import Basis
 
-CELLS = 128
+#: ranges of a group, a power of two
+CELLS = 256
 
 
 def _cell(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Adds ``_cell``, ranges of ``value`` that hold about as many rows each within their group, in order."""
+    """Adds ``_cell``, ranges of ``value`` that hold about as many rows each within their group, in order: the number of bounds below it, by halving."""
     points = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
-    bounds = rows.groupBy(by).agg(F.percentile_approx(value, points, 10_000).alias("_bounds"))  # CELLS numbers per group
-    cell = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    return rows.join(F.broadcast(bounds), by).withColumn("_cell", cell).drop("_bounds")
+    bounds = rows.groupBy(by).agg(F.percentile_approx(value, points, 2000).alias("_bounds"))  # CELLS numbers per group
+    rows = rows.join(F.broadcast(bounds), by).withColumn("_cell", F.lit(0))
+    step = CELLS // 2
+    while step:
+        rows = rows.withColumn("_cell", F.col("_cell") + F.when(F.get("_bounds", F.col("_cell") + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    return rows.drop("_bounds")
 
 
 def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -17,18 +17,18 @@ def two_slopes(n, seed=0):
 
 
 def test_planted_regressions_over_all_rows(spark):
-    data = two_slopes(30_000)
+    data = two_slopes(12_000)
     df = spark.createDataFrame(data).repartition(7)
     models = em.fit(df, "y", ["x"], "lin", 4, most=2000)
     best = models[0]
-    assert best.k == 2 and best.n == 30_000 and len(models) == 4
+    assert best.k == 2 and best.n == 12_000 and len(models) == 4
     slopes = sorted(w[1] * best.scale[1] / best.scale[0] for w in best.weights)
     assert slopes == pytest.approx([-2, 3], abs=0.02)
     labels = em.labelled(df, ["row", "z"], "y", ["x"], best).toPandas()
-    assert len(labels) == 30_000 and max((labels.label == labels.z).mean(), (labels.label != labels.z).mean()) > 0.999
+    assert len(labels) == 12_000 and max((labels.label == labels.z).mean(), (labels.label != labels.z).mean()) > 0.999
     assert np.allclose([sum(p) for p in labels.posterior[:50]], 1)
     table = em.components(spark, best).collect()
-    assert [r.component for r in table] == [0, 1] and sum(r["size"] for r in table) == pytest.approx(30_000) and table[0].spread == pytest.approx(4, rel=0.1)
+    assert [r.component for r in table] == [0, 1] and sum(r["size"] for r in table) == pytest.approx(12_000) and table[0].spread == pytest.approx(4, rel=0.1)
 
 
 def test_same_as_one_array(spark):

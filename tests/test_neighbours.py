@@ -25,8 +25,8 @@ def brute_radius(x, w, k):
 @pytest.mark.parametrize("kind", ["even", "clustered", "ties"])
 def test_distances(spark, kind):
     rng = np.random.default_rng(1)
-    n = 5000
-    x = {"even": rng.uniform(size=(n, 2)), "clustered": np.concatenate([rng.normal(0, 1e-3, (n - 500, 2)), rng.normal(0, 100, (500, 2))]), "ties": np.concatenate([np.zeros((n // 3, 2)), rng.integers(0, 9, (n - n // 3, 2)) / 4.0])}[kind]
+    n = 5000 if kind == "even" else 1500
+    x = {"even": rng.uniform(size=(n, 2)), "clustered": np.concatenate([rng.normal(0, 1e-3, (n - 300, 2)), rng.normal(0, 100, (300, 2))]), "ties": np.concatenate([np.zeros((n // 3, 2)), rng.integers(0, 9, (n - n // 3, 2)) / 4.0])}[kind]
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(g=np.where(np.arange(n) % 5, "u", None))).repartition(4)
     points = N.points_of(df, "g", ["a", "b"]).persist()
     got = N.distances(points, ["x0", "x1"], 4).toPandas()

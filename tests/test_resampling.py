@@ -12,7 +12,7 @@ from shiftscope.operators import resampling as R
 def test_copies_follow_a_poisson_distribution(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.range(20_000).select("id", F.posexplode(F.transform(R.draws("id", 6, 1), R.copies)).alias("rep", "w"))
+    rows = R.drawn(spark.range(20_000), "id", 6, 1).withColumnRenamed("_w", "w")
     got = rows.groupBy("rep").agg(F.avg("w").alias("mean"), F.variance("w").alias("var"), F.avg((F.col("w") == 0).cast("int")).alias("none")).collect()
     assert len(got) == 6
     for r in got:

@@ -91,10 +91,12 @@ class Mixture:
         whole = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
         return np.exp(logs - whole), float(whole.sum())
 
-    def sums(self, x: np.ndarray) -> list[np.ndarray]:
-        """The cross products that each component answers for, and the log likelihood."""
+    def sums(self, x: np.ndarray, whole: bool = False) -> list[np.ndarray]:
+        """The cross products that each component answers for (with ``whole``: of the rows that are likeliest its own), and the log likelihood."""
         f = features(self.standard(x), self.kind)
         post, value = self.posterior(f)
+        if whole:
+            post = np.eye(self.k)[post.argmax(1)]
         return [*((f * post[:, [j]]).T @ f for j in range(self.k)), np.array([[value]])]
 
     def step(self, sums: list[np.ndarray]) -> Mixture:
@@ -172,6 +174,20 @@ def fit(df: DataFrame, node: str, parents: list[str], kind: str = "lin", k_max:
     return sorted(done, key=lambda m: (m.bic, m.k))
 
 
+def assigned(df: DataFrame, node: str, parents: list[str], model: Mixture) -> Mixture:
+    """The components made of the rows that are likeliest their own, in one pass.
+
+    Posteriors of a floored variance leave every component a trace of the others' rows;
+    these traces add up with the table, counts of rows do not have them.
+    """
+    cols = [*parents, node]
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
+    table = scoring.summed(rows, rows.columns, [], lambda x: model.sums(x, True))
+    found = model.step([table[j,] for j in range(model.k)])
+    found.log_likelihood, found.n = float(table[model.k,][0, 0]), model.n
+    return found
+
+
 def labelled(df: DataFrame, keep: list[str], node: str, parents: list[str], model: Mixture) -> DataFrame:
     """``keep`` columns with label and posterior of every row; null where a column is null."""
     cols = [*parents, node]

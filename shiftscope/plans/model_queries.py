@@ -243,7 +243,8 @@ def hidden_slopes(spark, sf_dir):
     slope = F.when(F.col("l_returnflag") == "A", 3.0).when(F.col("l_returnflag") == "N", -2.0).otherwise(0.5)
     rows = _lineitem(spark, sf_dir).select(F.col("l_quantity").alias("q"), (slope * F.col("l_quantity") + 3 * F.col("l_tax")).alias("y"))
     models = em.fit(rows, "y", ["q"], "lin", k_max=4)
-    found = [(int(round(share * models[0].n)), round(b, 3), round(a, 3)) for share, (a, b) in zip(models[0].shares.tolist(), models[0].lines(), strict=True)] if models else []
+    model = em.assigned(rows, "y", ["q"], models[0]) if models else None
+    found = [(int(round(share * model.n)), round(b, 3), round(a, 3)) for share, (a, b) in zip(model.shares.tolist(), model.lines(), strict=True)] if model else []
     return spark.createDataFrame(found, "n long, slope double, intercept double")
 
 

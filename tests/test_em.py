@@ -81,3 +81,15 @@ def test_edges(spark):
     assert best.n == 50 and best.k == 1
     rows = em.labelled(same, ["row"], "y", ["x"], best).collect()
     assert [r.label for r in rows] == [0] * 50 + [None]
+
+
+def test_assigned_rows_are_whole(spark):
+    """Close rows share their posteriors, so shares are no counts of rows; rows assigned whole are."""
+    rows = [(x, slope * x) for slope, n in ((3.0, 300), (-3.0, 100)) for x in (0.5, 50.0) for _ in range(n)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    model = next(m for m in em.fit(df, "y", ["x"], "lin", k_max=2) if m.k == 2)
+    assert sorted(model.shares * model.n) != pytest.approx([200, 600], abs=0.5)
+    whole = em.assigned(df, "y", ["x"], model)
+    found = sorted(zip((whole.shares * whole.n).tolist(), whole.lines(), strict=True))
+    assert [n for n, _ in found] == pytest.approx([200, 600], abs=1e-6)
+    assert [line[1] for _, line in found] == pytest.approx([-3, 3], abs=1e-5)

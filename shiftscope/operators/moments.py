@@ -18,9 +18,7 @@ def _keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
 
 def _with_stats(df: DataFrame, by: list[str], stats: list[Column]) -> DataFrame:
     rows, keys = _keys(df, by)
-    found = rows.groupBy(*keys).agg(*stats)
-    if not by:
-        found = F.broadcast(found)  # one row
+    found = F.broadcast(rows.groupBy(*keys).agg(*stats))  # one row per context: dealt out by context, rows would fill as many tasks
     return rows.join(found, keys).drop("_all")
 
 

@@ -33,8 +33,9 @@ def by_header(spark: SparkSession, pattern: str, columns: list[str] | None, sep:
     cells = F.transform(F.split(F.rtrim("value"), re.escape(sep)), lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
     # ids grow along a file's first block, whose first line they find
     lines = reader.text(pattern).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), cells.alias("cells"))
-    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("cells", "id").alias("names"), F.min("id").alias("head"))
-    rows = lines.join(heads, "file").where((F.col("block") > 0) | (F.col("id") > F.col("head"))).where(F.size("cells") >= F.size("names"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min("id").alias("head"))  # numbers alone: lines would be sorted to find the least
+    heads = lines.join(F.broadcast(first), "file").where("block = 0 and id = head").select("file", "head", F.col("cells").alias("names"))
+    rows = lines.join(F.broadcast(heads), "file").where((F.col("block") > 0) | (F.col("id") > F.col("head"))).where(F.size("cells") >= F.size("names"))  # a row per file
     if columns is None:
         return rows.select("file", "names", "cells")
     return rows.select("file", *(F.get("cells", F.array_position("names", c).cast("int") - 1).alias(c) for c in columns))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -20,26 +22,66 @@ def write_table(df: DataFrame, path: str, by: list[str] = (), kind: str = "parqu
         writer.format(kind).save(path)
 
 
+#: rows that a task sorts and writes as pieces of files, and bytes that are copied at a time
+PIECE_ROWS, COPY_BYTES = 300_000, 1 << 23
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def write_named(df: DataFrame, path: str, name: str, order: str, columns: list[str], sep: str = ",", header: bool = True) -> int:
     """One delimited file for each value of ``name`` (a file name), its rows in order; the number of files.
 
-    A file's rows are one task's work.  A file takes its name once it is whole, so a task
-    that runs twice leaves the same file.  Null fields are empty.
+    Tasks write ranges of the rows as pieces, batch by batch, so a large file is many tasks'
+    work; one task per file then copies the bytes of its pieces.  A file takes its name once
+    it is whole, so a task that runs twice leaves the same file.  Null fields are empty.
     """
-    kinds = "file string, rows long"
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    parts = max(1, -(-df.count() // PIECE_ROWS))
+    pieces = f"{path}/_pieces-{uuid.uuid4().hex}"
+    by = [F.col(f"`{name}`"), F.col(f"`{order}`").asc_nulls_last()]
+    whole = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint")}  # as text: with nulls, pandas would make floats of them
+    rows = df.select(name, *dict.fromkeys([order, *columns])).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = rows.select(F.col(f"`{name}`").alias("_file"), *(F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in columns))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _store(pieces)
         store.create_dir(root, recursive=True)
-        made = f"{root}/_{uuid.uuid4().hex}"
-        part = part.sort_values(order, kind="stable")
-        with store.open_output_stream(made, compression=None) as out:
-            out.write(part[columns].to_csv(sep=sep, header=header, index=False, lineterminator="\n").encode())
-        store.move(made, f"{root}/{key[0]}")
-        return pd.DataFrame({"file": [key[0]], "rows": [len(part)]})
-
-    rows = df.select(name, *dict.fromkeys([order, *columns]))
-    return rows.groupBy(name).applyInPandas(run, kinds).agg(F.count(F.lit(1))).first()[0]
+        part, made, out = TaskContext.get().partitionId(), [], None
+        for batch in batches:
+            for file, rows in batch.groupby("_file", sort=False, dropna=False):
+                file = None if pd.isna(file) else file
+                if not made or made[-1][0] != file:
+                    if out is not None:
+                        out.close()
+                    made.append((file, part, uuid.uuid4().hex))
+                    out = store.open_output_stream(f"{root}/{made[-1][2]}", compression=None)
+                out.write(rows[columns].to_csv(sep=sep, header=False, index=False, lineterminator="\n").encode())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame(made, columns=["file", "part", "piece"])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (store, root), (_, source) = _store(path), _store(pieces)
+        for batch in batches:
+            for file, own in zip(batch["file"], batch["own"], strict=True):
+                made = f"{source}/{uuid.uuid4().hex}"
+                with store.open_output_stream(made, compression=None) as out:
+                    if header:
+                        out.write(pd.DataFrame(columns=columns).to_csv(sep=sep, index=False, lineterminator="\n").encode())
+                    for piece in own:
+                        with store.open_input_stream(f"{source}/{piece['piece']}", compression=None) as part:
+                            while block := part.read(COPY_BYTES):
+                                out.write(block)
+                store.move(made, f"{root}/{file}")
+            yield batch[["file"]]
+
+    found = rows.mapInPandas(write, "file string, part int, piece string").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("part", "piece"))).alias("own"))
+    files = found.mapInPandas(join, "file string").count()
+    store, root = _store(pieces)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        store.delete_dir(root)
+    return files
 
 
 def summary(results: DataFrame, keys: list[str], value: str = "value", weight: str | None = None, missing: float = -1.0) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: entries of the arrays of graphs that are followed together
@@ -27,32 +28,38 @@ def packed(nodes: DataFrame, true: DataFrame, guess: DataFrame, graph: str = "gr
     return own
 
 
-def _matrix(nodes: list[np.ndarray], edges: list, n: int) -> np.ndarray:
-    out = np.zeros((len(nodes), n, n), dtype=bool)
-    for g, (own, pairs) in enumerate(zip(nodes, edges, strict=True)):
-        if pairs is not None and len(pairs):
-            at = np.searchsorted(own, np.stack(list(pairs)))
-            out[g, at[:, 0], at[:, 1]] = True
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all lists, and how many each list has (none if it is null)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(lists), sizes.astype(np.int64)
+
+
+def _matrices(graphs: np.ndarray, places: np.ndarray, count: int, n: int) -> np.ndarray:
+    out = np.zeros((count, n, n), dtype=bool)
+    out[graphs, places[:, 0], places[:, 1]] = True
     return out
 
 
 def _to(a: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Children of the nodes of a set, per graph."""
-    return np.matmul(s[:, None].astype(np.uint8), a.astype(np.uint8))[:, 0] > 0
+    out = np.zeros_like(s)
+    for i in range(s.shape[1]):
+        out |= a[:, i] & s[:, i, None]
+    return out
 
 
 def closure(a: np.ndarray) -> np.ndarray:
     """Whether a walk of at least no edge leads from one node to another."""
     out = a | np.eye(a.shape[1], dtype=bool)
-    for _ in range(max(1, int(np.ceil(np.log2(max(2, a.shape[1])))))):
-        out = np.matmul(out.astype(np.float32), out.astype(np.float32)) > 0
+    for k in range(a.shape[1]):
+        out |= out[:, :, k, None] & out[:, k, None, :]
     return out
 
 
-def connected(a: np.ndarray, x: int, z: np.ndarray) -> np.ndarray:
-    """Nodes outside z that some open walk connects with x given z, per graph."""
+def connected(a: np.ndarray, x: int, z: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+    """Nodes outside z that some open walk connects with x given z, per graph; ``below``: the closure, if it is known."""
     back = a.transpose(0, 2, 1)
-    above = z | (np.matmul(closure(a).astype(np.float32), z[:, :, None].astype(np.float32))[:, :, 0] > 0)
+    above = z | _to((closure(a) if below is None else below).transpose(0, 2, 1), z)
     up, down, free = np.zeros_like(z), np.zeros_like(z), ~z
     up[:, x] = True
     while True:
@@ -66,7 +73,7 @@ def connected(a: np.ndarray, x: int, z: np.ndarray) -> np.ndarray:
 def separation(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pairs per graph whose separator in the guess, the parents of the later one, fails in the true graph, and pairs adjacent in the guess alone."""
     n = true.shape[1]
-    below, wrong = closure(guess), np.zeros(len(true), dtype=np.int64)
+    below, below_true, wrong = closure(guess), closure(true), np.zeros(len(true), dtype=np.int64)
     for x in range(n):
         for y in range(x + 1, n):
             real = sizes > y
@@ -74,7 +81,7 @@ def separation(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray) -> np.nda
             apart_true = ~(true[:, x, y] | true[:, y, x])
             z = np.where(below[:, [y], x], guess[:, :, x], guess[:, :, y])
             z[:, [x, y]] = False
-            fails = connected(true, x, z)[:, y]
+            fails = connected(true, x, z, below_true)[:, y]
             wrong += real & np.where(near, apart_true, fails)
     return wrong
 
@@ -95,20 +102,21 @@ def adjustment(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray, kind: str
         z[:, x] = False
         cut = true.copy()
         cut[:, x] = False
-        reached = connected(cut, x, z) if kind == "parent" else None
+        below_cut = closure(cut)
+        reached = connected(cut, x, z, below_cut) if kind == "parent" else None
         for y in range(n):
             if y == x:
                 continue
             real = (sizes > x) & (sizes > y)
             between = _causal_ways(true, below, x, y)
-            bad = (z & (np.matmul(between[:, None].astype(np.uint8), below.astype(np.uint8))[:, 0] > 0)).any(1)
+            bad = (z & _to(below, between)).any(1)
             silent = z[:, y] if kind == "parent" else ~claimed[:, x, y]
             if kind == "parent":
                 open_ = reached[:, y]
             else:
                 rest = z.copy()
                 rest[:, y] = False
-                open_ = connected(cut, x, rest)[:, y]
+                open_ = connected(cut, x, rest, below_cut)[:, y]
             wrong += real & np.where(silent, below[:, x, y], bad | open_)
     return wrong
 
@@ -116,7 +124,7 @@ def adjustment(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray, kind: str
 def disagreement(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Statements of independence given nothing or one node on which the graphs differ."""
     n = true.shape[1]
-    out = np.zeros(len(true), dtype=np.int64)
+    below, claimed, out = closure(true), closure(guess), np.zeros(len(true), dtype=np.int64)
     for given in range(-1, n):
         z = np.zeros((len(true), n), dtype=bool)
         if given >= 0:
@@ -124,7 +132,7 @@ def disagreement(true: np.ndarray, guess: np.ndarray, sizes: np.ndarray) -> np.n
         for x in range(n):
             if x == given:
                 continue
-            differ = connected(true, x, z) != connected(guess, x, z)
+            differ = connected(true, x, z, below) != connected(guess, x, z, claimed)
             for y in range(x + 1, n):
                 if y != given:
                     out += (sizes > y) & (sizes > given) & differ[:, y]
@@ -148,21 +156,38 @@ def distances(nodes: DataFrame, true: DataFrame, guess: DataFrame, measures: tup
         "disagreement": disagreement,
     }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The measures of every pair of graphs; pairs that are alike but for their nodes' numbers are followed once."""
+        bits = np.hstack([np.packbits(m.reshape(len(m), -1), axis=1) for m in (a, b)] + [np.ascontiguousarray(sizes).view(np.uint8).reshape(len(sizes), 8)])
+        _, first, again = np.unique(np.ascontiguousarray(bits).view(f"V{bits.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return [run_of[m](a[first], b[first], sizes[first])[again.ravel()] for m in measures]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort([len(v) for v in batch["nodes"]], kind="stable")  # graphs of like sizes together
-            batch = batch.iloc[order]
+            sizes = _flat(batch.column("nodes"))[1]
+            batch = batch.take(pa.array(np.argsort(sizes, kind="stable")))  # graphs of like sizes together
+            sizes = np.sort(sizes)
             begin = 0
-            while begin < len(batch):
-                end = min(len(batch), begin + max(1, ENTRIES // max(1, len(batch["nodes"].iloc[begin])) ** 2))
-                while end - begin > 1 and (end - begin) * len(batch["nodes"].iloc[end - 1]) ** 2 > 4 * ENTRIES:
-                    end = begin + (end - begin) // 2
-                part = batch.iloc[begin:end]
-                own = [np.asarray(v, dtype=np.int64) for v in part["nodes"]]
-                sizes = np.array([len(v) for v in own])
-                a, b = (_matrix(own, part[c].tolist(), int(sizes.max())) for c in ("true", "guess"))
-                yield pd.DataFrame({graph: part[graph].to_numpy(), "nodes": sizes, **{m: run_of[m](a, b, sizes) for m in measures}})
+            while begin < len(sizes):
+                least = int(sizes[begin])
+                most = int(np.searchsorted(sizes, least if least <= 8 else least * 5 // 4, "right"))
+                end = min(most, begin + max(1, ENTRIES // max(1, least) ** 2))
+                part, size, n = batch.slice(begin, end - begin), sizes[begin:end], int(sizes[end - 1])
+                entries = _flat(part.column("nodes"))[0].to_numpy(zero_copy_only=False)
+                # nodes by graph and rank among all nodes of the part: sorted, so edges find their ends
+                values, ranks = np.unique(entries, return_inverse=True)
+                keys = np.repeat(np.arange(len(size)), size) * (len(values) + 1) + ranks.ravel()
+                begins = np.cumsum(size) - size
+                both = []
+                for name in ("true", "guess"):
+                    edges, count = _flat(part.column(name))
+                    owner = np.repeat(np.arange(len(size)), count)
+                    ends = _flat(edges)[0].to_numpy(zero_copy_only=False).reshape(-1, 2)
+                    places = np.searchsorted(keys, owner[:, None] * (len(values) + 1) + np.searchsorted(values, ends)) - begins[owner, None]
+                    both.append(_matrices(owner, places, len(size), n))
+                found = counted(*both, size)
+                yield pa.RecordBatch.from_arrays([part.column(graph), pa.array(size), *(pa.array(f.astype(np.int64)) for f in found)], names=[graph, "nodes", *measures])
                 begin = end
 
     schema = ", ".join([f"`{graph}` {kind}", "nodes long", *(f"{m} long" for m in measures)])
-    return packed(nodes, true, guess, graph).mapInPandas(run, schema)
+    return packed(nodes, true, guess, graph).mapInArrow(run, schema)

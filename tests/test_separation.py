@@ -43,3 +43,18 @@ def test_equal_graphs_and_no_graphs(spark, pairs):
         assert (r.separation, r.parent_adjustment, r.ancestor_adjustment, r.disagreement) == (0, 0, 0, 0)
     assert S.distances(nodes.limit(0), edges, edges).collect() == []
     assert separation_disagreement(MixedGraph(2, set()), MixedGraph(2, {(0, 1)}), 0)["sc"] > 0
+
+
+def test_known_closures_and_repeated_graphs(spark):
+    """A closure can be given, and graphs that are alike but for their nodes' numbers count alike."""
+    rng = np.random.default_rng(0)
+    a = np.triu(rng.random((50, 6, 6)) < 0.4, 1)
+    z = rng.random((50, 6)) < 0.3
+    z[:, 0] = False
+    assert np.array_equal(S.connected(a, 0, z), S.connected(a, 0, z, S.closure(a)))
+    ways = [(0, 10, 11), (0, 11, 12)]
+    true = spark.createDataFrame([(g, s + 100 * g, d + 100 * g) for g in range(5) for _, s, d in ways], "graph long, src long, dst long")
+    guess = spark.createDataFrame([(g, 10 + 100 * g, 12 + 100 * g) for g in range(5)], "graph long, src long, dst long")
+    nodes = true.selectExpr("graph", "src as node").union(true.selectExpr("graph", "dst"))
+    found = {tuple(r)[1:] for r in S.distances(nodes, true, guess).collect()}
+    assert len(found) == 1
